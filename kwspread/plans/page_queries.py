@@ -1 +1,108 @@
-"""placeholder"""
+"""Registered page queries (M8, F15, D4, S18, S19) over `pages`."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kwspread.functions import match as M
+from kwspread.operators import pages as P
+from kwspread.plans import views as V
+from kwspread.plans.registry import register
+
+# Parameters of the registered queries: the news domain tested by substring, and
+# the selector priority lists (first selector with any hit wins).
+DOMAIN = "example.com"
+TEXT_SELECTORS = ("div.comment", "article p", "div.ad")
+DATE_SELECTORS = ("span.date", "b")
+
+
+def news_rows(spark, sf_dir):
+    """A news-search result per page: link = page URL, originallink = the publisher
+    host named in the page footer, title from <title>."""
+    p = V.table(spark, sf_dir, "pages")
+    host = F.regexp_extract("html", r"&copy; ([^ <]+)", 1)
+    return p.select(
+        F.col("page_id").alias("ord"),
+        F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"),
+        F.col("url").alias("link"),
+        F.when(host != "", F.concat(F.lit("https://"), host, F.lit("/"))).alias("originallink"),
+    )
+
+
+@register("url_filter_prefer_dedup", f"""
+SELECT ord, link, originallink, naver_url, md5(title) AS title_md5 FROM (
+  SELECT *, row_number() OVER (PARTITION BY naver_url ORDER BY ord) AS rn FROM (
+    SELECT *, CASE WHEN coalesce(contains(link, '{DOMAIN}'), false) THEN link ELSE originallink END AS naver_url
+    FROM (SELECT page_id AS ord, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, url AS link,
+                 CASE WHEN regexp_extract(html, '&copy; ([^ <]+)', 1) <> ''
+                      THEN 'https://' || regexp_extract(html, '&copy; ([^ <]+)', 1) || '/' END AS originallink
+          FROM pages)
+    WHERE coalesce(contains(link, '{DOMAIN}'), false) OR coalesce(contains(originallink, '{DOMAIN}'), false)))
+WHERE rn = 1""")
+def url_filter_prefer_dedup(spark, sf_dir):
+    """On-domain links, preferred URL, first row per preferred URL."""
+    out = P.news_links(news_rows(spark, sf_dir), DOMAIN)
+    return out.select("ord", "link", "originallink", "naver_url", F.md5("title").alias("title_md5"))
+
+
+def _sql_select_all(selector: str) -> str:
+    regs = P.selector_regexes(selector)
+    scope = "html"
+    for r in regs[:-1]:
+        scope = f"regexp_extract({scope}, '{r}', 1)"
+    return f"regexp_extract_all({scope}, '{regs[-1]}', 1)"
+
+
+def _sql_first_hit(selectors) -> str:
+    arrs = [_sql_select_all(s) for s in selectors]
+    out = arrs[-1]
+    for a in reversed(arrs[:-1]):
+        out = f"CASE WHEN len({a}) > 0 THEN {a} ELSE {out} END"
+    return out
+
+
+def _sql_node_text(x: str) -> str:
+    t = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for ent, ch in P.ENTITIES:
+        t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+_SQL_EXTRACT = f"""ex AS (
+  SELECT page_id, url, i - 1 AS pos, {_sql_node_text('texts[i]')} AS text,
+         coalesce({_sql_node_text('dates[i]')}, '') AS date
+  FROM (SELECT page_id, url, texts, dates, unnest(generate_series(1, len(texts))) AS i
+        FROM (SELECT page_id, url, {_sql_first_hit(TEXT_SELECTORS)} AS texts, {_sql_first_hit(DATE_SELECTORS)} AS dates
+              FROM pages WHERE contains(lower(html), '</html>'))))"""
+
+
+@register("page_extract_first_selector", "WITH " + _SQL_EXTRACT + f"""
+SELECT page_id, url, pos, md5(text) AS text_md5, date, keyword FROM (
+  SELECT *, {M.sql_first_match('text', V.KW, False)} AS keyword FROM ex WHERE text <> '')
+WHERE keyword IS NOT NULL""")
+def page_extract_first_selector(spark, sf_dir):
+    """Comments from loaded pages by selector priority, positional date
+    pairing, case-sensitive keyword filter."""
+    p = V.table(spark, sf_dir, "pages").where(~P.page_failed(F.col("html")))
+    rows = P.extract_first_selector(p, TEXT_SELECTORS, DATE_SELECTORS, keep=("page_id", "url"))
+    hits = P.keyword_filter(rows, V.KW)
+    return hits.select("page_id", "url", "pos", F.md5("text").alias("text_md5"), "date", "keyword")
+
+
+@register("page_error_rows", """
+SELECT page_id, url, '' AS keyword, '' AS comment_text, '' AS comment_date_raw,
+       'page did not finish loading' AS error
+FROM pages WHERE NOT coalesce(contains(lower(html), '</html>'), false)""")
+def page_error_rows(spark, sf_dir):
+    """Failed pages become quarantine rows with an error and blank fields."""
+    return P.error_rows(V.table(spark, sf_dir, "pages"))
+
+
+@register("page_extract_nested", None)
+def page_extract_nested(spark, sf_dir):
+    """S18 nested form: html.parser tree per page in mapInPandas, paragraphs of the
+    article with the bold lead paired inside each paragraph (rows-only check)."""
+    p = V.table(spark, sf_dir, "pages").where(~P.page_failed(F.col("html")))
+    rows = P.extract_nested(p, ("p",), DATE_SELECTORS, container="article p", keep=("page_id", "url"))
+    hits = P.keyword_filter(rows, V.KW)
+    return hits.select("page_id", "url", "pos", F.md5("text").alias("text_md5"), "date", "keyword")
