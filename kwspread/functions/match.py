@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,8 +116,6 @@ def _sql_str(s: str) -> str:
 
 def first_match_automaton(text: Column, keywords: Sequence[str], ci: bool = True) -> Column:
     """Large-dictionary variant: Aho-Corasick per Arrow batch (first in dictionary order)."""
-    import pandas as pd
-
     kws = list(keywords)
 
     @F.pandas_udf("string")

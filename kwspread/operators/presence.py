@@ -34,12 +34,15 @@ DEFAULT_MAX_VIDEOS = 120
 DEFAULT_MAX_COMMENTS = 15 * 100
 
 _EPOCH = dt.datetime(1970, 1, 1)
-_EPOCH_COL = F.lit(_EPOCH).cast("timestamp_ntz")
+
+
+def _epoch_col():
+    return F.lit(_EPOCH).cast("timestamp_ntz")
 
 
 def to_us(ts) -> "F.Column":
     """TIMESTAMP_NTZ -> microseconds since epoch (zone-free)."""
-    return F.timestamp_diff("MICROSECOND", _EPOCH_COL, ts.cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", _epoch_col(), ts.cast("timestamp_ntz"))
 
 
 def newest_n_any(rows: DataFrame, n: int, hit_col: str, video_col: str = "video_id",
@@ -159,6 +162,6 @@ def first_presence(spark: SparkSession, found: DataFrame, keywords: Sequence[str
     rows = bracket(found, keywords, start, end, max_videos, iters)
     br = spark.createDataFrame([tuple(r[f.name] for f in BRACKET_SCHEMA.fields) for r in rows], BRACKET_SCHEMA)
     exact = found.where(F.col("hit")).groupBy("keyword").agg(
-        F.timestamp_add("MICROSECOND", F.min("pub_us"), _EPOCH_COL).alias("exact_first_presence")
+        F.timestamp_add("MICROSECOND", F.min("pub_us"), _epoch_col()).alias("exact_first_presence")
     )
     return br.join(exact, "keyword", "left")
