@@ -51,3 +51,14 @@ def plus_days(ts: Column, n: int) -> Column:
 def floor_days_between(high: Column, low: Column) -> Column:
     """F20 floor((high - low) in days) for TIMESTAMP_NTZ/TIMESTAMP values."""
     return F.timestamp_diff("DAY", low, high).cast("long")
+
+
+def instant_of(ntz: Column) -> Column:
+    """TIMESTAMP_NTZ holding a UTC wall clock -> TIMESTAMP instant (zone-free)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ntz))
+
+
+def utc_date(instant: Column) -> Column:
+    """UTC calendar day of a TIMESTAMP instant, independent of the session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(instant) / F.lit(86_400_000_000)).cast("int"))

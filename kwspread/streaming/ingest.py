@@ -44,6 +44,8 @@ def match_stream(rows: DataFrame, keywords: Sequence[str], ci: bool = True) -> D
     from kwspread.functions import text as X
 
     out = rows.withColumn("published_at", T.lenient_ts(F.col("published_at")))
+    # Watermarks need an instant; built from epoch microseconds so it is zone-free.
+    out = out.withColumn("event_time", T.instant_of(F.col("published_at")))
     out = out.withColumn("matched_keyword", M.first_match(F.col("text"), keywords, ci=ci))
     out = out.where(F.col("matched_keyword").isNotNull() & (F.coalesce(F.col("comment_id"), F.lit("")) != ""))
     return out.withColumn("text", X.newline_to_space(F.col("text")))
@@ -52,7 +54,7 @@ def match_stream(rows: DataFrame, keywords: Sequence[str], ci: bool = True) -> D
 def dedup_within_watermark(rows: DataFrame, delay: str = "30 days") -> DataFrame:
     """D5/I1 inside the stream: duplicates of an id arriving within the watermark
     delay are dropped by state (bounded by the delay)."""
-    return rows.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["comment_id"])
+    return rows.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["comment_id"])
 
 
 def append_new_only(out_dir: str):
@@ -86,9 +88,9 @@ def weekly_counts_stream(rows: DataFrame, delay: str = "7 days") -> DataFrame:
     """Continuous A2. Monday-aligned weekly windows (epoch day 0 is a Thursday,
     hence the 4-day start offset), emitted once the watermark passes the week end."""
     return (
-        rows.withWatermark("published_at", delay)
+        rows.withWatermark("event_time", delay)
         .groupBy(F.col("matched_keyword").alias("keyword"),
-                 F.window(F.col("published_at"), "7 days", "7 days", "4 days").alias("w"))
+                 F.window(F.col("event_time"), "7 days", "7 days", "4 days").alias("w"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("keyword", F.to_date(F.col("w.start")).alias("week"), "n")
+        .select("keyword", T.utc_date(F.col("w.start")).alias("week"), "n")
     )
