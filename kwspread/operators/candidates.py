@@ -147,3 +147,9 @@ def latest_per_channel(videos: DataFrame, n: int, ts_col: str = "published_at")
     return top_n_per_group(
         videos, ["channel_id"], [F.col(ts_col).desc_nulls_last(), F.col("video_id").asc()], n, rank_col="rank"
     )
+
+
+def sorted_for_export(cands: DataFrame, ts_col: str = "published_at") -> DataFrame:
+    """O1: candidates oldest first, unparsable dates last, ties by video_id. Only at
+    the sink: a global sort is a range-partitioned shuffle, never done mid-plan."""
+    return cands.orderBy(F.col(ts_col).asc_nulls_last(), F.col("video_id").asc())

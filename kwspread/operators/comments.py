@@ -163,3 +163,14 @@ def search_attribution(videos: DataFrame, comments: DataFrame, queries: Sequence
     found = top_n_per_group(found, ["query"], [F.col(ts_col).desc_nulls_last(), F.col("video_id").asc()], per_query)
     hits = comments.where(F.col(keyword_col).isNotNull())
     return hits.join(found.select("query", "video_id"), "video_id", "inner")
+
+
+def run_totals(progress: DataFrame) -> DataFrame:
+    """One row of run totals over the progress log."""
+    return progress.agg(
+        F.count(F.lit(1)).alias("videos"),
+        F.count_if(F.col("status") == STATUS_DONE).cast("long").alias("videos_done"),
+        F.count_if(F.col("status") != STATUS_DONE).cast("long").alias("videos_failed"),
+        F.coalesce(F.sum("scanned_threads"), F.lit(0)).cast("long").alias("scanned_threads"),
+        F.coalesce(F.sum("new_matches"), F.lit(0)).cast("long").alias("new_matches"),
+    )

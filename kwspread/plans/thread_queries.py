@@ -261,3 +261,15 @@ def distinct_ids_head(spark, sf_dir):
     """Ids normalised, blanks dropped, first position kept, first N ids."""
     o = V.obs(spark, sf_dir)
     return C.distinct_ids_head(o, X.video_id_from(F.col("video_id").cast("string")), "date", HEAD_N)
+
+
+@register("run_totals", SQL_STATS + """
+SELECT CAST(count(*) AS BIGINT) AS videos,
+       CAST(count(*) FILTER (WHERE status = 'done') AS BIGINT) AS videos_done,
+       CAST(count(*) FILTER (WHERE status <> 'done') AS BIGINT) AS videos_failed,
+       CAST(coalesce(sum(scanned_threads), 0) AS BIGINT) AS scanned_threads,
+       CAST(coalesce(sum(new_matches), 0) AS BIGINT) AS new_matches
+FROM progress""")
+def run_totals(spark, sf_dir):
+    """Totals of a scan run (videos done / failed, threads, new matches)."""
+    return C.run_totals(progress(spark, sf_dir))

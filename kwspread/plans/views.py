@@ -49,7 +49,11 @@ def obs(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
     """comment_id, video_id, date (timestamp_ntz), platform, source, keyword, keyword_cs, text_md5, doc_id"""
     n_docs = _count(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    d = keyed_documents(spark, sf_dir, kw)
+    # Hash-partition the keyed documents on the join key: the text work (lower,
+    # contains, md5) is then done once per document before the exchange. A join that
+    # streams documents would otherwise re-evaluate it for every matching event; at
+    # scale the sort-merge join needs exactly this partitioning, so it costs nothing.
+    d = keyed_documents(spark, sf_dir, kw).repartition("doc_id")
     j = e.join(d, F.pmod(e.event_id, F.lit(n_docs)) == d.doc_id, "inner")
     return j.select(
         F.col("event_id").alias("comment_id"),
@@ -116,14 +120,16 @@ def sql_obs(kw=KW) -> str:
 obs AS (
   SELECT e.event_id AS comment_id, e.user_id AS video_id, e.ts AS date, d.lang AS platform,
          d.source AS source, d.keyword, d.keyword_cs, d.text_md5, d.doc_id
-  FROM events e JOIN docs_kw d ON e.event_id % (SELECT count(*) FROM documents) = d.doc_id)"""
+  FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS doc_key FROM events) e
+  JOIN docs_kw d ON e.doc_key = d.doc_id)"""
 
 
 SQL_CAND = """cand AS (
   SELECT d.doc_id AS video_id, 'UC' || upper(md5(d.source)) AS channel_id, d.source AS channel_name,
          d.text AS title, e.ts AS published_at
-  FROM documents d JOIN events e
-    ON e.event_id = d.doc_id * ((SELECT count(*) FROM events) // (SELECT count(*) FROM documents)))"""
+  FROM (SELECT *, doc_id * ((SELECT count(*) FROM events) // (SELECT count(*) FROM documents)) AS event_key
+        FROM documents) d
+  JOIN events e ON e.event_id = d.event_key)"""
 
 SQL_THREADS = """threads AS (
   SELECT conv_id AS video_id, turn, role, text,
