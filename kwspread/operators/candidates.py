@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kwspread.functions import text as X
 from kwspread.functions import timefmt as T
-from kwspread.operators.common import top_n_per_group
+from kwspread.operators.common import bounded_lookup, top_n_per_group
 
 # Sampling defaults of the reference (N per keyword, seed).
 SAMPLE_N = 20
@@ -79,18 +79,61 @@ def merge_provenance(tags: DataFrame) -> DataFrame:
     )
 
 
+def _tag_structs(keywords: Sequence[str], periods: Sequence[tuple[str, str]],
+                 text_col: str = "title", ts_col: str = "published_at", ci: bool = True) -> Column:
+    """Array of struct(ord, tag) for the (keyword, period) pairs this row satisfies."""
+    kws = [k for k in keywords if k]
+    hay = F.lower(F.col(text_col)) if ci else F.col(text_col)
+    n_p = len(periods)
+    pairs = []
+    for ki, k in enumerate(kws):
+        hit_k = hay.contains(k.lower() if ci else k)
+        for pi, (s, e) in enumerate(periods):
+            in_p = (F.col(ts_col) >= T.lenient_ts(F.lit(s))) & (F.col(ts_col) < T.lenient_ts(F.lit(e)))
+            tag = X.provenance_tag_keyword(F.lit(k), F.lit(s), F.lit(e))
+            pairs.append(F.when(hit_k & in_p, F.struct(F.lit(ki * n_p + pi).alias("ord"), tag.alias("tag"))))
+    return F.filter(F.array(*pairs), lambda x: x.isNotNull())
+
+
 def candidate_pool(videos: DataFrame, keywords: Sequence[str], periods: Sequence[tuple[str, str]],
-                   channels: DataFrame | None = None) -> DataFrame:
-    """D1 + D8: keyword pool then channel pool, keyed by video; metadata from the
-    video table, provenance merged. Output keeps the candidates schema."""
-    tags = keyword_period_tags(videos, keywords, periods)
+                   channels: DataFrame | None = None, unique_videos: bool = True) -> DataFrame:
+    """D1 + D8 + A8: keyword pool then channel pool, keyed by video, provenance merged
+    in first-insertion order. Output keeps the candidates schema.
+
+    With one row per video (a video table), every tag of a video is computed from that
+    row, so the pool is a narrow projection: the channel list joins as a size-checked
+    broadcast lookup and nothing (least of all the title text) is shuffled. When a
+    video may repeat (landed search results), tags are merged by a per-video group
+    bounded by |keywords| x |periods| + |channels|, and the first row supplies the
+    metadata (first writer wins)."""
+    base = len(keywords) * len(periods)
+    if not unique_videos:
+        tags = keyword_period_tags(videos, keywords, periods)
+        if channels is not None:
+            tags = tags.unionByName(channel_tags(videos, channels, base))
+        merged = merge_provenance(tags)
+        meta = videos.groupBy("video_id").agg(
+            F.min_by(F.struct("channel_id", "channel_name", "title", "published_at"), F.col("published_at")).alias("m")
+        ).select("video_id", "m.*")
+        return merged.join(meta, "video_id", "inner").select(
+            "video_id", "channel_id", "channel_name", "title", "published_at", "source"
+        )
+    v = videos
+    kw_tags = _tag_structs(keywords, periods)
     if channels is not None:
-        tags = tags.unionByName(channel_tags(videos, channels, len(keywords) * len(periods)))
-    merged = merge_provenance(tags)
-    meta = videos.select("video_id", "channel_id", "channel_name", "title", "published_at")
-    return merged.join(meta, "video_id", "inner").select(
-        "video_id", "channel_id", "channel_name", "title", "published_at", "source"
-    )
+        lookup = bounded_lookup(channels.select("channel_id", F.col("ch_ord").alias("__ch_ord")))
+        v = v.join(lookup, "channel_id", "left")
+        ch_tag = F.when(
+            F.col("__ch_ord").isNotNull(),
+            F.array(F.struct((F.lit(base) + F.col("__ch_ord")).alias("ord"),
+                             X.provenance_tag_channel(F.col("channel_id")).alias("tag"))),
+        ).otherwise(F.array().cast("array<struct<ord:bigint,tag:string>>"))
+        all_tags = F.concat(F.transform(kw_tags, lambda t: F.struct(t["ord"].cast("long").alias("ord"), t["tag"].alias("tag"))), ch_tag)
+    else:
+        all_tags = kw_tags
+    tagged = v.withColumn("__tags", all_tags).where(F.size("__tags") > 0)
+    source = F.array_join(F.array_distinct(F.transform(F.array_sort("__tags"), lambda t: t["tag"])), ";")
+    return tagged.select("video_id", "channel_id", "channel_name", "title", "published_at", source.alias("source"))
 
 
 def resolved_channels(raw_inputs: DataFrame, raw_col: str = "raw", ord_col: str = "doc_id") -> DataFrame:

@@ -162,7 +162,9 @@ def search_attribution(videos: DataFrame, comments: DataFrame, queries: Sequence
     found = videos.select("video_id", ts_col, F.explode(found_arr).alias("query"))
     found = top_n_per_group(found, ["query"], [F.col(ts_col).desc_nulls_last(), F.col("video_id").asc()], per_query)
     hits = comments.where(F.col(keyword_col).isNotNull())
-    return hits.join(found.select("query", "video_id"), "video_id", "inner")
+    # Proven bound: at most len(queries) * per_query rows, so broadcasting it is safe
+    # and the comment side is never shuffled on a possibly hot video key.
+    return hits.join(F.broadcast(found.select("query", "video_id")), "video_id", "inner")
 
 
 def run_totals(progress: DataFrame) -> DataFrame:

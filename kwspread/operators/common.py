@@ -28,6 +28,18 @@ def bounded_lookup(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFra
     return F.broadcast(frozen) if n <= max_rows else frozen
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Guard for CPU-heavy text stages: when a scan yields fewer partitions than the
+    cluster has task slots (one large row group, a handful of files), spread the rows
+    round-robin over `defaultParallelism` partitions first. On large inputs the scan
+    already has far more splits than slots and this is a no-op, so text is never
+    shuffled at scale just to add parallelism."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def order_key(cols: Sequence[str], nulls_last: bool = True) -> Column:
     """Ascending sort key as a struct; nulls last via an is-null flag per column."""
     parts = []

@@ -134,7 +134,7 @@ def videos_per_keyword(spark, sf_dir):
 
 # Page metadata used to hydrate candidates (page_id = video id).
 def page_meta(spark, sf_dir):
-    p = V.table(spark, sf_dir, "pages")
+    p = V.text_table(spark, sf_dir, "pages", "page_id", "html")
     return p.select(
         F.col("page_id").alias("video_id"),
         F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("new_title"),

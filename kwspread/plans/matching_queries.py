@@ -11,8 +11,9 @@ from kwspread.plans import views as V
 from kwspread.plans.registry import register
 
 
-def _docs(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents")
+def _docs(spark, sf_dir, *cols):
+    cols = cols or ("doc_id", "lang", "source", "text")
+    return V.text_table(spark, sf_dir, "documents", *cols)
 
 
 @register("match_first_ci", f"SELECT doc_id, {M.sql_first_match('text', V.KW, True)} AS keyword FROM documents")
@@ -110,7 +111,7 @@ PAGE_ID_PATTERNS = (r"[?&]page=([0-9]+)", r"/[a-z]{2}/([0-9]+)")
 FROM pages""")
 def id_from_url(spark, sf_dir):
     """F1 chain on page URLs: first pattern with a match wins, else the stripped input."""
-    p = V.table(spark, sf_dir, "pages")
+    p = V.table(spark, sf_dir, "pages").select("page_id", "url")
     return p.select("page_id", "url", X.extract_by_chain(F.trim(F.col("url")), PAGE_ID_PATTERNS).alias("extracted_id"))
 
 
@@ -144,7 +145,7 @@ FROM (SELECT doc_id, {SQL_RAW_CHANNEL} AS raw FROM documents)"""
 @register("channel_id_normalise", SQL_CHANNEL_NORMALISE)
 def channel_id_normalise(spark, sf_dir):
     """Resolve channel ids from raw inputs, parse handles, flag valid ids."""
-    d = _docs(spark, sf_dir).select("doc_id", raw_channel_input(F.col("source"), F.col("lang")).alias("raw"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", raw_channel_input(F.col("source"), F.col("lang")).alias("raw"))
     r = F.col("raw")
     return d.select(
         "doc_id", "raw",

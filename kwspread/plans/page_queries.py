@@ -19,7 +19,7 @@ DATE_SELECTORS = ("span.date", "b")
 def news_rows(spark, sf_dir):
     """A news-search result per page: link = page URL, originallink = the publisher
     host named in the page footer, title from <title>."""
-    p = V.table(spark, sf_dir, "pages")
+    p = V.text_table(spark, sf_dir, "pages", "page_id", "url", "html")
     host = F.regexp_extract("html", r"&copy; ([^ <]+)", 1)
     return p.select(
         F.col("page_id").alias("ord"),
@@ -83,7 +83,7 @@ WHERE keyword IS NOT NULL""")
 def page_extract_first_selector(spark, sf_dir):
     """Comments from loaded pages by selector priority, positional date
     pairing, case-sensitive keyword filter."""
-    p = V.table(spark, sf_dir, "pages").where(~P.page_failed(F.col("html")))
+    p = V.text_table(spark, sf_dir, "pages", "page_id", "url", "html").where(~P.page_failed(F.col("html")))
     rows = P.extract_first_selector(p, TEXT_SELECTORS, DATE_SELECTORS, keep=("page_id", "url"))
     hits = P.keyword_filter(rows, V.KW)
     return hits.select("page_id", "url", "pos", F.md5("text").alias("text_md5"), "date", "keyword")
@@ -102,7 +102,7 @@ def page_error_rows(spark, sf_dir):
 def page_extract_nested(spark, sf_dir):
     """S18 nested form: html.parser tree per page in mapInPandas, paragraphs of the
     article with the bold lead paired inside each paragraph (rows-only check)."""
-    p = V.table(spark, sf_dir, "pages").where(~P.page_failed(F.col("html")))
+    p = V.text_table(spark, sf_dir, "pages", "page_id", "url", "html").where(~P.page_failed(F.col("html")))
     rows = P.extract_nested(p, ("p",), DATE_SELECTORS, container="article p", keep=("page_id", "url"))
     hits = P.keyword_filter(rows, V.KW)
     return hits.select("page_id", "url", "pos", F.md5("text").alias("text_md5"), "date", "keyword")

@@ -163,7 +163,8 @@ SELECT source, lang, doc_id, text_md5 FROM (
 WHERE rn = 1""")
 def prefer_language(spark, sf_dir):
     """Per video (document source), the transcript in the first preferred language."""
-    d = V.table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.md5("text").alias("text_md5"))
+    d = V.text_table(spark, sf_dir, "documents", "source", "lang", "doc_id", "text").select(
+        "source", "lang", "doc_id", F.md5("text").alias("text_md5"))
     return C.prefer_language(d, LANGS, "source", tiebreak="doc_id").select("source", "lang", "doc_id", "text_md5")
 
 

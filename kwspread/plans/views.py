@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
+from kwspread.operators.common import spread
 
 # The keyword dictionary of the registered queries, in dictionary
 # order (order decides the "first" hit).
@@ -28,13 +29,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Columns of a text-heavy table, spread over the task slots when the scan is
+    coarser than the cluster (see `operators.common.spread`)."""
+    return spread(table(spark, sf_dir, name).select(*cols))
+
+
+_COUNTS: dict[tuple[str, str], int] = {}
+
+
 def _count(spark: SparkSession, sf_dir: str, name: str) -> int:
-    # Parquet row counts come from footers; one number reaches the driver.
-    return table(spark, sf_dir, name).count()
+    # Parquet row counts come from footers; one number reaches the driver. The
+    # driver tables are read-only, so the count is kept per path for the process.
+    key = (sf_dir, name)
+    if key not in _COUNTS:
+        _COUNTS[key] = table(spark, sf_dir, name).count()
+    return _COUNTS[key]
 
 
 def keyed_documents(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
     return d.select(
         "doc_id",
         "lang",
@@ -78,7 +92,7 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_docs = _count(spark, sf_dir, "documents")
     n_ev = _count(spark, sf_dir, "events")
     step = n_ev // n_docs
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    d = text_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     e = table(spark, sf_dir, "events").select("event_id", "ts")
     j = d.join(e, e.event_id == d.doc_id * F.lit(step), "inner")
     return j.select(
