@@ -34,10 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     round-robin over `defaultParallelism` partitions first. On large inputs the scan
     already has far more splits than slots and this is a no-op, so text is never
     shuffled at scale just to add parallelism."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
+        return df
+    return df.repartition(slots) if n < slots else df
 
 
 def order_key(cols: Sequence[str], nulls_last: bool = True) -> Column:

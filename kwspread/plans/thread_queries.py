@@ -130,8 +130,12 @@ gated AS (SELECT comment_id, video_id, keyword FROM obs
           WHERE keyword IS NOT NULL AND video_id IN (SELECT video_id FROM mv))"""
 
 
-def gated(spark, sf_dir):
-    hits = V.obs(spark, sf_dir).where(F.col("keyword").isNotNull()).select("comment_id", "video_id", "keyword")
+def _ci_hits(spark, sf_dir):
+    return V.obs(spark, sf_dir).where(F.col("keyword").isNotNull()).select("comment_id", "video_id", "keyword")
+
+
+def gated(spark, sf_dir, hits=None):
+    hits = _ci_hits(spark, sf_dir) if hits is None else hits
     return C.gate_semi(hits, C.matched_videos(transcripts(spark, sf_dir), V.KW))
 
 
@@ -173,8 +177,8 @@ SELECT comment_id, video_id, keyword FROM obs
 WHERE keyword IS NOT NULL AND comment_id NOT IN (SELECT comment_id FROM gated)""")
 def new_comments_anti(spark, sf_dir):
     """A full scan appending to the gated run's output skips stored ids."""
-    hits = V.obs(spark, sf_dir).where(F.col("keyword").isNotNull()).select("comment_id", "video_id", "keyword")
-    return C.new_only(hits, gated(spark, sf_dir))
+    hits = _ci_hits(spark, sf_dir)
+    return C.new_only(hits, gated(spark, sf_dir, hits))
 
 
 SQL_STATS = SQL_FLAT + f""",

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
-from kwspread.operators.common import spread
+from kwspread.operators.common import bounded_lookup, spread
 
 # The keyword dictionary of the registered queries, in dictionary
 # order (order decides the "first" hit).
@@ -63,11 +63,12 @@ def obs(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
     """comment_id, video_id, date (timestamp_ntz), platform, source, keyword, keyword_cs, text_md5, doc_id"""
     n_docs = _count(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    # Hash-partition the keyed documents on the join key: the text work (lower,
-    # contains, md5) is then done once per document before the exchange. A join that
-    # streams documents would otherwise re-evaluate it for every matching event; at
-    # scale the sort-merge join needs exactly this partitioning, so it costs nothing.
-    d = keyed_documents(spark, sf_dir, kw).repartition("doc_id")
+    # The keyed documents are a narrow derived dimension (no text). Materialise it
+    # once: the text work (lower, contains, md5) then runs exactly once per document,
+    # filters on the keyword read the materialised rows instead of being pushed down
+    # into the scan and re-evaluating the matcher, and a streamed join cannot re-run
+    # it per matching event. Broadcast under the row bound, shuffle join above it.
+    d = bounded_lookup(keyed_documents(spark, sf_dir, kw))
     j = e.join(d, F.pmod(e.event_id, F.lit(n_docs)) == d.doc_id, "inner")
     return j.select(
         F.col("event_id").alias("comment_id"),
