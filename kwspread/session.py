@@ -22,6 +22,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Checkpoint files of derived lookups are removed once no plan references them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

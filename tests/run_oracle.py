@@ -16,7 +16,8 @@ from kwspread.session import build_session  # noqa: E402
 if __name__ == "__main__":
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = build_session()
+    tz = os.environ.get("KWSPREAD_TZ")  # e.g. Asia/Seoul: results must not depend on it
+    spark = build_session(extra={"spark.sql.session.timeZone": tz} if tz else None)
     reg = load_all()
     bad = 0
     for name, q in reg.items():
