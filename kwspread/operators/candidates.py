@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kwspread.functions import text as X
 from kwspread.functions import timefmt as T
-from kwspread.operators.common import bounded_lookup, top_n_per_group
+from kwspread.operators.common import bounded_lookup, top_n_per_group, with_nonnull
 
 # Sampling defaults of the reference (N per keyword, seed).
 SAMPLE_N = 20
@@ -119,21 +119,28 @@ def candidate_pool(videos: DataFrame, keywords: Sequence[str], periods: Sequence
             "video_id", "channel_id", "channel_name", "title", "published_at", "source"
         )
     v = videos
-    kw_tags = _tag_structs(keywords, periods)
+    # Tags in insertion order (keyword-major, period-minor, then the channel): a
+    # concat_ws over CASE branches skips the misses and keeps the order, all in codegen;
+    # lower(title) is a common subexpression evaluated once per row.
+    kws = list(dict.fromkeys(k for k in keywords if k))
+    pers = list(dict.fromkeys(periods))
+    # Step 1: one hit flag per keyword (the lowered title is shared by all of them);
+    # step 2 builds the tags from the flags, so the text is never lowered per branch.
+    hay = F.lower(F.col("title"))
+    v = v.select("*", *[hay.contains(k.lower()).alias(f"__kw{i}") for i, k in enumerate(kws)])
+    parts = []
+    for i, k in enumerate(kws):
+        hit_k = F.col(f"__kw{i}")
+        for s, e in pers:
+            in_p = (F.col("published_at") >= T.lenient_ts(F.lit(s))) & (F.col("published_at") < T.lenient_ts(F.lit(e)))
+            parts.append(F.when(hit_k & in_p, X.provenance_tag_keyword(F.lit(k), F.lit(s), F.lit(e))))
     if channels is not None:
         lookup = bounded_lookup(channels.select("channel_id", F.col("ch_ord").alias("__ch_ord")))
         v = v.join(lookup, "channel_id", "left")
-        ch_tag = F.when(
-            F.col("__ch_ord").isNotNull(),
-            F.array(F.struct((F.lit(base) + F.col("__ch_ord")).alias("ord"),
-                             X.provenance_tag_channel(F.col("channel_id")).alias("tag"))),
-        ).otherwise(F.array().cast("array<struct<ord:bigint,tag:string>>"))
-        all_tags = F.concat(F.transform(kw_tags, lambda t: F.struct(t["ord"].cast("long").alias("ord"), t["tag"].alias("tag"))), ch_tag)
-    else:
-        all_tags = kw_tags
-    tagged = v.withColumn("__tags", all_tags).where(F.size("__tags") > 0)
-    source = F.array_join(F.array_distinct(F.transform(F.array_sort("__tags"), lambda t: t["tag"])), ";")
-    return tagged.select("video_id", "channel_id", "channel_name", "title", "published_at", source.alias("source"))
+        parts.append(F.when(F.col("__ch_ord").isNotNull(), X.provenance_tag_channel(F.col("channel_id"))))
+    source = F.concat_ws(";", *parts)
+    tagged = with_nonnull(v, F.nullif(source, F.lit("")), "source")
+    return tagged.select("video_id", "channel_id", "channel_name", "title", "published_at", "source")
 
 
 def resolved_channels(raw_inputs: DataFrame, raw_col: str = "raw", ord_col: str = "doc_id") -> DataFrame:

@@ -42,6 +42,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if n < slots else df
 
 
+def with_nonnull(df: DataFrame, expr: Column, name: str) -> DataFrame:
+    """Add `name` = expr and keep only rows where it is not null, evaluating `expr`
+    once. A plain `where(name IS NOT NULL)` is rewritten by the optimizer into the
+    filter *and* the projection, so an expensive matcher would run twice per row;
+    carrying the value through a generator (explode of a one-element array, empty
+    when null) keeps a single evaluation."""
+    return df.select("*", F.explode(F.when(expr.isNotNull(), F.array(expr))).alias(name))
+
+
 def order_key(cols: Sequence[str], nulls_last: bool = True) -> Column:
     """Ascending sort key as a struct; nulls last via an is-null flag per column."""
     parts = []

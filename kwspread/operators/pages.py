@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
 from kwspread.functions import text as X
-from kwspread.operators.common import keep_first
+from kwspread.operators.common import keep_first, with_nonnull
 
 # HTML entities decoded by the text extraction (applied in this order,
 # '&amp;' last so that '&amp;lt;' stays '&lt;').
@@ -98,9 +98,7 @@ def extract_first_selector(pages: DataFrame, text_selectors: Sequence[str], date
 
 def keyword_filter(rows: DataFrame, keywords: Sequence[str], text_col: str = "text") -> DataFrame:
     """M2 (case-sensitive, first in dictionary order) + M4: keep hits only."""
-    return rows.withColumn("keyword", M.first_match(F.col(text_col), keywords, ci=False)).where(
-        F.col("keyword").isNotNull()
-    )
+    return with_nonnull(rows, M.first_match(F.col(text_col), keywords, ci=False), "keyword")
 
 
 def page_failed(html: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kwspread.functions import match as M
 from kwspread.functions import text as X
 from kwspread.functions import timefmt as T
+from kwspread.operators.common import with_nonnull
 from kwspread.plans import views as V
 from kwspread.plans.registry import register
 
@@ -41,10 +42,8 @@ def match_all(spark, sf_dir):
 WHERE keyword IS NOT NULL""")
 def keyword_comments(spark, sf_dir):
     """M4: keep only rows with a hit (match first, then drop)."""
-    d = _docs(spark, sf_dir).select(
-        "doc_id", "lang", "source", M.first_match(F.col("text"), V.KW, ci=True).alias("keyword")
-    )
-    return d.where(F.col("keyword").isNotNull()).select("doc_id", "keyword", "lang", "source")
+    d = with_nonnull(_docs(spark, sf_dir), M.first_match(F.col("text"), V.KW, ci=True), "keyword")
+    return d.select("doc_id", "keyword", "lang", "source")
 
 
 # DuckDB's RE2 spells Python's whitespace class explicitly.
