@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
 from kwspread.functions import text as X
-from kwspread.operators.common import bounded_lookup, top_n_per_group
+from kwspread.operators.common import bounded_lookup, top_n_per_group, with_nonnull
 
 # Fixed values of the reference: transcript language preference, status values of
 # the progress log, and the default caps.
@@ -39,10 +39,11 @@ def assemble_transcripts(segments: DataFrame, video_col: str = "video_id", order
 
 def matched_videos(transcripts: DataFrame, keywords: Sequence[str]) -> DataFrame:
     """Videos whose transcript has any keyword: video_id, matched_keywords, has_transcript."""
-    mk = M.all_matches_joined(F.col("transcript"), keywords, ci=True)
+    mk = F.nullif(M.all_matches_joined(F.col("transcript"), keywords, ci=True), F.lit(""))
+    # kept through a generator so the matcher runs once per (long) transcript
     return (
-        transcripts.select("video_id", mk.alias("matched_keywords"))
-        .where(F.col("matched_keywords") != "")
+        with_nonnull(transcripts.select("video_id", "transcript"), mk, "matched_keywords")
+        .select("video_id", "matched_keywords")
         .withColumn("has_transcript", F.lit(True))
     )
 

@@ -42,6 +42,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if n < slots else df
 
 
+def compute_once(df: DataFrame, keep: Sequence[str], named: dict[str, Column]) -> DataFrame:
+    """Evaluate expensive per-row expressions exactly once. The values come out of a
+    generator (inline of a one-element array of structs): later filters on them stay
+    above the generator instead of being substituted back into the scan, and joins
+    that stream this side read the generated values instead of re-running them."""
+    s = F.struct(*[e.alias(n) for n, e in named.items()])
+    return df.select(*keep, F.inline(F.array(s)))
+
+
 def with_nonnull(df: DataFrame, expr: Column, name: str) -> DataFrame:
     """Add `name` = expr and keep only rows where it is not null, evaluating `expr`
     once. A plain `where(name IS NOT NULL)` is rewritten by the optimizer into the

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
-from kwspread.operators.common import bounded_lookup, spread
+from kwspread.operators.common import compute_once, spread
 
 # The keyword dictionary of the registered queries, in dictionary
 # order (order decides the "first" hit).
@@ -49,26 +49,23 @@ def _count(spark: SparkSession, sf_dir: str, name: str) -> int:
 
 def keyed_documents(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
     d = text_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
-    return d.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.md5("text").alias("text_md5"),
-        M.first_match(F.col("text"), kw, ci=True).alias("keyword"),
-        M.first_match(F.col("text"), kw, ci=False).alias("keyword_cs"),
-    )
+    # The matchers and the hash run once per document (compute_once), before any
+    # join fan-out; only these narrow columns leave this stage.
+    return compute_once(d, ["doc_id", "lang", "source"], {
+        "text_md5": F.md5("text"),
+        "keyword": M.first_match(F.col("text"), kw, ci=True),
+        "keyword_cs": M.first_match(F.col("text"), kw, ci=False),
+    })
 
 
 def obs(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
     """comment_id, video_id, date (timestamp_ntz), platform, source, keyword, keyword_cs, text_md5, doc_id"""
     n_docs = _count(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    # The keyed documents are a narrow derived dimension (no text). Materialise it
-    # once: the text work (lower, contains, md5) then runs exactly once per document,
-    # filters on the keyword read the materialised rows instead of being pushed down
-    # into the scan and re-evaluating the matcher, and a streamed join cannot re-run
-    # it per matching event. Broadcast under the row bound, shuffle join above it.
-    d = bounded_lookup(keyed_documents(spark, sf_dir, kw))
+    # Keyed documents are narrow (no text) and computed once per document; at scale
+    # this is a sort-merge join on doc_id (AQE splits a hot document), on small
+    # inputs the planner broadcasts the smaller side.
+    d = keyed_documents(spark, sf_dir, kw)
     j = e.join(d, F.pmod(e.event_id, F.lit(n_docs)) == d.doc_id, "inner")
     return j.select(
         F.col("event_id").alias("comment_id"),
