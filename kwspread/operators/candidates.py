@@ -44,18 +44,7 @@ def keyword_period_tags(videos: DataFrame, keywords: Sequence[str], periods: Seq
                         text_col: str = "title", ts_col: str = "published_at", ci: bool = True) -> DataFrame:
     """J9 + M9 + M10 + F12: one row per (video, keyword, period) hit:
     video_id, ord (keyword-major, period-minor insertion order), tag."""
-    kws = [k for k in keywords if k]
-    hay = F.lower(F.col(text_col)) if ci else F.col(text_col)
-    n_p = len(periods)
-    pairs = []
-    for ki, k in enumerate(kws):
-        hit_k = hay.contains(k.lower() if ci else k)
-        for pi, (s, e) in enumerate(periods):
-            s_ts, e_ts = T.lenient_ts(F.lit(s)), T.lenient_ts(F.lit(e))
-            in_p = (F.col(ts_col) >= s_ts) & (F.col(ts_col) < e_ts)  # half-open: end date's midnight excluded
-            tag = X.provenance_tag_keyword(F.lit(k), F.lit(s), F.lit(e))
-            pairs.append(F.when(hit_k & in_p, F.struct(F.lit(ki * n_p + pi).alias("ord"), tag.alias("tag"))))
-    arr = F.filter(F.array(*pairs), lambda x: x.isNotNull())
+    arr = _tag_structs(keywords, periods, text_col, ts_col, ci)
     return videos.select("video_id", F.explode(arr).alias("t")).select("video_id", "t.ord", "t.tag")
 
 
@@ -81,7 +70,8 @@ def merge_provenance(tags: DataFrame) -> DataFrame:
 
 def _tag_structs(keywords: Sequence[str], periods: Sequence[tuple[str, str]],
                  text_col: str = "title", ts_col: str = "published_at", ci: bool = True) -> Column:
-    """Array of struct(ord, tag) for the (keyword, period) pairs this row satisfies."""
+    """Array of struct(ord, tag) for the (keyword, period) pairs this row satisfies;
+    periods are half-open (the end date's midnight is excluded)."""
     kws = [k for k in keywords if k]
     hay = F.lower(F.col(text_col)) if ci else F.col(text_col)
     n_p = len(periods)
@@ -161,10 +151,6 @@ def explode_picked(pool: DataFrame) -> DataFrame:
     return pool.select("*", F.explode(X.keywords_from_provenance(F.col("source"))).alias("picked_by_keyword"))
 
 
-def _dt(c: Column) -> Column:
-    return c if c is not None else F.lit(None)
-
-
 def sample_per_keyword(exploded: DataFrame, mode: str = "oldest", n: int = SAMPLE_N, seed: int = SAMPLE_SEED,
                        ts_col: str = "published_at") -> DataFrame:
     """W1-W3 + D7: per keyword, one row per video, then the N oldest / newest

@@ -58,14 +58,18 @@ def p4_from_obs(obs: DataFrame, with_query: bool) -> DataFrame:
     return obs.select(*cols)
 
 
-def clean_merged(df: DataFrame) -> DataFrame:
+def clean_merged(df: DataFrame, observation=None) -> DataFrame:
     """Per-file cleaning of the merge step: required columns added as '', lenient date
     parse with null dates dropped, keyword/text/platform stripped."""
     cols = list(df.columns) + [c for c in MERGE_REQUIRED if c not in df.columns]
-    out = conform(df, cols)
+    out = conform(df, cols).withColumn("date", T.lenient_ts(F.col("date")))
+    if observation is not None:
+        # Rows lost to unparsable dates are counted, not silently dropped (metrics
+        # arrive with the first action on the result).
+        out = out.observe(observation, F.count(F.lit(1)).alias("rows_in"),
+                          F.count_if(F.col("date").isNull()).alias("unparsable_dates"))
     return (
-        out.withColumn("date", T.lenient_ts(F.col("date")))
-        .where(F.col("date").isNotNull())
+        out.where(F.col("date").isNotNull())
         .withColumn("keyword", X.str_strip(F.col("keyword")))
         .withColumn("text", X.str_strip(F.col("text")))
         .withColumn("platform", X.str_strip(F.col("platform")))

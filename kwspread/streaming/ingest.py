@@ -65,7 +65,12 @@ def append_new_only(out_dir: str):
         fresh = batch.dropDuplicates(["comment_id"])
         try:
             stored = spark.read.parquet(out_dir).select("comment_id")
-            fresh = fresh.join(stored, "comment_id", "left_anti")
+            # The micro-batch is the bounded side (maxFilesPerTrigger): broadcast its
+            # ids, find which are already stored with a semi-join that only scans the
+            # stored table (never shuffles it), then drop those.
+            ids = fresh.select("comment_id")
+            seen = stored.join(F.broadcast(ids), "comment_id", "left_semi")
+            fresh = fresh.join(F.broadcast(seen), "comment_id", "left_anti")
         except Exception as e:  # first batch: nothing stored yet
             if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
