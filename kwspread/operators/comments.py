@@ -48,15 +48,75 @@ def matched_videos(transcripts: DataFrame, keywords: Sequence[str]) -> DataFrame
     )
 
 
+def transcript_keyword_hits(segments: DataFrame, keywords: Sequence[str], video_col: str = "video_id",
+                            pos_col: str = "turn", text_col: str = "text", ci: bool = True) -> DataFrame:
+    """A11 without assembling transcripts: video_id, matched_keywords (dictionary order,
+    ';'-joined) for videos with at least one hit.
+
+    The transcript is the segments joined with one space, so a keyword either lies
+    inside one segment or spans a separator. Each segment is matched on its own; each
+    separator gets a boundary string made of the (L-1) characters before it and the
+    (L-1) after it (L = longest keyword), built from at most L-1 neighbouring segments
+    on each side. Neighbours are found by equi-joining on the unique (video, position)
+    key -- `pos_col` must be the segment's dense position (0, 1, 2, ...), as a landed
+    transcript array's index is -- so a video holding a third of all segments is spread
+    over many tasks instead of being concatenated in one. Flags are combined with a
+    partial `bool_or` per video. Exact: every boundary string is a substring of the
+    transcript and every spanning occurrence lies inside one."""
+    kws = [k for k in dict.fromkeys(keywords) if k]
+    needles = [k.lower() if ci else k for k in kws]
+    seg = segments.select(
+        F.col(video_col).alias("video_id"), F.col(pos_col).cast("long").alias("pos"),
+        (F.lower(F.coalesce(F.col(text_col), F.lit(""))) if ci else F.coalesce(F.col(text_col), F.lit(""))).alias("t"),
+    )
+    flags = lambda s: [s.contains(n).alias(f"f{i}") for i, n in enumerate(needles)]
+    parts = [seg.select("video_id", *flags(F.col("t")))]
+    span = max(len(n) for n in needles) - 1 if needles else 0
+    if span > 0:
+        # Each segment offers itself as left context (d = 0..span-1 positions back from
+        # the separator) and as right context (d = 1..span positions ahead of it).
+        offs = F.array(
+            *[F.struct(F.lit("L").alias("side"), F.lit(d).alias("d")) for d in range(span)],
+            *[F.struct(F.lit("R").alias("side"), F.lit(d).alias("d")) for d in range(1, span + 1)],
+        )
+        ctx = seg.select("video_id", "pos", "t", F.explode(offs).alias("o")).select(
+            "video_id",
+            F.when(F.col("o.side") == "L", F.col("pos") + F.col("o.d")).otherwise(F.col("pos") - F.col("o.d")).alias("anchor"),
+            F.col("o.side").alias("side"), F.col("o.d").alias("d"), "t",
+        ).where(F.col("anchor") >= 0)
+        grouped = ctx.groupBy("video_id", "anchor").agg(
+            F.collect_list(F.struct("side", "d", "t")).alias("c")  # at most 2 * span items
+        )
+        left_items = F.filter("c", lambda x: x["side"] == "L")
+        right_items = F.filter("c", lambda x: x["side"] == "R")
+        # left: farthest first (d descending); right: nearest first (d ascending)
+        left_txt = F.array_join(F.transform(F.reverse(F.array_sort(left_items)), lambda x: x["t"]), " ")
+        right_txt = F.array_join(F.transform(F.array_sort(right_items), lambda x: x["t"]), " ")
+        boundary = F.concat(F.expr(f"right(__l, {span})"), F.lit(" "), F.expr(f"left(__r, {span})"))
+        b = (
+            grouped.where(F.size(right_items) > 0)
+            .select("video_id", left_txt.alias("__l"), right_txt.alias("__r"))
+            .select("video_id", boundary.alias("b"))
+        )
+        parts.append(b.select("video_id", *flags(F.col("b"))))
+    allf = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    per_video = allf.groupBy("video_id").agg(*[F.bool_or(f"f{i}").alias(f"f{i}") for i in range(len(kws))])
+    mk = F.concat_ws(";", *[F.when(F.col(f"f{i}"), F.lit(k)) for i, k in enumerate(kws)])
+    return with_nonnull(per_video, F.nullif(mk, F.lit("")), "matched_keywords").select("video_id", "matched_keywords")
+
+
 def gate_semi(comments: DataFrame, gate: DataFrame, key: str = "video_id") -> DataFrame:
     """Keep comments of gated videos. The gate (distinct ids) is materialised once
     and broadcast under a row bound; otherwise a shuffled semi-join (AQE splits skew)."""
     return comments.join(bounded_lookup(gate.select(key).distinct()), key, "left_semi")
 
 
-def transcript_status(videos: DataFrame, transcripts: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """Per video 'hit' / 'no_hit' / 'no_transcript'."""
-    t = transcripts.select("video_id", M.any_match(F.col("transcript"), keywords, ci=True).alias("__hit"))
+def transcript_status(videos: DataFrame, segments: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per video 'hit' / 'no_hit' / 'no_transcript' from the videos having any
+    segment and the videos with a keyword hit (both one row per video)."""
+    have = segments.select("video_id").distinct()
+    t = have.join(hits.select("video_id", F.lit(True).alias("__h")), "video_id", "left").select(
+        "video_id", F.coalesce(F.col("__h"), F.lit(False)).alias("__hit"))
     j = videos.select("video_id").join(t, "video_id", "left")
     status = (
         F.when(F.col("__hit").isNull(), F.lit("no_transcript"))

@@ -3,6 +3,7 @@ W6-W9, D5, D6, A10-A12, A15, I2)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
@@ -97,9 +98,22 @@ def query_vs_keyword(spark, sf_dir):
     return out.select("query", "comment_id", "video_id", "keyword")
 
 
-def transcripts(spark, sf_dir):
+def segments(spark, sf_dir):
+    """Transcript segments: the user turns of each conversation, with their dense
+    position among those turns (the index a landed transcript array would carry)."""
     segs = V.threads(spark, sf_dir).where(F.col("role") == "user")
-    return C.assemble_transcripts(segs)
+    w = Window.partitionBy("video_id").orderBy("turn")
+    return segs.withColumn("seg", F.row_number().over(w) - 1)
+
+
+def transcripts(spark, sf_dir):
+    return C.assemble_transcripts(segments(spark, sf_dir))
+
+
+def transcript_matches(spark, sf_dir):
+    """A11 via per-segment and boundary matching (no per-video concatenation)."""
+    hits = C.transcript_keyword_hits(segments(spark, sf_dir), V.KW, pos_col="seg")
+    return hits.withColumn("has_transcript", F.lit(True))
 
 
 SQL_TRANSCRIPTS = "WITH " + V.SQL_THREADS + """,
@@ -121,8 +135,9 @@ def transcript_assemble(spark, sf_dir):
 
 @register("matched_videos", SQL_MATCHED + "\nSELECT video_id, matched_keywords, has_transcript FROM mv")
 def matched_videos(spark, sf_dir):
-    """Videos whose transcript contains any keyword, with all hits."""
-    return C.matched_videos(transcripts(spark, sf_dir), V.KW)
+    """Videos whose transcript contains any keyword, with all hits (matches
+    may span segments; found without concatenating transcripts)."""
+    return transcript_matches(spark, sf_dir)
 
 
 SQL_GATED = SQL_MATCHED + ",\n" + V.sql_obs() + """,
@@ -136,7 +151,7 @@ def _ci_hits(spark, sf_dir):
 
 def gated(spark, sf_dir, hits=None):
     hits = _ci_hits(spark, sf_dir) if hits is None else hits
-    return C.gate_semi(hits, C.matched_videos(transcripts(spark, sf_dir), V.KW))
+    return C.gate_semi(hits, transcript_matches(spark, sf_dir))
 
 
 @register("transcript_gate_semi", SQL_GATED + "\nSELECT * FROM gated")
@@ -152,7 +167,7 @@ SELECT status, count(*) AS n FROM (
   FROM cand c LEFT JOIN tr USING (video_id)) GROUP BY status""")
 def transcript_coverage(spark, sf_dir):
     """Candidate videos by transcript status (hit / no_hit / no_transcript)."""
-    s = C.transcript_status(V.cand(spark, sf_dir), transcripts(spark, sf_dir), V.KW)
+    s = C.transcript_status(V.cand(spark, sf_dir), segments(spark, sf_dir), transcript_matches(spark, sf_dir))
     return s.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 

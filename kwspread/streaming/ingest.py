@@ -81,8 +81,10 @@ def append_new_only(out_dir: str):
 
 def start_comment_ingest(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_dir: str,
                          keywords: Sequence[str], available_now: bool = True,
-                         max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Landing -> match -> new ids only -> Parquet, restartable."""
+                         max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """Landing -> match -> new ids only -> Parquet, restartable. The file cap per
+    micro-batch is what bounds the ids the sink broadcasts (availableNow honours it
+    by splitting a backlog into several batches)."""
     rows = match_stream(read_landing(spark, landing_dir, max_files_per_trigger=max_files_per_trigger), keywords)
     w = rows.writeStream.foreachBatch(append_new_only(out_dir)).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
