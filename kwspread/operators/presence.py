@@ -107,6 +107,20 @@ def exists_at(found: DataFrame, points: set[tuple[str, int]], max_videos: int) -
     return {p: got.get(p, False) for p in points}
 
 
+PAIR_BUDGET = 200_000_000  # (row, cutoff) pairs one speculative step may evaluate
+MAX_LOOKAHEAD = 6
+
+
+def lookahead_for(found_rows: int) -> int:
+    """Deepest speculation whose work stays within the per-job budget: a step over d
+    levels evaluates every row against up to 2^d - 1 cutoffs. Small inputs take few
+    sequential jobs; at scale it falls back to one level per job."""
+    d = 1
+    while d < MAX_LOOKAHEAD and max(found_rows, 1) * (2 ** (d + 1) - 1) <= PAIR_BUDGET:
+        d += 1
+    return d
+
+
 def _midpoint(low: dt.datetime, high: dt.datetime) -> dt.datetime:
     return low + (high - low) / 2
 
@@ -182,7 +196,7 @@ def first_presence(spark: SparkSession, found: DataFrame, keywords: Sequence[str
     `found` is checkpointed once (lineage cut; every step re-reads the files)."""
     ensure_checkpoint_dir(spark)
     found = found.checkpoint(eager=True)
-    rows = bracket(found, keywords, start, end, max_videos, iters)
+    rows = bracket(found, keywords, start, end, max_videos, iters, lookahead_for(found.count()))
     br = spark.createDataFrame([tuple(r[f.name] for f in BRACKET_SCHEMA.fields) for r in rows], BRACKET_SCHEMA)
     exact = found.where(F.col("hit")).groupBy("keyword").agg(
         F.timestamp_add("MICROSECOND", F.min("pub_us"), _epoch_col()).alias("exact_first_presence")
