@@ -28,6 +28,15 @@ def bounded_lookup(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFra
     return F.broadcast(frozen) if n <= max_rows else frozen
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate that feeds several branches of one plan once, to the
+    session's shared checkpoint folder (reliable checkpoint: lineage is cut and a lost
+    executor re-reads files instead of re-running scans and text matching). Without
+    it each branch recomputes the whole subtree."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Guard for CPU-heavy text stages: when a scan yields fewer partitions than the
     cluster has task slots (one large row group, a handful of files), spread the rows

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
 from kwspread.operators import diffusion as D
-from kwspread.operators.common import conform
+from kwspread.operators.common import materialize
 from kwspread.plans import views as V
 from kwspread.plans.registry import register
 from kwspread.sources import adapters as A
@@ -131,7 +131,7 @@ MERGED_COLS = ["src_file", "date", "platform", "source", "keyword", "video_id",
 
 
 def collector_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = V.obs(spark, sf_dir)
+    o = materialize(V.obs(spark, sf_dir))  # both collector files derive from it
     return A.union_by_name_conformed(
         [
             A.p4_from_obs(o, with_query=False).withColumn("src_file", F.lit("youtube_collect.csv")),

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from kwspread.operators import presence as PR
+from kwspread.operators.common import materialize
 from kwspread.plans import views as V
 from kwspread.plans.registry import register
 
@@ -21,9 +22,9 @@ _KW_VALUES = ", ".join(f"({i}, '{k}')" for i, k in enumerate(V.KW))
 
 
 def found(spark, sf_dir):
-    o = V.obs(spark, sf_dir).select(
+    o = materialize(V.obs(spark, sf_dir).select(  # read three times by newest_n_any
         F.col("doc_id").alias("video_id"), "comment_id", "date", F.col("keyword_cs").isNotNull().alias("hit")
-    )
+    ))
     hits = PR.newest_n_any(o, MAX_COMMENTS, "hit")
     return PR.found_videos(V.cand(spark, sf_dir), hits, V.KW)
 

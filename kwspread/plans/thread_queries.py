@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kwspread.functions import match as M
 from kwspread.functions import text as X
 from kwspread.operators import comments as C
+from kwspread.operators.common import materialize
 from kwspread.plans import views as V
 from kwspread.plans.registry import register
 from kwspread.sources import landed_json as J
@@ -192,7 +193,7 @@ SELECT comment_id, video_id, keyword FROM obs
 WHERE keyword IS NOT NULL AND comment_id NOT IN (SELECT comment_id FROM gated)""")
 def new_comments_anti(spark, sf_dir):
     """A full scan appending to the gated run's output skips stored ids."""
-    hits = _ci_hits(spark, sf_dir)
+    hits = materialize(_ci_hits(spark, sf_dir))  # scanned and gated: read twice
     return C.new_only(hits, gated(spark, sf_dir, hits))
 
 
