@@ -6,18 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kwspread.session import ensure_checkpoint_dir
 
 # A derived lookup (first hits per group, matched videos, ...) is broadcast only when
-# its materialised row count is at most this; above it the join stays a shuffle join
-# that AQE can split when keys are skewed.
+# its materialised row count and its estimated size are within these bounds; above
+# them the join stays a shuffle join that AQE can split when keys are skewed.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+_STRING_BYTES = 48  # assumed average for strings / binary in the size estimate
 
 
-def bounded_lookup(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def estimated_row_bytes(dt: T.DataType) -> int:
+    """Rough in-memory width of one value of `dt` (strings at an assumed average)."""
+    if isinstance(dt, T.StructType):
+        return sum(estimated_row_bytes(f.dataType) for f in dt.fields) + 8
+    if isinstance(dt, (T.ArrayType, T.MapType)):
+        return 16 * _STRING_BYTES
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return _STRING_BYTES
+    return 8
+
+
+def bounded_lookup(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Materialise a small derived table once (reliable checkpoint in the session's
-    shared checkpoint folder), count it, and mark it for broadcast only under the bound.
+    shared checkpoint folder), count it, and mark it for broadcast only when both its
+    row count and its estimated size (rows x schema width) are under the bounds.
 
     The checkpoint cuts lineage, so the consumer does not recompute the aggregate
     and a lost executor re-reads the checkpoint files instead of re-scanning input.
@@ -25,7 +41,8 @@ def bounded_lookup(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFra
     ensure_checkpoint_dir(df.sparkSession)
     frozen = df.checkpoint(eager=True)
     n = frozen.count()
-    return F.broadcast(frozen) if n <= max_rows else frozen
+    small = n <= max_rows and n * estimated_row_bytes(frozen.schema) <= max_bytes
+    return F.broadcast(frozen) if small else frozen
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -95,3 +95,15 @@ def test_hot_key_is_pre_aggregated(sdf):
     assert "partial_count" in plan
     plan = keep_first(sdf, ["video_id"], ["date"])._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan and "Window" not in plan
+
+
+def test_bounded_lookup_respects_row_and_byte_bounds(spark):
+    from kwspread.operators.common import bounded_lookup
+
+    def hinted(d):
+        return "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+
+    df = spark.range(100).withColumn("s", F.lit("x"))
+    assert hinted(bounded_lookup(df))                     # 100 rows, ~5 KB: broadcast
+    assert not hinted(bounded_lookup(df, max_rows=50))    # over the row bound
+    assert not hinted(bounded_lookup(df, max_bytes=10))   # over the byte bound
