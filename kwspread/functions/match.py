@@ -57,6 +57,8 @@ def first_match(text: Column, keywords: Sequence[str], ci: bool = True) -> Colum
 
 def all_matches_joined(text: Column, keywords: Sequence[str], ci: bool = True, sep: str = ";") -> Column:
     """All dictionary keywords contained in `text`, dictionary order, `sep`-joined ('' if none)."""
+    if len([k for k in keywords if k]) > LARGE_DICTIONARY:
+        return all_matches_automaton(text, [k for k in keywords if k], ci, sep)
     hay = _hay(text, ci)
     parts = [F.when(hay.contains(_needle(k, ci)), F.lit(k)) for k in keywords if k]
     if not parts:
@@ -74,6 +76,8 @@ def all_matches_array(text: Column, keywords: Sequence[str], ci: bool = True) ->
 
 
 def any_match(text: Column, keywords: Sequence[str], ci: bool = True) -> Column:
+    if len([k for k in keywords if k]) > LARGE_DICTIONARY:
+        return F.coalesce(first_match(F.coalesce(text, F.lit("")), keywords, ci).isNotNull(), F.lit(False))
     hay = _hay(text, ci)
     conds = [hay.contains(_needle(k, ci)) for k in keywords if k]
     if not conds:
@@ -114,6 +118,42 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _automaton(kws: Sequence[str], ci: bool):
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for i, k in enumerate(kws):
+        needle = k.lower() if ci else k
+        prev = auto.get(needle, None)
+        if prev is None:
+            auto.add_word(needle, [i])
+        else:
+            prev.append(i)
+    auto.make_automaton()
+    return auto
+
+
+def all_matches_automaton(text: Column, keywords: Sequence[str], ci: bool = True, sep: str = ";") -> Column:
+    """Large-dictionary variant of all_matches_joined (dictionary order, '' if none)."""
+    kws = list(keywords)
+
+    @F.pandas_udf("string")
+    def _all(s: pd.Series) -> pd.Series:
+        auto = _automaton(kws, ci)
+        out = []
+        for t in s:
+            if t is None or t == "":
+                out.append("")
+                continue
+            hit = set()
+            for _, idxs in auto.iter(t.lower() if ci else t):
+                hit.update(idxs)
+            out.append(sep.join(kws[i] for i in sorted(hit)))
+        return pd.Series(out, dtype="object")
+
+    return _all(text)
+
+
 def first_match_automaton(text: Column, keywords: Sequence[str], ci: bool = True) -> Column:
     """Large-dictionary variant: Aho-Corasick per Arrow batch (first in dictionary order)."""
     kws = list(keywords)
