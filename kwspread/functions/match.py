@@ -68,6 +68,9 @@ def all_matches_joined(text: Column, keywords: Sequence[str], ci: bool = True, s
 
 def all_matches_array(text: Column, keywords: Sequence[str], ci: bool = True) -> Column:
     """All hits as an array (dictionary order). Use for exploding to (row, keyword)."""
+    if len([k for k in keywords if k]) > LARGE_DICTIONARY:
+        joined = all_matches_automaton(text, [k for k in keywords if k], ci, "\x1f")
+        return F.filter(F.split(joined, "\x1f"), lambda x: x != "")
     hay = _hay(text, ci)
     parts = [F.when(hay.contains(_needle(k, ci)), F.lit(k)) for k in keywords if k]
     if not parts:

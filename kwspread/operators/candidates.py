@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kwspread.functions import match as M
 from kwspread.functions import text as X
 from kwspread.functions import timefmt as T
 from kwspread.operators.common import bounded_lookup, top_n_per_group, with_nonnull
@@ -116,14 +117,24 @@ def candidate_pool(videos: DataFrame, keywords: Sequence[str], periods: Sequence
     pers = list(dict.fromkeys(periods))
     # Step 1: one hit flag per keyword (the lowered title is shared by all of them);
     # step 2 builds the tags from the flags, so the text is never lowered per branch.
-    hay = F.lower(F.col("title"))
-    v = v.select("*", *[hay.contains(k.lower()).alias(f"__kw{i}") for i, k in enumerate(kws)])
     parts = []
-    for i, k in enumerate(kws):
-        hit_k = F.col(f"__kw{i}")
-        for s, e in pers:
-            in_p = (F.col("published_at") >= T.lenient_ts(F.lit(s))) & (F.col("published_at") < T.lenient_ts(F.lit(e)))
-            parts.append(F.when(hit_k & in_p, X.provenance_tag_keyword(F.lit(k), F.lit(s), F.lit(e))))
+    if len(kws) > M.LARGE_DICTIONARY:
+        # Large dictionary: hits come from the automaton (dictionary order); tags are
+        # the keyword-major x period-minor product of hits and the periods this row is in.
+        hits = M.all_matches_array(F.col("title"), kws, ci=True)
+        in_pers = F.filter(F.array(*[
+            F.when((F.col("published_at") >= T.lenient_ts(F.lit(s))) & (F.col("published_at") < T.lenient_ts(F.lit(e))),
+                   F.struct(F.lit(s).alias("s"), F.lit(e).alias("e"))) for s, e in pers]), lambda x: x.isNotNull())
+        kw_tags = F.flatten(F.transform(hits, lambda k: F.transform(in_pers, lambda p: X.provenance_tag_keyword(k, p["s"], p["e"]))))
+        parts.append(F.nullif(F.array_join(kw_tags, ";"), F.lit("")))
+    else:
+        hay = F.lower(F.col("title"))
+        v = v.select("*", *[hay.contains(k.lower()).alias(f"__kw{i}") for i, k in enumerate(kws)])
+        for i, k in enumerate(kws):
+            hit_k = F.col(f"__kw{i}")
+            for s, e in pers:
+                in_p = (F.col("published_at") >= T.lenient_ts(F.lit(s))) & (F.col("published_at") < T.lenient_ts(F.lit(e)))
+                parts.append(F.when(hit_k & in_p, X.provenance_tag_keyword(F.lit(k), F.lit(s), F.lit(e))))
     if channels is not None:
         lookup = bounded_lookup(channels.select("channel_id", F.col("ch_ord").alias("__ch_ord")))
         v = v.join(lookup, "channel_id", "left")

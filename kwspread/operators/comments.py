@@ -218,8 +218,7 @@ def search_attribution(videos: DataFrame, comments: DataFrame, queries: Sequence
     comments matched against *all* keywords; one comment can appear under several
     queries and `query` may differ from `keyword`."""
     qs = [q for q in queries if q]
-    hay = F.lower(F.col("title"))
-    found_arr = F.filter(F.array(*[F.when(hay.contains(q.lower()), F.lit(q)) for q in qs]), lambda x: x.isNotNull())
+    found_arr = M.all_matches_array(F.col("title"), qs, ci=True)  # automaton for large lists
     found = videos.select("video_id", ts_col, F.explode(found_arr).alias("query"))
     found = top_n_per_group(found, ["query"], [F.col(ts_col).desc_nulls_last(), F.col("video_id").asc()], per_query)
     hits = comments.where(F.col(keyword_col).isNotNull())

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kwspread.functions.match import all_matches_array
 from kwspread.operators.common import bounded_lookup, top_n_per_group
 from kwspread.session import ensure_checkpoint_dir
 
@@ -71,10 +72,7 @@ def newest_n_any(rows: DataFrame, n: int, hit_col: str, video_col: str = "video_
 def found_videos(videos: DataFrame, video_hits: DataFrame, keywords: Sequence[str], ci: bool = True) -> DataFrame:
     """keyword, video_id, pub_us, hit: videos found by searching each keyword in the
     metadata (M10), with the video's hit flag (false when it has no comments)."""
-    hay = F.lower(F.col("title")) if ci else F.col("title")
-    kws = [k for k in keywords if k]
-    arr = F.filter(F.array(*[F.when(hay.contains(k.lower() if ci else k), F.lit(k)) for k in kws]),
-                   lambda x: x.isNotNull())
+    arr = all_matches_array(F.col("title"), keywords, ci=ci)  # automaton for large dictionaries
     f = videos.select("video_id", to_us(F.col("published_at")).alias("pub_us"), F.explode(arr).alias("keyword"))
     f = f.join(video_hits.withColumnRenamed("has_hit", "hit"), "video_id", "left")
     return f.select("keyword", "video_id", "pub_us", F.coalesce("hit", F.lit(False)).alias("hit"))
