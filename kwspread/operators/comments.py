@@ -69,8 +69,7 @@ def transcript_keyword_hits(segments: DataFrame, keywords: Sequence[str], video_
         F.col(video_col).alias("video_id"), F.col(pos_col).cast("long").alias("pos"),
         (F.lower(F.coalesce(F.col(text_col), F.lit(""))) if ci else F.coalesce(F.col(text_col), F.lit(""))).alias("t"),
     )
-    flags = lambda s: [s.contains(n).alias(f"f{i}") for i, n in enumerate(needles)]
-    parts = [seg.select("video_id", *flags(F.col("t")))]
+    parts = [seg.select("video_id", F.col("t").alias("m"))]
     span = max(len(n) for n in needles) - 1 if needles else 0
     if span > 0:
         # Each segment offers itself as left context (d = 0..span-1 positions back from
@@ -98,9 +97,22 @@ def transcript_keyword_hits(segments: DataFrame, keywords: Sequence[str], video_
             .select("video_id", left_txt.alias("__l"), right_txt.alias("__r"))
             .select("video_id", boundary.alias("b"))
         )
-        parts.append(b.select("video_id", *flags(F.col("b"))))
-    allf = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    per_video = allf.groupBy("video_id").agg(*[F.bool_or(f"f{i}").alias(f"f{i}") for i in range(len(kws))])
+        parts.append(b.select("video_id", F.col("b").alias("m")))
+    texts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if len(kws) > M.LARGE_DICTIONARY:
+        # Large dictionary: automaton hits on the (already case-folded) texts, distinct
+        # (video, needle), dictionary order from a dictionary table whose size is the
+        # dictionary's (a parameter, safe to broadcast); per video at most |dictionary|.
+        dict_df = segments.sparkSession.createDataFrame(
+            [(i, n, k) for i, (n, k) in enumerate(zip(needles, kws))], "ord int, needle string, keyword string")
+        hits = texts.select("video_id", F.explode(
+            M.all_matches_array(F.col("m"), list(dict.fromkeys(needles)), ci=False)).alias("needle")).distinct()
+        ordered = F.array_sort(F.collect_list(F.struct("ord", "keyword")))
+        return hits.join(F.broadcast(dict_df), "needle").groupBy("video_id").agg(
+            F.array_join(F.transform(ordered, lambda x: x["keyword"]), ";").alias("matched_keywords"))
+    flags = [F.col("m").contains(n).alias(f"f{i}") for i, n in enumerate(needles)]
+    per_video = texts.select("video_id", *flags).groupBy("video_id").agg(
+        *[F.bool_or(f"f{i}").alias(f"f{i}") for i in range(len(kws))])
     mk = F.concat_ws(";", *[F.when(F.col(f"f{i}"), F.lit(k)) for i, k in enumerate(kws)])
     return with_nonnull(per_video, F.nullif(mk, F.lit("")), "matched_keywords").select("video_id", "matched_keywords")
 
