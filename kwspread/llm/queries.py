@@ -5,12 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from kwspread.llm import fingerprints, host_rules
 from kwspread.llm.registry import QUERIES, read, register
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+@register("op6_multiset_hash")
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, of its edited text, and their likeness."""
+    return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @register("op8_pack_documents")
 def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and packed into windows of 4096 tokens."""
@@ -20,6 +27,13 @@ def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path(WORD_BPE), window=4096, end_id=2)
 
 
+@register("op9_host_rules", host_rules.SQL)
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document with the verdict on its host (source)."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return host_rules.host_rules(docs).select(*host_rules.RESULT)
+
+
 @register("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as Parquet list columns and read back."""
