@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from kwspread.session import ensure_checkpoint_dir
 #: `bytes.split()` cuts UTF-8 at exactly these ASCII characters.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
+#: Text that a worker handles at a time.
+SLICE_BYTES = 4 << 20
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder."""
@@ -44,6 +48,19 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about `most` bytes of text (one row at least), so
+    that a worker's memory follows the slice and the longest text."""
+    sizes = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(sizes):
+        base = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices starts[0]..starts[0]+lens[0]-1, starts[1].. one after the other."""
     total = int(lens.sum())
@@ -53,20 +70,29 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-class Slots(dict):
-    """Numbers keys in order of first sight; `new` holds those not yet described."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of the texts one after the other, dictionary encoded, and the number of
+    words of each text (null: none)."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    words = lists.flatten()
+    blank = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if blank.any():  # at the ends of a text only
+        counts -= segment_sums(blank, counts)
+        words = words.filter(pa.array(~blank))
+    return words.dictionary_encode(), counts
 
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
 
-    def numbered(self, lists: list[list[bytes]]) -> np.ndarray:
-        n = sum(map(len, lists))
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int32, n)
+class Slots(dict):
+    """Numbers distinct words in order of first sight."""
+
+    def numbered(self, words: pa.DictionaryArray) -> tuple[np.ndarray, list[str]]:
+        """The number of each word, and the words that are new."""
+        distinct = words.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self]
+        self.update(zip(new, range(len(self), len(self) + len(new))))
+        slots = np.fromiter(map(self.__getitem__, distinct), np.int32, len(distinct))
+        return slots[words.indices.to_numpy()], new
 
 
 class Pool:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kwspread.llm.common import materialise, utf8
+from kwspread.llm.common import materialise, text_slices
 from kwspread.llm.word_tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -42,8 +43,8 @@ SEQUENCES_PER_GROUP = 1 << 32
 def _cut(path: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            flat, size = enc.encode(utf8(batch.column("text")))
+        for batch in chain.from_iterable(map(text_slices, batches)):
+            flat, size = enc.encode(batch.column("text"))
             ids = np.insert(flat, np.cumsum(size), end_id).astype("<u4")
             size = size + 1
             at = np.cumsum(size) - size

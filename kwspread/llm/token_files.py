@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kwspread.llm.common import scratch_path, utf8
+from kwspread.llm.common import scratch_path, text_slices
 from kwspread.llm.word_tokens import encoder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -43,8 +44,8 @@ def _encode_sorted(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        for batch in batches:
-            flat, size = enc.encode(utf8(batch.column("text")))
+        for batch in chain.from_iterable(map(text_slices, batches)):
+            flat, size = enc.encode(batch.column("text"))
             ends = np.cumsum(size)
             ids = np.insert(flat, ends, end_id).astype(np.int32)
             size = size + 1
