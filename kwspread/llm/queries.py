@@ -5,26 +5,47 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kwspread.llm import fingerprints, host_rules
+from kwspread.llm import fingerprints, host_rules, packing, quality, token_files, url_filter
 from kwspread.llm.registry import QUERIES, read, register
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+#: Rules of the url contract, prefix and verdict.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+@register("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page url; the urls that a rule decides are the labelled table."""
+    return url_filter.judge_urls(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 @register("op6_multiset_hash")
 def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, of its edited text, and their likeness."""
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@register("op7_quality_network")
+def op7_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.quality_digest(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 @register("op8_pack_documents")
 def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and packed into windows of 4096 tokens."""
-    from kwspread.llm.packing import pack_documents
-
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return pack_documents(docs, public_tokenizers.path(WORD_BPE), window=4096, end_id=2)
+    return packing.pack_documents(docs, public_tokenizers.path(WORD_BPE), window=4096, end_id=2)
 
 
 @register("op9_host_rules", host_rules.SQL)
@@ -37,10 +58,8 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as Parquet list columns and read back."""
-    from kwspread.llm.token_files import token_files_digest
-
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return token_files_digest(docs, public_tokenizers.path(WORD_BPE), end_id=1)
+    return token_files.token_files_digest(docs, public_tokenizers.path(WORD_BPE), end_id=1)
 
 
 def llm_queries() -> dict:
