@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kwspread.llm import bpe_automaton, fingerprints, host_rules, packing, personal_data, quality, token_files, url_filter
+from kwspread.llm import bpe_automaton, fingerprints, host_rules, lsh_forest, packing, personal_data, quality, token_files, url_filter
 from kwspread.llm.registry import QUERIES, read, register
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -28,6 +28,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
 
 
+@register("op3_lsh_forest")
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return lsh_forest.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @register("op4_bpe_automaton")
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the automaton and decoded again."""
