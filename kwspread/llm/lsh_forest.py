@@ -9,9 +9,10 @@
    number are spread over tasks. A task walks its stretch once: neighbours whose common
    prefix is deep enough are candidates. How deep adapts to the region: where at most
    CROWD rows share MIN_DEPTH values all of them are neighbours; a crowded region is
-   split at the next depth, and its rows keep their nearest neighbours and the first row
-   of the region, so the number of pairs stays in proportion to the rows. Two bits of 64
-   signature values travel along and drop pairs that are far from similar.
+   split at the next depth, and its rows keep their nearest neighbours and the centres of
+   the regions around them (the longest run of equal prefixes: what most copies agree
+   on), so the number of pairs stays in proportion to the rows. Two bits of 64 signature
+   values travel along and drop pairs that are far from similar.
 3. Confirmation on full sets: components of the candidate graph are dealt into bins.
    A component of more than MAX_PART classes is cut into parts that each get the class
    with the most candidates as a common hub; pairs inside a part and with the hub are
@@ -52,6 +53,8 @@ SKETCH_VALUES = 64
 #: Least share of equal 2-bit values: 0.85 expected at similarity 0.8, minus 4.5 deviations.
 SKETCH_LEAST = 0.65
 CROWD = 8
+#: Crowded regions down to this depth link their rows to their centre.
+CENTRES_TO = 6
 #: Rows of one region that a task holds at once.
 MAX_HELD = 50_000
 MAX_PART = 200
@@ -203,9 +206,17 @@ def neighbour_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hit = np.flatnonzero(least >= np.maximum(floor, MIN_DEPTH))
         left.append(hit)
         right.append(hit + offset)
-    for depth in (MIN_DEPTH, (MIN_DEPTH + MAX_DEPTH) // 2):
-        crowded = np.flatnonzero((need > depth) & (starts[depth] < np.arange(n)))
-        left.append(starts[depth][crowded])
+    runs, sizes = np.unique(starts[MAX_DEPTH], return_counts=True)
+    for depth in range(MIN_DEPTH, CENTRES_TO + 1):
+        # The centre of a region is the first row of its longest run of equal prefixes.
+        region = starts[depth]
+        order = np.lexsort((runs, -sizes, region[runs]))
+        owner, first = np.unique(region[runs][order], return_index=True)
+        centre = np.zeros(n, np.int64)
+        centre[owner] = runs[order[first]]
+        centre = centre[region]
+        crowded = np.flatnonzero((need > depth) & (centre != np.arange(n)))
+        left.append(centre[crowded])
         right.append(crowded)
     return np.concatenate(left), np.concatenate(right)
 
@@ -355,10 +366,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialise(candidate_pairs(classes), "pairs")
     links = confirmed_links(docs, classes, pairs)
     # A doc_id with several texts is one document: its classes are linked through it.
-    homes = usable.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key")
-    own = homes.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    shared = own.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("v")).where("least <> v")
-    joined = components(links.union(shared.select("least", "v")), "linked")
+    repeated = usable.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    homes = usable.select("doc_id", "set_key").join(repeated, "doc_id").join(classes.select("set_key", "node"), "set_key")
+    shared = homes.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    joined = components(links.union(shared), "linked")
     labels = classes.select("set_key", "node").join(joined, "node", "left")
     labels = labels.select("set_key", F.coalesce("component", "node").alias("component_id"))
     result = described.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
