@@ -5,13 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kwspread.llm import bpe_automaton, fingerprints, host_rules, lsh_forest, packing, personal_data, quality, token_files, url_filter
+from kwspread.llm import bpe_automaton, fingerprints, host_rules, lsh_forest, packing, personal_data, quality, substring_dedup, token_files, url_filter
 from kwspread.llm.registry import QUERIES, read, register
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+@register("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that occur elsewhere, too."""
+    return substring_dedup.substring_digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 #: Rules of the url contract, prefix and verdict.
 URL_RULES = [
     ("com/", "allow"),
