@@ -185,8 +185,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     return picked.orderBy(order, "doc_id", "quality", "text").limit(most).select("text", "quality").toArrow()
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` (at least doc_id, text) with a column `score`."""
+def score_quality(docs: DataFrame, labels: DataFrame, out: str = "score") -> DataFrame:
+    """`docs` (at least doc_id, text) with a column `out`, the score."""
     sample = training_rows(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast(
         fit_quality(sample.column("text").combine_chunks(), sample.column("quality").to_numpy())
@@ -198,11 +198,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             shape, word, counts = symbols.of(batch.column("text"))
             z = _pool(net["table"], shape, counts) + _pool(net["table"], word, counts)
             logits = _forward(z, net) / net["t"]
-            yield batch.append_column("score", pa.array(1 / (1 + np.exp(-logits)), pa.float64()))
+            yield batch.append_column(out, pa.array(1 / (1 + np.exp(-logits)), pa.float64()))
 
-    columns = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*columns).withColumn("score", F.lit(0.0)).schema
-    return docs.select(*columns).mapInArrow(score, schema)
+    if out in docs.columns:
+        raise ValueError(f"docs has a column {out!r}; name another one for the score")
+    return docs.mapInArrow(score, docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -140,10 +140,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
-    """Add `row`, the doc_id where these are whole and unique, else a hash with the text."""
+    """Add `repeat_row`, the doc_id where these are whole and unique, else a hash with the text."""
     told = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.max(F.col("doc_id").isNull())).first()
     plain = told[0] is None or (told[0] == 1 and not told[1])
-    return docs.withColumn("row", F.col("doc_id").cast("long") if plain else F.xxhash64("doc_id", "text"))
+    return docs.withColumn("repeat_row", F.col("doc_id").cast("long") if plain else F.xxhash64("doc_id", "text"))
 
 
 def _segment_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +211,9 @@ def _search(found: DataFrame, shards: int) -> DataFrame:
 
 
 def repeated_segments(docs: DataFrame) -> DataFrame:
-    """row, hits (at and mask of segments) of the documents with repeated windows; `docs`
-    needs row and text."""
-    texts = docs.select("row", "text")
+    """repeat_row, repeat_hits (at and mask of segments) of the documents with repeated
+    windows; `docs` needs repeat_row and text."""
+    texts = docs.select(F.col("repeat_row").alias("row"), "text")
     every = materialise(texts.mapInArrow(_anchor_rows, ANCHORS), "anchors")
     again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     some = materialise(every.join(again, "anchor"), "repeated-anchors")
@@ -242,7 +242,7 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
         masks = masks.union(bits.groupBy("of_anchor", "of_content").agg(own))
     masks = materialise(masks, "masks")
     hit = some.join(masks, ["anchor", "content"]).select("row", "at", "mask").distinct()
-    return hit.groupBy("row").agg(F.collect_list(F.struct("at", "mask")).alias("hits"))
+    return hit.groupBy(F.col("row").alias("repeat_row")).agg(F.collect_list(F.struct("at", "mask")).alias("repeat_hits"))
 
 
 def covered_words(n: int, hits: list[dict] | None) -> np.ndarray:
@@ -258,27 +258,28 @@ def covered_words(n: int, hits: list[dict] | None) -> np.ndarray:
 
 def _judged(docs: DataFrame) -> DataFrame:
     keyed = keyed_rows(docs)
-    return keyed.join(repeated_segments(keyed), "row", "left").drop("row")
+    return keyed.join(repeated_segments(keyed), "repeat_row", "left").drop("repeat_row")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The same rows; texts with repeated windows become their other words, joined by one
     space. Columns other than text are kept."""
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(map(text_slices, batches)):
             texts = []
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+            for text, hits in zip(batch.column("text").to_pylist(), batch.column("repeat_hits").to_pylist(), strict=True):
                 if hits:
                     words = text.encode().split()
                     gone = covered_words(len(words), hits)
                     text = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode()
                 texts.append(text)
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(docs.columns)
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
     judged = _judged(docs)
-    return judged.select(*docs.columns, "hits").mapInArrow(run, docs.schema)
+    return judged.select(*columns, "repeat_hits").mapInArrow(run, docs.schema)
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -290,7 +291,7 @@ def substring_digest(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(map(text_slices, batches)):
             out: tuple[list, ...] = ([], [], [])
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+            for text, hits in zip(batch.column("text").to_pylist(), batch.column("repeat_hits").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 kept = words
                 if hits:
@@ -304,4 +305,4 @@ def substring_digest(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return _judged(docs.select("doc_id", "text")).select("doc_id", "text", "hits").mapInArrow(run, DIGEST)
+    return _judged(docs.select("doc_id", "text")).select("doc_id", "text", "repeat_hits").mapInArrow(run, DIGEST)
