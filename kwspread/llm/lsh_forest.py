@@ -9,7 +9,7 @@
    number are spread over tasks. A task walks its stretch once: neighbours whose common
    prefix is deep enough are candidates. How deep adapts to the region: where at most
    CROWD rows share MIN_DEPTH values all of them are neighbours; a crowded region is
-   split at the next depth, and its rows keep their nearest neighbours and the centres of
+   split at the next depth, and its rows keep two nearest neighbours and the centres of
    the regions around them (the longest run of equal prefixes: what most copies agree
    on), so the number of pairs stays in proportion to the rows. Two bits of 64 signature
    values travel along and drop pairs that are far from similar.
@@ -53,6 +53,8 @@ SKETCH_VALUES = 64
 #: Least share of equal 2-bit values: 0.85 expected at similarity 0.8, minus 4.5 deviations.
 SKETCH_LEAST = 0.65
 CROWD = 8
+#: A crowded row's nearest neighbour is a candidate from this depth on.
+NEAREST_DEPTH = 5
 #: Crowded regions down to this depth link their rows to their centre.
 CENTRES_TO = 6
 #: Rows of one region that a task holds at once.
@@ -202,8 +204,12 @@ def neighbour_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if offset >= n:
             break
         least = np.minimum(least[: n - offset], common[offset - 1 :][: n - offset])
-        floor = np.minimum(need[: n - offset], MIN_DEPTH) if offset == 1 else need[: n - offset]
-        hit = np.flatnonzero(least >= np.maximum(floor, MIN_DEPTH))
+        floor = need[: n - offset]
+        if offset == 1:  # the nearest neighbour, also in a crowd that deeper prefixes don't part
+            floor = np.minimum(floor, NEAREST_DEPTH)
+        elif offset > 2:  # a crowd is linked through its centres; two neighbours are enough
+            floor = np.where(floor > MIN_DEPTH, MAX_DEPTH + 1, floor)
+        hit = np.flatnonzero(least >= floor)
         left.append(hit)
         right.append(hit + offset)
     runs, sizes = np.unique(starts[MAX_DEPTH], return_counts=True)
