@@ -1,24 +1,19 @@
 """Keyword matching as native Column expressions.
 
-Matchers are `CASE WHEN contains(...)` chains: they stay inside whole-stage codegen
-and cost one pass over the lowered text. Dictionary order decides the "first" hit,
-not the position in the text. Blank keywords are skipped.
-
-For dictionaries beyond `LARGE_DICTIONARY` entries the chain becomes long (generated
-method size, O(k) scans); `first_match_automaton` switches to an Aho-Corasick
-automaton in an Arrow-batched pandas UDF.
+One path for every dictionary size: the dictionary is an array literal, and the hits of
+a text are that array filtered by `contains` (JVM-side, no Python). The text is lowered
+once per row: it is bound to a lambda variable before the dictionary is walked.
+Dictionary order decides the "first" hit, not the position in the text. Blank keywords
+are skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LARGE_DICTIONARY = 128
-
 
 def clean_keywords(keywords: Sequence[str]) -> list[str]:
     """Strip and drop blanks, keep order (CLI / YAML dictionary rule)."""
@@ -32,158 +27,33 @@ def clean_keywords(keywords: Sequence[str]) -> list[str]:
     return out
 
 
-def _hay(text: Column, ci: bool) -> Column:
-    return F.lower(text) if ci else text
-
-
-def _needle(k: str, ci: bool) -> str:
-    return k.lower() if ci else k
+def _hits(text: Column, keywords: Sequence[str], ci: bool) -> Column:
+    """Array of the dictionary keywords contained in `text`, in dictionary order; null
+    for a null text."""
+    kws = [k for k in keywords if k]
+    if not kws:
+        return F.array().cast("array<string>")
+    if ci:
+        entries = F.arrays_zip(F.lit([k.lower() for k in kws]).alias("n"), F.lit(kws).alias("k"))
+        found = lambda h: F.transform(F.filter(entries, lambda e: h.contains(e["n"])), lambda e: e["k"])
+        return F.get(F.transform(F.array(F.lower(text)), found), F.lit(0))
+    return F.get(F.transform(F.array(text), lambda h: F.filter(F.lit(kws), lambda k: h.contains(k))), F.lit(0))
 
 
 def first_match(text: Column, keywords: Sequence[str], ci: bool = True) -> Column:
     """First dictionary keyword contained in `text`; null when none or text empty."""
-    kws = [k for k in keywords if k]
-    if len(kws) > LARGE_DICTIONARY:
-        return first_match_automaton(text, kws, ci)
-    hay = _hay(text, ci)
-    expr = None
-    for k in kws:
-        cond = hay.contains(_needle(k, ci))
-        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-    if expr is None:
-        return F.lit(None).cast("string")
-    return F.when((text.isNull()) | (text == ""), F.lit(None).cast("string")).otherwise(expr)
-
-
-def all_matches_joined(text: Column, keywords: Sequence[str], ci: bool = True, sep: str = ";") -> Column:
-    """All dictionary keywords contained in `text`, dictionary order, `sep`-joined ('' if none)."""
-    if len([k for k in keywords if k]) > LARGE_DICTIONARY:
-        return all_matches_automaton(text, [k for k in keywords if k], ci, sep)
-    hay = _hay(text, ci)
-    parts = [F.when(hay.contains(_needle(k, ci)), F.lit(k)) for k in keywords if k]
-    if not parts:
-        return F.lit("")
-    return F.coalesce(F.concat_ws(sep, *parts), F.lit(""))
+    return F.get(_hits(F.nullif(text, F.lit("")), keywords, ci), F.lit(0))
 
 
 def all_matches_array(text: Column, keywords: Sequence[str], ci: bool = True) -> Column:
     """All hits as an array (dictionary order). Use for exploding to (row, keyword)."""
-    if len([k for k in keywords if k]) > LARGE_DICTIONARY:
-        joined = all_matches_automaton(text, [k for k in keywords if k], ci, "\x1f")
-        return F.filter(F.split(joined, "\x1f"), lambda x: x != "")
-    hay = _hay(text, ci)
-    parts = [F.when(hay.contains(_needle(k, ci)), F.lit(k)) for k in keywords if k]
-    if not parts:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+    return F.coalesce(_hits(text, keywords, ci), F.array().cast("array<string>"))
+
+
+def all_matches_joined(text: Column, keywords: Sequence[str], ci: bool = True, sep: str = ";") -> Column:
+    """All dictionary keywords contained in `text`, dictionary order, `sep`-joined ('' if none)."""
+    return F.array_join(all_matches_array(text, keywords, ci), sep)
 
 
 def any_match(text: Column, keywords: Sequence[str], ci: bool = True) -> Column:
-    if len([k for k in keywords if k]) > LARGE_DICTIONARY:
-        return F.coalesce(first_match(F.coalesce(text, F.lit("")), keywords, ci).isNotNull(), F.lit(False))
-    hay = _hay(text, ci)
-    conds = [hay.contains(_needle(k, ci)) for k in keywords if k]
-    if not conds:
-        return F.lit(False)
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return F.coalesce(out, F.lit(False))
-
-
-def sql_first_match(text_sql: str, keywords: Sequence[str], ci: bool = True) -> str:
-    """Same matcher as ANSI SQL text (used for the DuckDB oracle)."""
-    hay = f"lower({text_sql})" if ci else text_sql
-    whens = " ".join(
-        f"WHEN contains({hay}, {_sql_str(_needle(k, ci))}) THEN {_sql_str(k)}" for k in keywords if k
-    )
-    return f"(CASE WHEN {text_sql} IS NULL OR {text_sql} = '' THEN NULL {whens} ELSE NULL END)"
-
-
-def sql_all_matches(text_sql: str, keywords: Sequence[str], ci: bool = True, sep: str = ";") -> str:
-    hay = f"lower({text_sql})" if ci else text_sql
-    parts = ", ".join(
-        f"CASE WHEN contains({hay}, {_sql_str(_needle(k, ci))}) THEN {_sql_str(k)} END"
-        for k in keywords
-        if k
-    )
-    return f"coalesce(concat_ws({_sql_str(sep)}, {parts}), '')"
-
-
-def sql_any_match(text_sql: str, keywords: Sequence[str], ci: bool = True) -> str:
-    hay = f"lower({text_sql})" if ci else text_sql
-    return "coalesce(" + " OR ".join(
-        f"contains({hay}, {_sql_str(_needle(k, ci))})" for k in keywords if k
-    ) + ", false)"
-
-
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _automaton(kws: Sequence[str], ci: bool):
-    import ahocorasick
-
-    auto = ahocorasick.Automaton()
-    for i, k in enumerate(kws):
-        needle = k.lower() if ci else k
-        prev = auto.get(needle, None)
-        if prev is None:
-            auto.add_word(needle, [i])
-        else:
-            prev.append(i)
-    auto.make_automaton()
-    return auto
-
-
-def all_matches_automaton(text: Column, keywords: Sequence[str], ci: bool = True, sep: str = ";") -> Column:
-    """Large-dictionary variant of all_matches_joined (dictionary order, '' if none)."""
-    kws = list(keywords)
-
-    @F.pandas_udf("string")
-    def _all(s: pd.Series) -> pd.Series:
-        auto = _automaton(kws, ci)
-        out = []
-        for t in s:
-            if t is None or t == "":
-                out.append("")
-                continue
-            hit = set()
-            for _, idxs in auto.iter(t.lower() if ci else t):
-                hit.update(idxs)
-            out.append(sep.join(kws[i] for i in sorted(hit)))
-        return pd.Series(out, dtype="object")
-
-    return _all(text)
-
-
-def first_match_automaton(text: Column, keywords: Sequence[str], ci: bool = True) -> Column:
-    """Large-dictionary variant: Aho-Corasick per Arrow batch (first in dictionary order)."""
-    kws = list(keywords)
-
-    @F.pandas_udf("string")
-    def _match(s: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for i, k in enumerate(kws):
-            needle = k.lower() if ci else k
-            prev = auto.get(needle, None)
-            if prev is None or prev[0] > i:
-                auto.add_word(needle, (i, k))
-        auto.make_automaton()
-        out = []
-        for t in s:
-            if t is None or t == "":
-                out.append(None)
-                continue
-            best = None
-            for _, (i, k) in auto.iter(t.lower() if ci else t):
-                if best is None or i < best[0]:
-                    best = (i, k)
-                    if i == 0:
-                        break
-            out.append(None if best is None else best[1])
-        return pd.Series(out, dtype="object")
-
-    return _match(text)
+    return F.size(all_matches_array(text, keywords, ci)) > 0

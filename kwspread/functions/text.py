@@ -55,7 +55,7 @@ def video_id_from(url_or_id: Column) -> Column:
 
 def channel_id_from(s_raw: Column) -> Column:
     """F2 resolve_channel_id (pure part): UC... as-is (len>=10), else embedded UC id, else null."""
-    s = F.trim(s_raw)
+    s = py_strip(s_raw)
     return (
         F.when(s.startswith("UC") & (F.length(s) >= 10), s)
         .otherwise(nonblank(F.regexp_extract(s, CHANNEL_ID_PATTERN, 1)))
@@ -64,7 +64,7 @@ def channel_id_from(s_raw: Column) -> Column:
 
 def handle_from(s_raw: Column) -> Column:
     """youtube.com/@h/... -> @h; @h -> @h; other non-UC input -> '@'+s; UC ids -> null."""
-    s = F.trim(s_raw)
+    s = py_strip(s_raw)
     return (
         F.when(s.contains("youtube.com/@"), F.concat(F.lit("@"), F.regexp_extract(s, HANDLE_PATTERN, 1)))
         .when(s.startswith("@"), s)
@@ -74,7 +74,7 @@ def handle_from(s_raw: Column) -> Column:
 
 def is_channel_id(s_raw: Column) -> Column:
     """F3 require_channel_id: stripped value starts with UC."""
-    return F.coalesce(F.trim(s_raw).startswith("UC"), F.lit(False))
+    return F.coalesce(py_strip(s_raw).startswith("UC"), F.lit(False))
 
 
 def clean_ws(c: Column, unicode: bool = True) -> Column:

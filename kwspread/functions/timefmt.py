@@ -9,17 +9,48 @@ from pyspark.sql import functions as F
 ISO_Z = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_MAIL_DATE = r"^(?:[A-Za-z]{3},\s*)?([0-9]{1,2})\s+([A-Za-z]{3})[a-z]*\.?\s+([0-9]{4})"
+_TIMED = r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})[Tt\s]\s*([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?)\s*"
+_ZONE = r"([zZ]|UTC|GMT|[+-][0-9]{2}:?(?:[0-9]{2})?|[A-Za-z]+/[A-Za-z_/+-]+)"
+
+
+def _iso_date_first(s: Column) -> Column:
+    """Rewrite the date at the start of a value as yyyy-m-d: slashes (year or month
+    first), eight digits, and mail dates (`Fri, 05 Jan 2024`)."""
+    month = F.array_position(F.lit(list(_MONTHS)), F.lower(F.regexp_extract(s, _MAIL_DATE, 2)))
+    mail = F.concat(
+        F.regexp_extract(s, _MAIL_DATE, 3), F.lit("-"), month.cast("string"), F.lit("-"),
+        F.regexp_extract(s, _MAIL_DATE, 1), F.regexp_replace(s, _MAIL_DATE, ""),
+    )
+    plain = F.regexp_replace(s, r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(?![0-9])", "$1-$2-$3")
+    plain = F.regexp_replace(plain, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?![0-9])", "$3-$1-$2")
+    plain = F.regexp_replace(plain, r"^([0-9]{4})([0-9]{2})([0-9]{2})(?=$|[Tt\s])", "$1-$2-$3")
+    return F.when(month > 0, mail).otherwise(plain)
+
+
 def lenient_ts(s: Column) -> Column:
     """each value parsed on its own; unparsable -> null (never raises under ANSI).
 
-    Accepts date-only, 'T' or space separated, optional fraction, 'Z' or +hh:mm offsets.
-    Zoned input is converted to UTC; naive input is taken as UTC.
+    Dates: yyyy-m-d, yyyy/m/d, m/d/yyyy, yyyymmdd, `Fri, 05 Jan 2024`. A time may follow
+    after T or white space, with a fraction, and a zone after that, with or without
+    white space: z/Z, UTC, GMT, +hh, +hhmm, +hh:mm or a region name. Zoned input is
+    converted to UTC; naive input is taken as UTC.
     """
-    s = F.trim(s)
-    # Zoned text becomes an instant rendered as its UTC wall clock; naive text is
-    # read directly as a wall clock (the NTZ cast would silently ignore a zone).
-    has_zone = s.rlike(r"[0-9](Z|[+-][0-9]{2}(:?[0-9]{2})?)$") & s.rlike(r"[0-9][T ][0-9]")
-    return F.when(has_zone, utc_wall(s.try_cast("timestamp"))).otherwise(s.try_cast("timestamp_ntz"))
+    iso = _iso_date_first(F.regexp_replace(s, r"^\s+|\s+$", ""))
+    zoned = "^" + _TIMED[1:] + _ZONE + "$"
+    wall = F.concat_ws(" ", F.regexp_extract(iso, _TIMED, 1), F.regexp_replace(F.regexp_extract(iso, _TIMED, 2), ",", "."))
+    zone = F.regexp_extract(iso, zoned, 3)
+    zone = F.regexp_replace(zone, r"^([+-][0-9]{2}):?$", "$1:00")
+    zone = F.regexp_replace(zone, r"^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    zone = F.when(zone.isin("z", "GMT"), F.lit("Z")).otherwise(zone)
+    # Zoned text becomes an instant rendered as its UTC wall clock; naive text is read
+    # directly as a wall clock.
+    instant = F.concat(wall, F.when(zone.contains("/"), F.concat(F.lit(" "), zone)).otherwise(zone)).try_cast("timestamp")
+    naive = F.when(iso.rlike(_TIMED + "$"), wall).otherwise(iso)
+    return F.when(iso.rlike(zoned), utc_wall(instant)).when(
+        iso.rlike(r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?$") | iso.rlike(_TIMED + "$"), naive.try_cast("timestamp_ntz")
+    )
 
 
 def utc_wall(ts: Column) -> Column:

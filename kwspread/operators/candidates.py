@@ -3,12 +3,14 @@ hydration, sampling (J4, J9, J13, D1, D7, D8, A8, A9, F12-F14, O1, W1-W6).
 
 The keyword x period theta join is written without any join: the dictionary and the
 period list are small driver-side parameters, so each video computes the array of
-(keyword, period) pairs it satisfies with CASE expressions and explodes it. The
-fan-out per video is bounded by |keywords| x |periods|.
+(keyword, period) pairs it satisfies -- its dictionary hits times the periods that hold
+its date, both array literals filtered once per row -- and explodes it. The fan-out per
+video is bounded by |keywords| x |periods|, the plan by |keywords| + |periods|.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +18,7 @@ from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
 from kwspread.functions import text as X
-from kwspread.functions import timefmt as T
-from kwspread.operators.common import bounded_lookup, top_n_per_group, with_nonnull
+from kwspread.operators.common import bounded_lookup, keep_first, top_n_per_group
 
 # Sampling defaults of the reference (N per keyword, seed).
 SAMPLE_N = 20
@@ -69,21 +70,44 @@ def merge_provenance(tags: DataFrame) -> DataFrame:
     )
 
 
+def _period_bounds(periods: Sequence[tuple[str, str]]) -> Column:
+    """The periods as an array literal of (position, start, end, bounds). Each bound is
+    read once on the driver; one that is no ISO date or date-time is an error."""
+
+    def bound(text: str) -> Column:
+        try:
+            value = dt.datetime.fromisoformat(text)
+        except ValueError:
+            raise ValueError(f"bad period bound: {text!r}") from None
+        if value.tzinfo is not None:
+            value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+    rows = [
+        F.struct(F.lit(k).alias("at"), F.lit(s).alias("s"), F.lit(e).alias("e"), bound(s).alias("lo"), bound(e).alias("hi"))
+        for k, (s, e) in enumerate(periods)
+    ]
+    return F.array(*rows)
+
+
 def _tag_structs(keywords: Sequence[str], periods: Sequence[tuple[str, str]],
                  text_col: str = "title", ts_col: str = "published_at", ci: bool = True) -> Column:
-    """Array of struct(ord, tag) for the (keyword, period) pairs this row satisfies;
-    periods are half-open (the end date's midnight is excluded)."""
+    """Array of struct(ord, tag) for the (keyword, period) pairs this row satisfies, in
+    order; periods are half-open (the end date's midnight is excluded)."""
     kws = [k for k in keywords if k]
-    hay = F.lower(F.col(text_col)) if ci else F.col(text_col)
-    n_p = len(periods)
-    pairs = []
-    for ki, k in enumerate(kws):
-        hit_k = hay.contains(k.lower() if ci else k)
-        for pi, (s, e) in enumerate(periods):
-            in_p = (F.col(ts_col) >= T.lenient_ts(F.lit(s))) & (F.col(ts_col) < T.lenient_ts(F.lit(e)))
-            tag = X.provenance_tag_keyword(F.lit(k), F.lit(s), F.lit(e))
-            pairs.append(F.when(hit_k & in_p, F.struct(F.lit(ki * n_p + pi).alias("ord"), tag.alias("tag"))))
-    return F.filter(F.array(*pairs), lambda x: x.isNotNull())
+    if not kws or not periods:
+        return F.array().cast("array<struct<ord:int,tag:string>>")
+    hits = M.all_matches_array(F.col(text_col), kws, ci=ci)
+    ts = F.col(ts_col).cast("timestamp_ntz")
+    held = F.filter(_period_bounds(periods), lambda p: (ts >= p["lo"]) & (ts < p["hi"]))
+
+    def tag(k: Column, p: Column) -> Column:
+        order = (F.array_position(F.lit(kws), k).cast("int") - 1) * len(periods) + p["at"]
+        return F.struct(order.alias("ord"), X.provenance_tag_keyword(k, p["s"], p["e"]).alias("tag"))
+
+    # `held` is bound once per row, then combined with each hit.
+    both = F.transform(F.array(held), lambda ps: F.flatten(F.transform(hits, lambda k: F.transform(ps, lambda p: tag(k, p)))))
+    return F.get(both, F.lit(0))
 
 
 def candidate_pool(videos: DataFrame, keywords: Sequence[str], periods: Sequence[tuple[str, str]],
@@ -97,51 +121,30 @@ def candidate_pool(videos: DataFrame, keywords: Sequence[str], periods: Sequence
     video may repeat (landed search results), tags are merged by a per-video group
     bounded by |keywords| x |periods| + |channels|, and the first row supplies the
     metadata (first writer wins)."""
-    base = len(keywords) * len(periods)
-    if not unique_videos:
-        tags = keyword_period_tags(videos, keywords, periods)
-        if channels is not None:
-            tags = tags.unionByName(channel_tags(videos, channels, base))
-        merged = merge_provenance(tags)
-        meta = videos.groupBy("video_id").agg(
-            F.min_by(F.struct("channel_id", "channel_name", "title", "published_at"), F.col("published_at")).alias("m")
-        ).select("video_id", "m.*")
-        return merged.join(meta, "video_id", "inner").select(
-            "video_id", "channel_id", "channel_name", "title", "published_at", "source"
-        )
-    v = videos
-    # Tags in insertion order (keyword-major, period-minor, then the channel): a
-    # concat_ws over CASE branches skips the misses and keeps the order, all in codegen;
-    # lower(title) is a common subexpression evaluated once per row.
     kws = list(dict.fromkeys(k for k in keywords if k))
     pers = list(dict.fromkeys(periods))
-    # Step 1: one hit flag per keyword (the lowered title is shared by all of them);
-    # step 2 builds the tags from the flags, so the text is never lowered per branch.
-    parts = []
-    if len(kws) > M.LARGE_DICTIONARY:
-        # Large dictionary: hits come from the automaton (dictionary order); tags are
-        # the keyword-major x period-minor product of hits and the periods this row is in.
-        hits = M.all_matches_array(F.col("title"), kws, ci=True)
-        in_pers = F.filter(F.array(*[
-            F.when((F.col("published_at") >= T.lenient_ts(F.lit(s))) & (F.col("published_at") < T.lenient_ts(F.lit(e))),
-                   F.struct(F.lit(s).alias("s"), F.lit(e).alias("e"))) for s, e in pers]), lambda x: x.isNotNull())
-        kw_tags = F.flatten(F.transform(hits, lambda k: F.transform(in_pers, lambda p: X.provenance_tag_keyword(k, p["s"], p["e"]))))
-        parts.append(F.nullif(F.array_join(kw_tags, ";"), F.lit("")))
-    else:
-        hay = F.lower(F.col("title"))
-        v = v.select("*", *[hay.contains(k.lower()).alias(f"__kw{i}") for i, k in enumerate(kws)])
-        for i, k in enumerate(kws):
-            hit_k = F.col(f"__kw{i}")
-            for s, e in pers:
-                in_p = (F.col("published_at") >= T.lenient_ts(F.lit(s))) & (F.col("published_at") < T.lenient_ts(F.lit(e)))
-                parts.append(F.when(hit_k & in_p, X.provenance_tag_keyword(F.lit(k), F.lit(s), F.lit(e))))
+    cols = ("video_id", "channel_id", "channel_name", "title", "published_at")
+    v = videos.select(*cols).withColumn("__tags", _tag_structs(kws, pers))
     if channels is not None:
         lookup = bounded_lookup(channels.select("channel_id", F.col("ch_ord").alias("__ch_ord")))
-        v = v.join(lookup, "channel_id", "left")
-        parts.append(F.when(F.col("__ch_ord").isNotNull(), X.provenance_tag_channel(F.col("channel_id"))))
-    source = F.concat_ws(";", *parts)
-    tagged = with_nonnull(v, F.nullif(source, F.lit("")), "source")
-    return tagged.select("video_id", "channel_id", "channel_name", "title", "published_at", "source")
+        own = F.struct(
+            (F.lit(len(kws) * len(pers)) + F.col("__ch_ord")).cast("int").alias("ord"),
+            X.provenance_tag_channel(F.col("channel_id")).alias("tag"),
+        )
+        v = v.join(lookup, "channel_id", "left").withColumn(
+            "__tags", F.when(F.col("__ch_ord").isNotNull(), F.array_append("__tags", own)).otherwise(F.col("__tags"))
+        )
+    # A generator evaluates the tags once per row, before the filter on them.
+    v = v.select(*cols, F.explode(F.when(F.size("__tags") > 0, F.array(F.col("__tags")))).alias("__tags"))
+    if not unique_videos:
+        # The first writer is the row with the least tag position, then the earliest date.
+        first = keep_first(
+            v.withColumn("__ord", F.array_min(F.transform("__tags", lambda x: x["ord"]))).drop("__tags"),
+            ["video_id"], ["__ord", "published_at", "channel_id", "channel_name", "title"],
+        )
+        merged = merge_provenance(v.select("video_id", F.explode("__tags").alias("t")).select("video_id", "t.ord", "t.tag"))
+        return merged.join(first, "video_id").select(*cols, "source")
+    return v.select(*cols, F.array_join(F.transform("__tags", lambda x: x["tag"]), ";").alias("source"))
 
 
 def resolved_channels(raw_inputs: DataFrame, raw_col: str = "raw", ord_col: str = "doc_id") -> DataFrame:
@@ -166,7 +169,8 @@ def sample_per_keyword(exploded: DataFrame, mode: str = "oldest", n: int = SAMPL
                        ts_col: str = "published_at") -> DataFrame:
     """W1-W3 + D7: per keyword, one row per video, then the N oldest / newest
     (unparsable dates last, ties by video_id) or a seeded hash sample of min(N, size)."""
-    one = exploded.dropDuplicates(["picked_by_keyword", "video_id"])
+    one = keep_first(exploded, ["picked_by_keyword", "video_id"], [ts_col, *[c for c in exploded.columns if c not in
+                     ("picked_by_keyword", "video_id", ts_col)]])
     if mode == "oldest":
         order = [F.col(ts_col).asc_nulls_last(), F.col("video_id").asc()]
     elif mode == "newest":

@@ -78,10 +78,15 @@ def transcript_keyword_hits(segments: DataFrame, keywords: Sequence[str], video_
             *[F.struct(F.lit("L").alias("side"), F.lit(d).alias("d")) for d in range(span)],
             *[F.struct(F.lit("R").alias("side"), F.lit(d).alias("d")) for d in range(1, span + 1)],
         )
-        ctx = seg.select("video_id", "pos", "t", F.explode(offs).alias("o")).select(
+        # Only the last (first) `span` characters of a segment can matter as context.
+        ends = seg.select(
+            "video_id", "pos", F.expr(f"right(t, {span})").alias("tail"), F.expr(f"left(t, {span})").alias("head")
+        )
+        ctx = ends.select("video_id", "pos", "tail", "head", F.explode(offs).alias("o")).select(
             "video_id",
             F.when(F.col("o.side") == "L", F.col("pos") + F.col("o.d")).otherwise(F.col("pos") - F.col("o.d")).alias("anchor"),
-            F.col("o.side").alias("side"), F.col("o.d").alias("d"), "t",
+            F.col("o.side").alias("side"), F.col("o.d").alias("d"),
+            F.when(F.col("o.side") == "L", F.col("tail")).otherwise(F.col("head")).alias("t"),
         ).where(F.col("anchor") >= 0)
         grouped = ctx.groupBy("video_id", "anchor").agg(
             F.collect_list(F.struct("side", "d", "t")).alias("c")  # at most 2 * span items
@@ -99,22 +104,14 @@ def transcript_keyword_hits(segments: DataFrame, keywords: Sequence[str], video_
         )
         parts.append(b.select("video_id", F.col("b").alias("m")))
     texts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if len(kws) > M.LARGE_DICTIONARY:
-        # Large dictionary: automaton hits on the (already case-folded) texts, distinct
-        # (video, needle), dictionary order from a dictionary table whose size is the
-        # dictionary's (a parameter, safe to broadcast); per video at most |dictionary|.
-        dict_df = segments.sparkSession.createDataFrame(
-            [(i, n, k) for i, (n, k) in enumerate(zip(needles, kws))], "ord int, needle string, keyword string")
-        hits = texts.select("video_id", F.explode(
-            M.all_matches_array(F.col("m"), list(dict.fromkeys(needles)), ci=False)).alias("needle")).distinct()
-        ordered = F.array_sort(F.collect_list(F.struct("ord", "keyword")))
-        return hits.join(F.broadcast(dict_df), "needle").groupBy("video_id").agg(
-            F.array_join(F.transform(ordered, lambda x: x["keyword"]), ";").alias("matched_keywords"))
-    flags = [F.col("m").contains(n).alias(f"f{i}") for i, n in enumerate(needles)]
-    per_video = texts.select("video_id", *flags).groupBy("video_id").agg(
-        *[F.bool_or(f"f{i}").alias(f"f{i}") for i in range(len(kws))])
-    mk = F.concat_ws(";", *[F.when(F.col(f"f{i}"), F.lit(k)) for i, k in enumerate(kws)])
-    return with_nonnull(per_video, F.nullif(mk, F.lit("")), "matched_keywords").select("video_id", "matched_keywords")
+    # Hits as dictionary positions: at most |dictionary| distinct ones per video, whatever
+    # the size of the dictionary, with one path for all sizes.
+    found = F.explode(M.all_matches_array(F.col("m"), list(dict.fromkeys(needles)), ci=False))
+    hits = texts.select("video_id", found.alias("needle")).distinct()
+    per_video = hits.groupBy("video_id").agg(F.collect_list("needle").alias("found"))
+    entries = F.arrays_zip(F.lit(needles).alias("n"), F.lit(kws).alias("k"))
+    own = F.transform(F.filter(entries, lambda e: F.array_contains(F.col("found"), e["n"])), lambda e: e["k"])
+    return per_video.select("video_id", F.array_join(own, ";").alias("matched_keywords"))
 
 
 def gate_semi(comments: DataFrame, gate: DataFrame, key: str = "video_id") -> DataFrame:
@@ -230,7 +227,7 @@ def search_attribution(videos: DataFrame, comments: DataFrame, queries: Sequence
     comments matched against *all* keywords; one comment can appear under several
     queries and `query` may differ from `keyword`."""
     qs = [q for q in queries if q]
-    found_arr = M.all_matches_array(F.col("title"), qs, ci=True)  # automaton for large lists
+    found_arr = M.all_matches_array(F.col("title"), qs, ci=True)
     found = videos.select("video_id", ts_col, F.explode(found_arr).alias("query"))
     found = top_n_per_group(found, ["query"], [F.col(ts_col).desc_nulls_last(), F.col("video_id").asc()], per_query)
     hits = comments.where(F.col(keyword_col).isNotNull())

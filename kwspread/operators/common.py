@@ -106,13 +106,28 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) ->
     return agg.select(*[F.col(c) if c in keys else F.col(f"__first.{c}") for c in df.columns])
 
 
+#: Beyond this n the planner's own partial limit does not apply (its default threshold).
+PLANNED_LIMIT = 1000
+SALTS = 64
+
+
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank_col: str | None = None) -> DataFrame:
-    """row_number() <= n per group; Catalyst plans a partial WindowGroupLimit before
-    the shuffle (n <= spark.sql.optimizer.windowGroupLimitThreshold), so even a group
-    holding a third of the rows ships at most n rows per map task."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """row_number() <= n per group, for any n.
+
+    Catalyst plans a partial WindowGroupLimit before the shuffle for n up to
+    PLANNED_LIMIT. Beyond that a group is first dealt over SALTS slices by a hash of the
+    row and cut to n rows in each: a group holding a third of the rows is sorted in
+    slices by many tasks, and its last window sees at most SALTS * n rows."""
     name = rank_col or "__rn"
-    out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+    def limited(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+    if n > PLANNED_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        df = limited(df.withColumn("__salt", salt), [*keys, "__salt"]).drop(name, "__salt")
+    out = limited(df, keys)
     return out if rank_col else out.drop(name)
 
 

@@ -50,16 +50,17 @@ def newest_n_any(rows: DataFrame, n: int, hit_col: str, video_col: str = "video_
                  ts_col: str = "date", id_col: str = "comment_id") -> DataFrame:
     """video_col, has_hit: is any hit among the video's newest n rows?
 
-    Equivalent to `row_number() <= n` then `bool_or`, written as two aggregates so it
-    holds for any n and any skew: the newest hit per video (partial aggregate), then
-    the number of rows at least as new as that hit (partial aggregate after a
-    size-checked broadcast join). A video is a hit iff that count is <= n."""
-    key = F.struct(F.col(ts_col).alias("t"), F.col(id_col).alias("i"))
-    newest_hit = rows.where(F.col(hit_col)).groupBy(video_col).agg(F.max(key).alias("__h"))
+    Equivalent to `row_number() <= n` (newest first, ties by the smaller id, missing
+    dates last) then `bool_or`, written as two aggregates so it holds for any n and any
+    skew: the newest hit per video (partial aggregate), then the number of rows at least
+    as new as that hit (partial aggregate after a size-checked broadcast join). A video
+    is a hit iff that count is <= n."""
+    age = F.struct(F.col(ts_col).isNull().alias("u"), (-to_us(F.col(ts_col))).alias("t"), F.col(id_col).alias("i"))
+    newest_hit = rows.where(F.col(hit_col)).groupBy(video_col).agg(F.min(age).alias("__h"))
     rank = (
-        rows.select(video_col, key.alias("__k"))
+        rows.select(video_col, age.alias("__k"))
         .join(bounded_lookup(newest_hit), video_col, "inner")
-        .where(F.col("__k") >= F.col("__h"))
+        .where(F.col("__k") <= F.col("__h"))
         .groupBy(video_col)
         .agg(F.count(F.lit(1)).alias("__rank"))
     )
@@ -72,7 +73,7 @@ def newest_n_any(rows: DataFrame, n: int, hit_col: str, video_col: str = "video_
 def found_videos(videos: DataFrame, video_hits: DataFrame, keywords: Sequence[str], ci: bool = True) -> DataFrame:
     """keyword, video_id, pub_us, hit: videos found by searching each keyword in the
     metadata (M10), with the video's hit flag (false when it has no comments)."""
-    arr = all_matches_array(F.col("title"), keywords, ci=ci)  # automaton for large dictionaries
+    arr = all_matches_array(F.col("title"), keywords, ci=ci)
     f = videos.select("video_id", to_us(F.col("published_at")).alias("pub_us"), F.explode(arr).alias("keyword"))
     f = f.join(video_hits.withColumnRenamed("has_hit", "hit"), "video_id", "left")
     return f.select("keyword", "video_id", "pub_us", F.coalesce("hit", F.lit(False)).alias("hit"))

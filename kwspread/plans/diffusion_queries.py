@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kwspread.functions import match as M
 from kwspread.operators import diffusion as D
 from kwspread.operators.common import materialize
+from kwspread.plans import sql_match as Q
 from kwspread.plans import views as V
 from kwspread.plans.registry import register
 from kwspread.sources import adapters as A
@@ -174,7 +175,7 @@ def merge_clean_dedup(spark, sf_dir):
     """Parse, drop bad dates, strip, keep earliest per (date, video, keyword, text)."""
     m = collector_outputs(spark, sf_dir)
     c = A.clean_merged(m)
-    out = D.dedup_earliest(c, D.merge_key(c.columns), tiebreak=("src_file",))
+    out = D.dedup_earliest(c, D.key_columns(D.MERGE_KEY, c), tiebreak=("src_file",))
     return out.select(*MERGED_COLS)
 
 
@@ -187,7 +188,7 @@ def dedup_id_aware(spark, sf_dir):
     """D3/M6: drop blank keyword/text, dedup on date, platform, id column, keyword, text."""
     m = collector_outputs(spark, sf_dir)
     c = D.clean_hits(A.clean_merged(m), text_col="text")
-    out = D.dedup_earliest(c, D.id_aware_key(c.columns), tiebreak=("src_file",))
+    out = D.dedup_earliest(c, D.key_columns(D.ID_AWARE_KEY, c), tiebreak=("src_file",))
     return out.select(*MERGED_COLS)
 
 
@@ -199,10 +200,10 @@ SELECT CAST(NULL AS VARCHAR) AS comment_id, CAST(NULL AS VARCHAR) AS parent_id,
 FROM obs WHERE keyword_cs IS NOT NULL
 UNION ALL
 SELECT comment_id, parent_id, comment_level, 'youtube', 'threads', CAST(video_id AS VARCHAR),
-       """ + M.sql_first_match("text", V.KW, True) + """,
+       """ + Q.sql_first_match("text", V.KW, True) + """,
        NULL, NULL, md5(trim(replace(text, chr(10), ' '))), CAST(length(text) AS BIGINT)
 FROM threads
-WHERE """ + M.sql_first_match("text", V.KW, True) + " IS NOT NULL")
+WHERE """ + Q.sql_first_match("text", V.KW, True) + " IS NOT NULL")
 def comments_canonical_union(spark, sf_dir):
     """Comment dialects (collector P4, thread scan P2) mapped to one canonical schema."""
     return A.canonical_union(V.obs(spark, sf_dir), V.threads(spark, sf_dir), V.KW)

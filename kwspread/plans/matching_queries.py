@@ -8,6 +8,7 @@ from kwspread.functions import match as M
 from kwspread.functions import text as X
 from kwspread.functions import timefmt as T
 from kwspread.operators.common import with_nonnull
+from kwspread.plans import sql_match as Q
 from kwspread.plans import views as V
 from kwspread.plans.registry import register
 
@@ -17,19 +18,19 @@ def _docs(spark, sf_dir, *cols):
     return V.text_table(spark, sf_dir, "documents", *cols)
 
 
-@register("match_first_ci", f"SELECT doc_id, {M.sql_first_match('text', V.KW, True)} AS keyword FROM documents")
+@register("match_first_ci", f"SELECT doc_id, {Q.sql_first_match('text', V.KW, True)} AS keyword FROM documents")
 def match_first_ci(spark, sf_dir):
     """M1: first dictionary keyword in the lower-cased text (null when none)."""
     return _docs(spark, sf_dir).select("doc_id", M.first_match(F.col("text"), V.KW, ci=True).alias("keyword"))
 
 
-@register("match_first_cs", f"SELECT doc_id, {M.sql_first_match('text', V.KW, False)} AS keyword FROM documents")
+@register("match_first_cs", f"SELECT doc_id, {Q.sql_first_match('text', V.KW, False)} AS keyword FROM documents")
 def match_first_cs(spark, sf_dir):
     """M2: first dictionary keyword, case-sensitive."""
     return _docs(spark, sf_dir).select("doc_id", M.first_match(F.col("text"), V.KW, ci=False).alias("keyword"))
 
 
-@register("match_all", f"SELECT doc_id, {M.sql_all_matches('text', V.KW, True)} AS matched_keywords FROM documents")
+@register("match_all", f"SELECT doc_id, {Q.sql_all_matches('text', V.KW, True)} AS matched_keywords FROM documents")
 def match_all(spark, sf_dir):
     """All keywords in dictionary order, ';'-joined ('' when none)."""
     return _docs(spark, sf_dir).select(
@@ -38,7 +39,7 @@ def match_all(spark, sf_dir):
 
 
 @register("keyword_comments", f"""SELECT doc_id, keyword, lang, source FROM (
-  SELECT doc_id, lang, source, {M.sql_first_match('text', V.KW, True)} AS keyword FROM documents)
+  SELECT doc_id, lang, source, {Q.sql_first_match('text', V.KW, True)} AS keyword FROM documents)
 WHERE keyword IS NOT NULL""")
 def keyword_comments(spark, sf_dir):
     """M4: keep only rows with a hit (match first, then drop)."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
 from kwspread.operators import pages as P
+from kwspread.plans import sql_match as Q
 from kwspread.plans import views as V
 from kwspread.plans.registry import register
 
@@ -78,7 +79,7 @@ _SQL_EXTRACT = f"""ex AS (
 
 @register("page_extract_first_selector", "WITH " + _SQL_EXTRACT + f"""
 SELECT page_id, url, pos, md5(text) AS text_md5, date, keyword FROM (
-  SELECT *, {M.sql_first_match('text', V.KW, False)} AS keyword FROM ex WHERE text <> '')
+  SELECT *, {Q.sql_first_match('text', V.KW, False)} AS keyword FROM ex WHERE text <> '')
 WHERE keyword IS NOT NULL""")
 def page_extract_first_selector(spark, sf_dir):
     """Comments from loaded pages by selector priority, positional date

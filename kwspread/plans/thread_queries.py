@@ -10,6 +10,7 @@ from kwspread.functions import match as M
 from kwspread.functions import text as X
 from kwspread.operators import comments as C
 from kwspread.operators.common import materialize
+from kwspread.plans import sql_match as Q
 from kwspread.plans import views as V
 from kwspread.plans.registry import register
 from kwspread.sources import landed_json as J
@@ -47,7 +48,7 @@ def flatten_threads(spark, sf_dir):
                     "like_count", F.sha2("author_name", 256).alias("author_hash"))
 
 
-_CI = M.sql_first_match("text", V.KW, True)
+_CI = Q.sql_first_match("text", V.KW, True)
 _RE2_SPACE = r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
 
 
@@ -120,7 +121,7 @@ def transcript_matches(spark, sf_dir):
 SQL_TRANSCRIPTS = "WITH " + V.SQL_THREADS + """,
 tr AS (SELECT video_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS transcript, count(*) AS n_segments
        FROM threads WHERE role = 'user' GROUP BY video_id)"""
-_ALL_TR = M.sql_all_matches("transcript", V.KW, True)
+_ALL_TR = Q.sql_all_matches("transcript", V.KW, True)
 SQL_MATCHED = SQL_TRANSCRIPTS + f""",
 mv AS (SELECT video_id, matched_keywords, true AS has_transcript FROM (
          SELECT video_id, {_ALL_TR} AS matched_keywords FROM tr) WHERE matched_keywords <> '')"""
@@ -164,7 +165,7 @@ def transcript_gate_semi(spark, sf_dir):
 @register("transcript_coverage", SQL_TRANSCRIPTS + ",\n" + V.SQL_CAND + f"""
 SELECT status, count(*) AS n FROM (
   SELECT CASE WHEN tr.video_id IS NULL THEN 'no_transcript'
-              WHEN {M.sql_any_match('tr.transcript', V.KW, True)} THEN 'hit' ELSE 'no_hit' END AS status
+              WHEN {Q.sql_any_match('tr.transcript', V.KW, True)} THEN 'hit' ELSE 'no_hit' END AS status
   FROM cand c LEFT JOIN tr USING (video_id)) GROUP BY status""")
 def transcript_coverage(spark, sf_dir):
     """Candidate videos by transcript status (hit / no_hit / no_transcript)."""

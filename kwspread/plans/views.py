@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
+from kwspread.plans import sql_match as Q
 from kwspread.operators.common import compute_once, spread
 
 # The keyword dictionary of the registered queries, in dictionary
@@ -135,8 +136,8 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_keyed_documents(kw=KW) -> str:
     return f"""docs_kw AS (
   SELECT doc_id, lang, source, md5(text) AS text_md5,
-         {M.sql_first_match('text', kw, True)} AS keyword,
-         {M.sql_first_match('text', kw, False)} AS keyword_cs
+         {Q.sql_first_match('text', kw, True)} AS keyword,
+         {Q.sql_first_match('text', kw, False)} AS keyword_cs
   FROM documents)"""
 
 
