@@ -10,9 +10,9 @@
    prefix is deep enough are candidates. How deep adapts to the region: where at most
    CROWD rows share MIN_DEPTH values all of them are neighbours; a crowded region is
    split at the next depth, and its rows keep two nearest neighbours and the centres of
-   the regions around them (the longest run of equal prefixes: what most copies agree
-   on), so the number of pairs stays in proportion to the rows. Two bits of 64 signature
-   values travel along and drop pairs that are far from similar.
+   the regions around them, so the number of pairs stays in proportion to the rows. Two
+   bits of 64 signature values travel along: they drop pairs that are far from similar,
+   and a region's centre is the row closest to the majority of its rows.
 3. Confirmation on full sets: components of the candidate graph are dealt into bins.
    A component of more than MAX_PART classes is cut into parts that each get the class
    with the most candidates as a common hub; pairs inside a part and with the hub are
@@ -186,7 +186,20 @@ def _run_starts(same: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(start)
 
 
-def neighbour_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _centres(region: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """For each row the position of its region's centre: the row whose sketch differs
+    least from the majority of the region's sketches, bit by bit."""
+    heads = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+    size = np.diff(np.append(heads, len(region)))
+    bits = np.unpackbits(sketch, axis=1)
+    majority = 2 * np.add.reduceat(bits, heads, axis=0, dtype=np.int32) > size[:, None]
+    owner = np.repeat(np.arange(len(heads)), size)
+    far = (bits != majority[owner]).sum(axis=1)
+    order = np.lexsort((far, owner))
+    return order[heads][owner]
+
+
+def neighbour_pairs(keys: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (row indices) of rows sorted by (tree, values)."""
     n = len(keys)
     if n < 2:
@@ -212,18 +225,12 @@ def neighbour_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hit = np.flatnonzero(least >= floor)
         left.append(hit)
         right.append(hit + offset)
-    runs, sizes = np.unique(starts[MAX_DEPTH], return_counts=True)
     for depth in range(MIN_DEPTH, CENTRES_TO + 1):
-        # The centre of a region is the first row of its longest run of equal prefixes.
-        region = starts[depth]
-        order = np.lexsort((runs, -sizes, region[runs]))
-        owner, first = np.unique(region[runs][order], return_index=True)
-        centre = np.zeros(n, np.int64)
-        centre[owner] = runs[order[first]]
-        centre = centre[region]
-        crowded = np.flatnonzero((need > depth) & (centre != np.arange(n)))
-        left.append(centre[crowded])
-        right.append(crowded)
+        crowded = np.flatnonzero(need > depth)
+        if len(crowded):
+            centre = _centres(starts[depth][crowded], sketch[crowded])
+            left.append(crowded[centre])
+            right.append(crowded)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -235,7 +242,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told(table: tuple) -> pa.RecordBatch | None:
         raw, node, sketch = table
         values = raw[:, 1:].reshape(len(raw), MAX_DEPTH, 4).copy().view(">u4").reshape(len(raw), MAX_DEPTH)
-        a, b = neighbour_pairs(np.column_stack((raw[:, 0].astype(np.uint32), values)))
+        a, b = neighbour_pairs(np.column_stack((raw[:, 0].astype(np.uint32), values)), sketch)
         unequal = np.bitwise_xor(sketch[a], sketch[b])
         half = unequal.shape[1] // 2
         agree = SKETCH_VALUES - np.bitwise_count(unequal[:, :half] | unequal[:, half:]).sum(axis=1, dtype=np.int64)

@@ -80,6 +80,6 @@ def test_components_of_paths_and_stars(spark):
 
 def test_crowded_region_keeps_pairs_linear():
     keys = np.tile(np.arange(L.MAX_DEPTH + 1, dtype=np.uint32), (5000, 1))
-    a, b = L.neighbour_pairs(keys)
+    a, b = L.neighbour_pairs(keys, np.zeros((5000, 16), np.uint8))
     assert len(a) <= 16 * 5000
-    assert set(b[a == 0]) == set(range(1, 5000))  # all of them through the centre
+    assert set(range(1, 5000)) <= set(b[a == 0])  # all of them through the centre
