@@ -42,6 +42,7 @@ HIDDEN = 16
 SHAPES, WORDS = 1 << 12, 1 << 14
 NONZERO = 6
 AROUND = 2
+CHUNK = 100_000
 EPOCHS = 120
 SEED = 20240501
 REJECT_BELOW = 0.3
@@ -100,29 +101,37 @@ def index_vectors(rng: np.random.Generator) -> np.ndarray:
 
 
 def symbol_vectors(shape: np.ndarray, word: np.ndarray, counts: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Index vectors plus those of the neighbours within AROUND words, scaled to one."""
+    """Index vectors plus those of the neighbours within AROUND words, scaled to one.
+    Words are taken CHUNK at a time, so memory does not follow the training texts."""
     total = index.copy()
     doc = np.repeat(np.arange(len(counts)), counts)
-    both = index[shape] + index[word]
-    for rows in (shape, word):
-        for step in range(1, AROUND + 1):
-            near = doc[step:] == doc[:-step]
-            for to, of in ((rows[:-step][near], both[step:][near]), (rows[step:][near], both[:-step][near])):
-                order = np.argsort(to, kind="stable")
-                keys, first = np.unique(to[order], return_index=True)
-                for lo in range(0, len(keys), 4096):
-                    a, b = first[lo], first[lo + 4096] if lo + 4096 < len(first) else len(order)
-                    total[keys[lo : lo + 4096]] += np.add.reduceat(of[order[a:b]], first[lo : lo + 4096] - a, axis=0)
+    for lo in range(0, len(doc), CHUNK):
+        hi = min(lo + CHUNK, len(doc))
+        for step in range(-AROUND, AROUND + 1):
+            at = np.arange(max(lo, -step), min(hi, len(doc) - step))
+            at = at[doc[at] == doc[at + step]] if step else at[:0]
+            if len(at):
+                near = index[shape[at + step]] + index[word[at + step]]
+                for rows in (shape, word):
+                    order = np.argsort(rows[at], kind="stable")
+                    keys, first = np.unique(rows[at][order], return_index=True)
+                    total[keys] += np.add.reduceat(near[order], first, axis=0)
     return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
 
 
 def _pool(table: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Mean of the table's rows over each text (no words: zero)."""
     out = np.zeros((len(counts), table.shape[1]))
-    some = counts > 0
-    if some.any():
-        starts = (np.cumsum(counts) - counts)[some]
-        out[some] = np.add.reduceat(table[rows], starts, axis=0) / counts[some, None]
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(counts):  # whole texts, about CHUNK words at a time
+        base = ends[at] - counts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+        some = np.flatnonzero(counts[at:to] > 0) + at
+        if len(some):
+            starts = (ends - counts)[some] - base
+            out[some] = np.add.reduceat(table[rows[base : ends[to - 1]]], starts, axis=0) / counts[some, None]
+        at = to
     return out
 
 
