@@ -1,20 +1,17 @@
 """Article pages: URL filter / preferred URL / dedup, selector-priority comment
 extraction, error quarantine (M8, F15, D4, S18, S19).
 
-The extraction has two forms:
-  * regex form (`extract_first_selector`): native `regexp_extract_all` per selector,
-    first selector with any hit wins, texts and dates paired by position, blank
-    texts skipped but positions kept. Fully JVM-side.
-  * nested form (`extract_nested`): a real HTML tokenizer (stdlib html.parser) in
-    `mapInPandas`, for markup a regex cannot pair (nested containers). This is the
-    only Python-on-executor operator of the library.
+Extraction parses each page once, whole, into an element tree (`html_select`) in Arrow
+batches: first selector with any hit wins, texts and dates are paired by position, or
+inside a container element. This is the only Python-on-executor operator here. A page
+that the parser rejects gives no comments but a quarantine row; it never fails the job.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +19,6 @@ from kwspread.functions import match as M
 from kwspread.functions import text as X
 from kwspread.operators.common import keep_first, with_nonnull
 
-# HTML entities decoded by the text extraction (applied in this order,
-# '&amp;' last so that '&amp;lt;' stays '&lt;').
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
 
 def news_links(pages: DataFrame, domain: str) -> DataFrame:
     """M8 + F15 + D4: keep rows where link or originallink is on the domain (substring),
@@ -36,64 +29,47 @@ def news_links(pages: DataFrame, domain: str) -> DataFrame:
     return keep_first(chosen, ["naver_url"], ["ord"])
 
 
-def step_regex(part: str) -> str:
-    """Regex for one simple selector step, `tag` or `tag.class`; group 1 = inner HTML
-    (non-greedy, up to the first closing tag of that name)."""
-    tag, _, cls = part.partition(".")
-    if not re.fullmatch(r"[a-zA-Z][a-zA-Z0-9]*", tag or ""):
-        raise ValueError(f"unsupported selector step {part!r} (use tag or tag.class)")
-    if cls:
-        return rf'(?s)<{tag}\b[^>]*class="(?:[^"]*\s)?{re.escape(cls)}(?:\s[^"]*)?"[^>]*>(.*?)</{tag}>'
-    return rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"
-
-
-def selector_regexes(selector: str) -> list[str]:
-    """One regex per descendant step (`outer inner`)."""
-    return [step_regex(p) for p in selector.split()]
-
-
-def select_all(html: Column, selector: str) -> Column:
-    """Inner HTML of every element matching `selector`; outer steps scope the search
-    to the first match of that step."""
-    regs = selector_regexes(selector)
-    scope = html
-    for r in regs[:-1]:
-        scope = F.regexp_extract(scope, r, 1)
-    return F.regexp_extract_all(scope, F.lit(regs[-1]), F.lit(1))
-
-
-def node_text(inner: Column) -> Column:
-    """get_text(' ', strip=True) then clean(): tags -> space, entities decoded,
-    whitespace collapsed, stripped."""
-    t = F.regexp_replace(inner, r"<[^>]*>", " ")
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return X.clean_ws(t, unicode=False)
+def _parsed(pages: DataFrame, text_selectors: Sequence[str], date_selectors: Sequence[str],
+            container: str | None, keep: Sequence[str], html_col: str) -> DataFrame:
+    """keep..., pos, text, date, error: a row per comment (error null), and one per page
+    that could not be parsed (only error set)."""
+    keep = tuple(keep)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from kwspread.operators.html_select import extract_pairs
 
-def first_selector_hits(html: Column, selectors: Sequence[str]) -> Column:
-    """The matches of the first selector with any hit (empty array if none)."""
-    arrs = [select_all(html, s) for s in selectors]
-    out = arrs[-1]
-    for a in reversed(arrs[:-1]):
-        out = F.when(F.size(a) > 0, a).otherwise(out)
-    return out
+        for batch in batches:
+            at, pos, texts, dates, errors = [], [], [], [], []
+            for k, html in enumerate(batch.column("__html").to_pylist()):
+                try:
+                    pairs = extract_pairs(html or "", text_selectors, date_selectors, container)
+                    rows = [(i, t, d, None) for i, (t, d) in enumerate(pairs) if t]
+                except (AssertionError, ValueError, NotImplementedError) as e:  # what the tokenizer raises
+                    rows = [(None, None, None, f"{type(e).__name__}: {e}")]
+                for row in rows:
+                    at.append(k)
+                    for column, value in zip((pos, texts, dates, errors), row, strict=True):
+                        column.append(value)
+            kept = batch.select(list(keep)).take(pa.array(at, pa.int64()))
+            found = [pa.array(pos, pa.int32())] + [pa.array(c, pa.string()) for c in (texts, dates, errors)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *found], [*keep, "pos", "text", "date", "error"])
+
+    src = pages.select(*keep, F.col(html_col).alias("__html"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("__html").schema.fields)
+    return src.mapInArrow(run, f"{fields}, pos int, text string, date string, error string")
 
 
 def extract_first_selector(pages: DataFrame, text_selectors: Sequence[str], date_selectors: Sequence[str],
                            html_col: str = "html", keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """S18 regex form: rows (keep..., pos, text, date); missing date -> ''."""
-    texts = first_selector_hits(F.col(html_col), text_selectors)
-    dates = first_selector_hits(F.col(html_col), date_selectors)
-    x = pages.select(*keep, texts.alias("__t"), dates.alias("__d"))
-    x = x.select(*keep, "__d", F.posexplode("__t").alias("pos", "__raw"))
-    out = x.select(
-        *keep,
-        "pos",
-        node_text(F.col("__raw")).alias("text"),
-        F.coalesce(node_text(F.try_element_at(F.col("__d"), F.col("pos") + 1)), F.lit("")).alias("date"),
-    )
-    return out.where(F.col("text") != "")
+    """Rows (keep..., pos, text, date) of the first selector with any hit, dates
+    paired by position; missing date -> ''."""
+    return _parsed(pages, tuple(text_selectors), tuple(date_selectors), None, keep, html_col).where("error IS NULL").drop("error")
+
+
+def extract_nested(pages: DataFrame, text_selectors: Sequence[str], date_selectors: Sequence[str],
+                   container: str | None = None, keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """S18 inside container elements: each one's own text and date."""
+    return _parsed(pages, tuple(text_selectors), tuple(date_selectors), container, keep, "html").where("error IS NULL").drop("error")
 
 
 def keyword_filter(rows: DataFrame, keywords: Sequence[str], text_col: str = "text") -> DataFrame:
@@ -107,48 +83,10 @@ def page_failed(html: Column) -> Column:
 
 
 def error_rows(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
-    """One quarantine row per failed page: blank keyword/text/date + error."""
-    return pages.where(page_failed(F.col("html"))).select(
-        *keep,
-        F.lit("").alias("keyword"),
-        F.lit("").alias("comment_text"),
-        F.lit("").alias("comment_date_raw"),
-        F.lit("page did not finish loading").alias("error"),
-    )
-
-
-# ------------------------------------------------------------------ nested form
-
-def _nested_extract_batches(text_selectors, date_selectors, container, keep):
-    """mapInPandas body: parse each page once; inside every `container` element pair
-    its own text and date (no cross-comment misalignment)."""
-
-    def run(batches):
-        import pandas as pd
-
-        from kwspread.operators.html_select import extract_pairs
-
-        for pdf in batches:
-            out = {k: [] for k in (*keep, "pos", "text", "date")}
-            for row in pdf.itertuples(index=False):
-                rec = row._asdict()
-                for pos, (txt, dt) in enumerate(extract_pairs(rec["html"] or "", text_selectors, date_selectors, container)):
-                    if not txt:
-                        continue
-                    for k in keep:
-                        out[k].append(rec[k])
-                    out["pos"].append(pos)
-                    out["text"].append(txt)
-                    out["date"].append(dt)
-            yield pd.DataFrame(out)
-
-    return run
-
-
-def extract_nested(pages: DataFrame, text_selectors: Sequence[str], date_selectors: Sequence[str],
-                   container: str | None = None, keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """S18 nested form via mapInPandas (Arrow batches)."""
-    fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    schema = ", ".join([f"{k} {fields[k]}" for k in keep] + ["pos int", "text string", "date string"])
-    src = pages.select(*keep, "html") if "html" not in keep else pages.select(*keep)
-    return src.mapInPandas(_nested_extract_batches(tuple(text_selectors), tuple(date_selectors), container, tuple(keep)), schema)
+    """One quarantine row per failed page (not loaded, or rejected by the parser):
+    blank keyword/text/date + error."""
+    loaded = pages.where(~page_failed(F.col("html")))
+    rejected = _parsed(loaded, (), (), None, keep, "html").where("error IS NOT NULL").select(*keep, "error")
+    unloaded = pages.where(page_failed(F.col("html"))).select(*keep, F.lit("page did not finish loading").alias("error"))
+    blank = [F.lit("").alias(c) for c in ("keyword", "comment_text", "comment_date_raw")]
+    return unloaded.unionByName(rejected).select(*keep, *blank, "error")

@@ -153,3 +153,19 @@ def channel_id_normalise(spark, sf_dir):
         X.handle_from(r).alias("handle"),
         X.is_channel_id(r).alias("is_channel_id"),
     )
+
+
+# A dictionary of several hundred entries, by rule: all pairs of these letters.
+LARGE_KW = tuple(a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiounrstlhdcmp")
+
+
+@register("match_large_dictionary", f"""
+SELECT doc_id, {Q.sql_first_match('text', LARGE_KW, False)} AS keyword, md5({Q.sql_all_matches('text', LARGE_KW, True)}) AS all_md5
+FROM documents""")
+def match_large_dictionary(spark, sf_dir):
+    """M1-M3 with 390 keywords: the same JVM path as for a few."""
+    return _docs(spark, sf_dir).select(
+        "doc_id",
+        M.first_match(F.col("text"), LARGE_KW, ci=False).alias("keyword"),
+        F.md5(M.all_matches_joined(F.col("text"), LARGE_KW, ci=True)).alias("all_md5"),
+    )

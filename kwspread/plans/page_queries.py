@@ -46,40 +46,29 @@ def url_filter_prefer_dedup(spark, sf_dir):
     return out.select("ord", "link", "originallink", "naver_url", F.md5("title").alias("title_md5"))
 
 
-def _sql_select_all(selector: str) -> str:
-    regs = P.selector_regexes(selector)
-    scope = "html"
-    for r in regs[:-1]:
-        scope = f"regexp_extract({scope}, '{r}', 1)"
-    return f"regexp_extract_all({scope}, '{regs[-1]}', 1)"
-
-
-def _sql_first_hit(selectors) -> str:
-    arrs = [_sql_select_all(s) for s in selectors]
-    out = arrs[-1]
-    for a in reversed(arrs[:-1]):
-        out = f"CASE WHEN len({a}) > 0 THEN {a} ELSE {out} END"
-    return out
-
-
-def _sql_node_text(x: str) -> str:
-    t = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for ent, ch in P.ENTITIES:
-        t = f"replace({t}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
-
-
-_SQL_EXTRACT = f"""ex AS (
-  SELECT page_id, url, i - 1 AS pos, {_sql_node_text('texts[i]')} AS text,
-         coalesce({_sql_node_text('dates[i]')}, '') AS date
-  FROM (SELECT page_id, url, texts, dates, unnest(generate_series(1, len(texts))) AS i
-        FROM (SELECT page_id, url, {_sql_first_hit(TEXT_SELECTORS)} AS texts, {_sql_first_hit(DATE_SELECTORS)} AS dates
-              FROM pages WHERE contains(lower(html), '</html>'))))"""
-
-
-@register("page_extract_first_selector", "WITH " + _SQL_EXTRACT + f"""
+# The oracle knows nothing of selectors: the driver's pages have one article of <p>
+# blocks (some unclosed, ended by the next <p>), and <b> only inside those. It cuts the
+# article at "<p>" and each block at "</p>", and takes <b> up to the end of its block.
+_SQL_PLAIN = """trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'),
+  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&middot;', chr(183)), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+
+_SQL_BLOCKS = f"""loaded AS (
+  SELECT page_id, url, string_split(string_split(string_split(html, '<article>')[2], '</article>')[1], '<p>')[2:] AS raw
+  FROM pages WHERE contains(lower(html), '</html>')),
+blocks AS (
+  SELECT page_id, url, CAST(i - 1 AS INTEGER) AS pos, string_split(raw[i], '</p>')[1] AS block
+  FROM (SELECT *, unnest(generate_series(1, len(raw))) AS i FROM loaded)),
+bold AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos,
+         {_SQL_PLAIN.format("string_split(string_split(block, '<b>')[2], '</b>')[1]")} AS date
+  FROM blocks WHERE contains(block, '<b>')),
+texts AS (SELECT page_id, url, pos, block, {_SQL_PLAIN.format('block')} AS text FROM blocks)"""
+
+
+@register("page_extract_first_selector", "WITH " + _SQL_BLOCKS + f"""
 SELECT page_id, url, pos, md5(text) AS text_md5, date, keyword FROM (
-  SELECT *, {Q.sql_first_match('text', V.KW, False)} AS keyword FROM ex WHERE text <> '')
+  SELECT t.page_id, t.url, t.pos, t.text, coalesce(b.date, '') AS date, {Q.sql_first_match('t.text', V.KW, False)} AS keyword
+  FROM texts t LEFT JOIN bold b ON b.page_id = t.page_id AND b.pos = t.pos WHERE t.text <> '')
 WHERE keyword IS NOT NULL""")
 def page_extract_first_selector(spark, sf_dir):
     """Comments from loaded pages by selector priority, positional date
@@ -99,10 +88,14 @@ def page_error_rows(spark, sf_dir):
     return P.error_rows(V.table(spark, sf_dir, "pages"))
 
 
-@register("page_extract_nested", None)
+@register("page_extract_nested", "WITH " + _SQL_BLOCKS + f"""
+SELECT page_id, url, pos, md5(text) AS text_md5, date, keyword FROM (
+  SELECT page_id, url, pos, text, {Q.sql_first_match('text', V.KW, False)} AS keyword,
+         CASE WHEN contains(block, '<b>') THEN {_SQL_PLAIN.format("string_split(string_split(block, '<b>')[2], '</b>')[1]")} ELSE '' END AS date
+  FROM texts WHERE text <> '')
+WHERE keyword IS NOT NULL""")
 def page_extract_nested(spark, sf_dir):
-    """S18 nested form: html.parser tree per page in mapInPandas, paragraphs of the
-    article with the bold lead paired inside each paragraph (rows-only check)."""
+    """S18 in containers: paragraphs of the article, each with its own bold lead."""
     p = V.text_table(spark, sf_dir, "pages", "page_id", "url", "html").where(~P.page_failed(F.col("html")))
     rows = P.extract_nested(p, ("p",), DATE_SELECTORS, container="article p", keep=("page_id", "url"))
     hits = P.keyword_filter(rows, V.KW)
