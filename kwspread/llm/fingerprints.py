@@ -53,12 +53,16 @@ def _sum(values: Column, part) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: mod(a + mod(part(x))))
 
 
+def _seeded(seed: int):
+    return lambda piece: F.xxhash64(piece, F.lit(seed))
+
+
 def fingerprint_columns(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add `out`, the fingerprint (array of LONGS longs) of the text column."""
     hashes = [f"{out}_h{k}" for k in range(WIDE)]
     df = df.withColumn(f"{out}_p", F.regexp_extract_all(F.col(text), F.lit(f"([^\\n]{{1,{PIECE}}})"), F.lit(1)))
     df = df.withColumns(
-        {h: F.transform(f"{out}_p", lambda p, k=k: F.xxhash64(p, F.lit(k))) for k, h in enumerate(hashes)}
+        {h: F.transform(f"{out}_p", _seeded(k)) for k, h in enumerate(hashes)}
     )
     entries = [_sum(F.col(h), lambda x: x) for h in hashes] + [F.size(f"{out}_p").cast("long")]
     for h in hashes[:SMALL]:
