@@ -26,39 +26,19 @@ from kwspread.operators.common import compute_once, spread
 KW = ("license", "que", "und", "that")
 
 
-# Tables are read once per session and path and the DataFrame is reused: reading
-# lists files and parses footers, and the driver tables are read-only.
-_READS: dict[tuple, DataFrame] = {}
-
-
-def _memo(spark: SparkSession, key: tuple, make) -> DataFrame:
-    k = (id(spark),) + key
-    df = _READS.get(k)
-    if df is None or df.sparkSession is not spark:
-        df = _READS[k] = make()
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _memo(spark, (sf_dir, name), lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """Columns of a text-heavy table, spread over the task slots when the scan is
     coarser than the cluster (see `operators.common.spread`)."""
-    return _memo(spark, (sf_dir, name, cols), lambda: spread(table(spark, sf_dir, name).select(*cols)))
-
-
-_COUNTS: dict[tuple[str, str], int] = {}
+    return spread(table(spark, sf_dir, name).select(*cols))
 
 
 def _count(spark: SparkSession, sf_dir: str, name: str) -> int:
-    # Parquet row counts come from footers; one number reaches the driver. The
-    # driver tables are read-only, so the count is kept per path for the process.
-    key = (sf_dir, name)
-    if key not in _COUNTS:
-        _COUNTS[key] = table(spark, sf_dir, name).count()
-    return _COUNTS[key]
+    """Rows of a table, from the Parquet footers; one number reaches the driver."""
+    return table(spark, sf_dir, name).count()
 
 
 def keyed_documents(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:

@@ -2,13 +2,14 @@
 (S1-S5, S7, S13-S17).
 
 CSV is read with an explicit all-string schema (no inference), header, RFC-4180
-quoting with embedded newlines, BOM-tolerant header. Files of different layouts are
-read one layout (folder) at a time and unioned **by name**: a single multi-file CSV
-read maps columns by position and would corrupt rows.
+quoting with embedded newlines, BOM-tolerant header. Files are grouped by their own
+header, each group is read on its own, and the groups are united **by name**: a single
+multi-file CSV read maps columns by position and would corrupt rows.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,32 +32,68 @@ def string_schema(cols: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV layout (first file's header), BOM stripped."""
-    cols = spark.read.options(**CSV_OPTIONS).csv(path).columns
-    return [c.lstrip("﻿").strip() for c in cols]
+MALFORMED = "_corrupt_record"
+
+
+def header_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their own header (BOM and blanks stripped). One pass over the text finds
+    each file's first line; only one line per file reaches the driver."""
+    lines = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(list(paths))
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
+                F.monotonically_increasing_id().alias("n"))
+        .where("block = 0")
+    )
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "n").alias("head")).orderBy("file").collect():
+        cells = next(csv.reader([row["head"].lstrip("\ufeff")]), [])
+        groups.setdefault(tuple(c.strip() for c in cells), []).append(row["file"])
+    return groups
 
 
 def read_csv_layout(spark: SparkSession, path: str | Sequence[str], cols: Sequence[str] | None = None,
-                    src_col: str | None = "src_file", ignore_corrupt: bool = True) -> DataFrame:
-    """One CSV layout (a folder or glob of files sharing a header), all
-    strings; `src_col` = base name of the file each row came from; corrupt or
-    unreadable files are skipped (`ignoreCorruptFiles`)."""
+                    src_col: str | None = "src_file", ignore_corrupt: bool = False,
+                    malformed_col: str | None = None) -> DataFrame:
+    """CSV files below `path` (folders or globs), all strings. Every file is read
+    by its own header and the groups are united by name; `cols` selects and orders the
+    columns (absent ones are null). `src_col` = base name of the file a row came from.
+    `malformed_col` keeps the text of rows that don't fit their header (else they fill
+    what columns they can). With `ignore_corrupt` unreadable files are skipped; see
+    `skipped_files` for which."""
     paths = [path] if isinstance(path, str) else list(path)
+    groups = header_groups(spark, paths)
+    if not groups:
+        raise FileNotFoundError(f"no CSV files below {paths}")
+    parts = []
+    for header, files in groups.items():
+        schema = string_schema([*header, *([malformed_col] if malformed_col else [])])
+        reader = spark.read.options(**CSV_OPTIONS).option("ignoreCorruptFiles", str(ignore_corrupt).lower())
+        if malformed_col:
+            reader = reader.option("columnNameOfCorruptRecord", malformed_col)
+        # A BOM is part of the first header cell; an explicit schema replaces the header.
+        part = reader.schema(schema).csv(files)
+        parts.append(part.withColumn(src_col, F.col("_metadata.file_name")) if src_col else part)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
     if cols is None:
-        cols = read_header(spark, paths[0])
-    reader = (
-        spark.read.options(**CSV_OPTIONS)
-        .option("ignoreCorruptFiles", str(ignore_corrupt).lower())
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .schema(string_schema(cols))
+        return out
+    extra = [c for c in (malformed_col, src_col) if c and c not in cols]
+    present = set(out.columns)
+    return out.select(
+        *[F.col(c) if c in present else F.lit(None).cast("string").alias(c) for c in cols], *extra
+    )
+
+
+def skipped_files(spark: SparkSession, path: str | Sequence[str], rows: DataFrame, src_col: str = "src_file") -> DataFrame:
+    """Files below `path` of which `rows` holds nothing (unreadable or empty), as
+    src_file, bytes. The listing reads no contents."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+        .load([path] if isinstance(path, str) else list(path))
+        .select(F.element_at(F.split("path", "/"), -1).alias(src_col), F.col("length").alias("bytes"))
     )
-    df = reader.csv(paths)
-    # A BOM is part of the first header cell; an explicit schema replaces the header.
-    if src_col:
-        df = df.withColumn(src_col, F.col("_metadata.file_name"))
-    return df
+    return listed.join(rows.select(src_col).distinct(), src_col, "left_anti")
 
 
 def read_csv_union(spark: SparkSession, layouts: Mapping[str, str | Sequence[str]] | Iterable[str],
@@ -77,9 +114,18 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     w.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
+def with_run_day(df: DataFrame, run_day: str | None = None) -> DataFrame:
+    """The run's day (UTC; today by default) as the partition column `run_day`."""
+    day = F.lit(run_day).cast("date") if run_day else F.to_date(F.convert_timezone(None, F.lit("UTC"), F.now()))
+    return df.withColumn("run_day", day)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = (), bom: bool = False) -> None:
     """Export edge (S13/S15): header CSV, RFC-4180 quoting; one folder per partition
-    value when `partition_by` is given (platform / keyword / day dumps)."""
+    value when `partition_by` is given (platform / keyword / day dumps). `bom` puts a
+    byte order mark before each file's header, as spreadsheet programs want it."""
+    if bom and df.columns and df.columns[0] not in partition_by:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     w = df.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"')
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -43,6 +43,12 @@ def _items(pages: DataFrame, json_col: str, ddl: str, keep: list[str]) -> DataFr
     return parsed.select(*keep, F.explode_outer("p.items").alias("it")).where(F.col("it").isNotNull())
 
 
+def malformed_pages(pages: DataFrame, json_col: str = "page") -> DataFrame:
+    """Quarantine: the pages whose text is no JSON document (truncated, cut, blank); the
+    flatteners give no rows for them."""
+    return pages.where(F.try_parse_json(F.col(json_col)).isNull())
+
+
 def flatten_thread_pages(pages: DataFrame, json_col: str = "page", video_col: str = "video_id") -> DataFrame:
     """Top-level comments. id cast to string, missing text -> '', reply count null -> 0."""
     it = _items(pages, json_col, THREADS_PAGE, [video_col])

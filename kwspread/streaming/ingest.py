@@ -9,7 +9,7 @@ query over a landing folder:
 Exactly-once comes from the checkpoint (offsets + state) plus an idempotent sink:
 `foreachBatch` anti-joins each micro-batch against the stored table, so a batch that
 is replayed after a failure cannot write an id twice, and the "seen ids" horizon is
-unlimited (streaming dedup state alone forgets ids after the watermark).
+unlimited. No operator here drops late rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kwspread.functions import match as M
 from kwspread.functions import timefmt as T
+from kwspread.operators.common import keep_first
 
 # Landed flat comment rows (one JSON object per line).
 FLAT_COMMENT_SCHEMA = (
@@ -51,29 +52,23 @@ def match_stream(rows: DataFrame, keywords: Sequence[str], ci: bool = True) -> D
     return out.withColumn("text", X.newline_to_space(F.col("text")))
 
 
-def dedup_within_watermark(rows: DataFrame, delay: str = "30 days") -> DataFrame:
-    """D5/I1 inside the stream: duplicates of an id arriving within the watermark
-    delay are dropped by state (bounded by the delay)."""
-    return rows.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["comment_id"])
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def append_new_only(out_dir: str):
-    """foreachBatch sink: append only ids not already stored (I1/I4, idempotent)."""
+    """foreachBatch sink: append only ids not already stored (I1/I4, idempotent). Of rows
+    with one id in a batch the first by (published_at, text) stays. The planner chooses
+    the join: either side is broadcast only if its size allows."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["comment_id"])
-        try:
-            stored = spark.read.parquet(out_dir).select("comment_id")
-            # The micro-batch is the bounded side (maxFilesPerTrigger): broadcast its
-            # ids, find which are already stored with a semi-join that only scans the
-            # stored table (never shuffles it), then drop those.
-            ids = fresh.select("comment_id")
-            seen = stored.join(F.broadcast(ids), "comment_id", "left_semi")
-            fresh = fresh.join(F.broadcast(seen), "comment_id", "left_anti")
-        except Exception as e:  # first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        rest = [c for c in batch.columns if c not in ("comment_id", "published_at", "text")]
+        fresh = keep_first(batch, ["comment_id"], ["published_at", "text", *rest])
+        if _exists(spark, out_dir):
+            stored = spark.read.schema("comment_id string").parquet(out_dir)
+            fresh = fresh.join(stored, "comment_id", "left_anti")
         fresh.write.mode("append").parquet(out_dir)
 
     return run
@@ -82,33 +77,20 @@ def append_new_only(out_dir: str):
 def start_comment_ingest(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_dir: str,
                          keywords: Sequence[str], available_now: bool = True,
                          max_files_per_trigger: int = 1000) -> StreamingQuery:
-    """Landing -> match -> new ids only -> Parquet, restartable. The file cap per
-    micro-batch is what bounds the ids the sink broadcasts (availableNow honours it
-    by splitting a backlog into several batches)."""
+    """Landing -> match -> new ids only -> Parquet, restartable. The file cap bounds
+    a micro-batch (availableNow splits a backlog into several)."""
     rows = match_stream(read_landing(spark, landing_dir, max_files_per_trigger=max_files_per_trigger), keywords)
     w = rows.writeStream.foreachBatch(append_new_only(out_dir)).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
-def late_rows_dropped(query: StreamingQuery) -> int:
-    """Rows the stateful operators dropped as later than the watermark, summed over
-    the query's recent progress reports: late data is counted, not silently lost."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            n = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
-            total += int(n or 0)
-    return total
-
-
-def weekly_counts_stream(rows: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Continuous A2. Monday-aligned weekly windows (epoch day 0 is a Thursday,
-    hence the 4-day start offset), emitted once the watermark passes the week end."""
+def weekly_counts_stream(rows: DataFrame) -> DataFrame:
+    """Continuous A2, to be written in `update` or `complete` mode. Monday-aligned
+    weeks; no watermark, so a row of any age still counts and the stream equals the batch.
+    The state is one count per keyword and week, which the data's time span bounds."""
     return (
-        rows.withWatermark("event_time", delay)
-        .groupBy(F.col("matched_keyword").alias("keyword"),
-                 F.window(F.col("event_time"), "7 days", "7 days", "4 days").alias("w"))
+        rows.where(F.col("published_at").isNotNull())
+        .groupBy(F.col("matched_keyword").alias("keyword"), T.week_start(F.col("published_at")).alias("week"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("keyword", T.utc_date(F.col("w.start")).alias("week"), "n")
     )

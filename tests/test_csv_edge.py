@@ -51,3 +51,43 @@ def test_partitioned_dump_and_keywords(spark, scratch):
     assert os.path.isdir(f"{scratch}/dump/platform=p/keyword=k/first_day=2024-01-01")
     write(f"{scratch}/kw.yaml", "keywords:\n  - ' a '\n  - ''\n  - b\n", bom=False)
     assert E.load_keywords(f"{scratch}/kw.yaml") == ["a", "b"]
+
+
+def test_files_with_their_own_headers(spark, scratch):
+    write(f"{scratch}/m/a.csv", "date,platform,source,keyword,text\n2024-01-01,p,s,kw1,one\n")
+    write(f"{scratch}/m/deep/b.csv", "date,platform,keyword,video_id,text\n2024-01-02,q,kw2,v9,two\n")
+    write(f"{scratch}/m/deep/c.csv", "text,date\n\"three, quoted\",2024-01-03\n")
+    df = E.read_csv_layout(spark, f"{scratch}/m")
+    got = {r.src_file: r.asDict() for r in df.collect()}
+    assert (got["a.csv"]["source"], got["a.csv"]["keyword"], got["a.csv"]["video_id"]) == ("s", "kw1", None)
+    assert (got["b.csv"]["source"], got["b.csv"]["keyword"], got["b.csv"]["video_id"]) == (None, "kw2", "v9")
+    assert (got["c.csv"]["text"], got["c.csv"]["date"]) == ("three, quoted", "2024-01-03")
+    some = E.read_csv_layout(spark, f"{scratch}/m", cols=["text", "nowhere"], src_col=None)
+    assert some.columns == ["text", "nowhere"] and some.count() == 3
+
+
+def test_malformed_rows_and_skipped_files_are_told(spark, scratch):
+    write(f"{scratch}/k/a.csv", "x,y\n1,2\n3,4,5\n")
+    write(f"{scratch}/k/empty.csv", "x,y\n")
+    df = E.read_csv_layout(spark, f"{scratch}/k", malformed_col="bad").cache()
+    assert [r.bad is not None for r in df.orderBy("x").collect()] == [False, True]
+    assert [r.src_file for r in E.skipped_files(spark, f"{scratch}/k", df).collect()] == ["empty.csv"]
+
+
+def test_bom_and_run_day(spark, scratch):
+    df = spark.createDataFrame([("é", "b")], "text string, k string")
+    E.write_csv(df, f"{scratch}/bom", bom=True)
+    import glob
+
+    raw = open(glob.glob(f"{scratch}/bom/*.csv")[0], "rb").read()
+    assert raw.startswith(b"\xef\xbb\xbftext,k")
+    assert E.read_csv_layout(spark, f"{scratch}/bom", src_col=None).collect()[0].text == "é"
+    E.write_parquet(E.with_run_day(df, "2024-01-05"), f"{scratch}/days", mode="append", partition_by=["run_day"])
+    assert os.path.isdir(f"{scratch}/days/run_day=2024-01-05")
+
+
+def test_malformed_json_pages(spark):
+    from kwspread.sources import landed_json as J
+
+    pages = spark.createDataFrame([("v", '{"items": []}'), ("v", '{"items": [{"id"'), ("v", ""), ("v", None)], "video_id string, page string")
+    assert J.malformed_pages(pages).count() == 3
