@@ -37,19 +37,31 @@ def lenient_ts(s: Column) -> Column:
     white space: z/Z, UTC, GMT, +hh, +hhmm, +hh:mm or a region name. Zoned input is
     converted to UTC; naive input is taken as UTC.
     """
-    iso = _iso_date_first(F.regexp_replace(s, r"^\s+|\s+$", ""))
+    plain = s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$")
+    trimmed = F.regexp_replace(s, r"^\s+|\s+$", "")
+    return F.when(plain, s.try_cast("timestamp_ntz")).otherwise(_once(_once(trimmed, _iso_date_first), _read_iso))
+
+
+def _once(value: Column, body) -> Column:
+    """body(value), with the value computed once: a lambda variable stands for it, so
+    the expression stays small however often `body` names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def _read_iso(iso: Column) -> Column:
     zoned = "^" + _TIMED[1:] + _ZONE + "$"
     wall = F.concat_ws(" ", F.regexp_extract(iso, _TIMED, 1), F.regexp_replace(F.regexp_extract(iso, _TIMED, 2), ",", "."))
     zone = F.regexp_extract(iso, zoned, 3)
     zone = F.regexp_replace(zone, r"^([+-][0-9]{2}):?$", "$1:00")
     zone = F.regexp_replace(zone, r"^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
-    zone = F.when(zone.isin("z", "GMT"), F.lit("Z")).otherwise(zone)
+    zone = F.regexp_replace(zone, "^(z|GMT)$", "Z")
     # Zoned text becomes an instant rendered as its UTC wall clock; naive text is read
-    # directly as a wall clock.
-    instant = F.concat(wall, F.when(zone.contains("/"), F.concat(F.lit(" "), zone)).otherwise(zone)).try_cast("timestamp")
-    naive = F.when(iso.rlike(_TIMED + "$"), wall).otherwise(iso)
-    return F.when(iso.rlike(zoned), utc_wall(instant)).when(
-        iso.rlike(r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?$") | iso.rlike(_TIMED + "$"), naive.try_cast("timestamp_ntz")
+    # directly as a wall clock. A region name needs a space before it.
+    instant = F.concat(wall, F.regexp_replace(zone, "^(?=.*/)", " ")).try_cast("timestamp")
+    return (
+        F.when(iso.rlike(zoned), utc_wall(instant))
+        .when(iso.rlike(_TIMED + "$"), wall.try_cast("timestamp_ntz"))
+        .when(iso.rlike(r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?$"), iso.try_cast("timestamp_ntz"))
     )
 
 
