@@ -91,13 +91,15 @@ def _period_bounds(periods: Sequence[tuple[str, str]]) -> Column:
 
 
 def _tag_structs(keywords: Sequence[str], periods: Sequence[tuple[str, str]],
-                 text_col: str = "title", ts_col: str = "published_at", ci: bool = True) -> Column:
+                 text_col: str = "title", ts_col: str = "published_at", ci: bool = True,
+                 hits_col: str | None = None) -> Column:
     """Array of struct(ord, tag) for the (keyword, period) pairs this row satisfies, in
-    order; periods are half-open (the end date's midnight is excluded)."""
+    order; periods are half-open (the end date's midnight is excluded). `hits_col` holds
+    the row's keywords where they were matched before."""
     kws = [k for k in keywords if k]
     if not kws or not periods:
         return F.array().cast("array<struct<ord:int,tag:string>>")
-    hits = M.all_matches_array(F.col(text_col), kws, ci=ci)
+    hits = F.col(hits_col) if hits_col else M.all_matches_array(F.col(text_col), kws, ci=ci)
     ts = F.col(ts_col).cast("timestamp_ntz")
     held = F.filter(_period_bounds(periods), lambda p: (ts >= p["lo"]) & (ts < p["hi"]))
 
@@ -111,7 +113,8 @@ def _tag_structs(keywords: Sequence[str], periods: Sequence[tuple[str, str]],
 
 
 def candidate_pool(videos: DataFrame, keywords: Sequence[str], periods: Sequence[tuple[str, str]],
-                   channels: DataFrame | None = None, unique_videos: bool = True) -> DataFrame:
+                   channels: DataFrame | None = None, unique_videos: bool = True,
+                   title_col: str = "title", hits_col: str | None = None) -> DataFrame:
     """D1 + D8 + A8: keyword pool then channel pool, keyed by video, provenance merged
     in first-insertion order. Output keeps the candidates schema.
 
@@ -123,8 +126,8 @@ def candidate_pool(videos: DataFrame, keywords: Sequence[str], periods: Sequence
     metadata (first writer wins)."""
     kws = list(dict.fromkeys(k for k in keywords if k))
     pers = list(dict.fromkeys(periods))
-    cols = ("video_id", "channel_id", "channel_name", "title", "published_at")
-    v = videos.select(*cols).withColumn("__tags", _tag_structs(kws, pers))
+    cols = ("video_id", "channel_id", "channel_name", title_col, "published_at")
+    v = videos.select(*cols, _tag_structs(kws, pers, title_col, hits_col=hits_col).alias("__tags"))
     if channels is not None:
         lookup = bounded_lookup(channels.select("channel_id", F.col("ch_ord").alias("__ch_ord")))
         own = F.struct(
@@ -140,7 +143,7 @@ def candidate_pool(videos: DataFrame, keywords: Sequence[str], periods: Sequence
         # The first writer is the row with the least tag position, then the earliest date.
         first = keep_first(
             v.withColumn("__ord", F.array_min(F.transform("__tags", lambda x: x["ord"]))).drop("__tags"),
-            ["video_id"], ["__ord", "published_at", "channel_id", "channel_name", "title"],
+            ["video_id"], ["__ord", "published_at", "channel_id", "channel_name", title_col],
         )
         merged = merge_provenance(v.select("video_id", F.explode("__tags").alias("t")).select("video_id", "t.ord", "t.tag"))
         return merged.join(first, "video_id").select(*cols, "source")

@@ -222,18 +222,19 @@ def enrich(comments: DataFrame, videos: DataFrame, cols: Sequence[str]) -> DataF
 
 
 def search_attribution(videos: DataFrame, comments: DataFrame, queries: Sequence[str], per_query: int,
-                       keyword_col: str = "keyword", ts_col: str = "published_at") -> DataFrame:
+                       keyword_col: str = "keyword", ts_col: str = "published_at",
+                       hits_col: str | None = None) -> DataFrame:
     """J10 + W6: videos found per query (metadata search, newest `per_query`), their
     comments matched against *all* keywords; one comment can appear under several
     queries and `query` may differ from `keyword`."""
     qs = [q for q in queries if q]
-    found_arr = M.all_matches_array(F.col("title"), qs, ci=True)
+    found_arr = F.col(hits_col) if hits_col else M.all_matches_array(F.col("title"), qs, ci=True)
     found = videos.select("video_id", ts_col, F.explode(found_arr).alias("query"))
     found = top_n_per_group(found, ["query"], [F.col(ts_col).desc_nulls_last(), F.col("video_id").asc()], per_query)
     hits = comments.where(F.col(keyword_col).isNotNull())
-    # Proven bound: at most len(queries) * per_query rows, so broadcasting it is safe
-    # and the comment side is never shuffled on a possibly hot video key.
-    return hits.join(F.broadcast(found.select("query", "video_id")), "video_id", "inner")
+    # At most len(queries) * per_query rows; broadcast if that is small, so the comment
+    # side is not shuffled on a possibly hot video key.
+    return hits.join(bounded_lookup(found.select("query", "video_id")), "video_id", "inner")
 
 
 def run_totals(progress: DataFrame) -> DataFrame:

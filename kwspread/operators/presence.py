@@ -70,10 +70,11 @@ def newest_n_any(rows: DataFrame, n: int, hit_col: str, video_col: str = "video_
     )
 
 
-def found_videos(videos: DataFrame, video_hits: DataFrame, keywords: Sequence[str], ci: bool = True) -> DataFrame:
+def found_videos(videos: DataFrame, video_hits: DataFrame, keywords: Sequence[str], ci: bool = True,
+                 hits_col: str | None = None) -> DataFrame:
     """keyword, video_id, pub_us, hit: videos found by searching each keyword in the
     metadata (M10), with the video's hit flag (false when it has no comments)."""
-    arr = all_matches_array(F.col("title"), keywords, ci=ci)
+    arr = F.col(hits_col) if hits_col else all_matches_array(F.col("title"), keywords, ci=ci)
     f = videos.select("video_id", to_us(F.col("published_at")).alias("pub_us"), F.explode(arr).alias("keyword"))
     f = f.join(video_hits.withColumnRenamed("has_hit", "hit"), "video_id", "left")
     return f.select("keyword", "video_id", "pub_us", F.coalesce("hit", F.lit(False)).alias("hit"))

@@ -22,14 +22,14 @@ def channel_inputs(spark, sf_dir):
 
 
 def pool(spark, sf_dir):
-    videos = V.cand(spark, sf_dir)
+    videos = V.cand_keyed(spark, sf_dir)
     chans = C.resolved_channels(channel_inputs(spark, sf_dir))
-    return C.candidate_pool(videos, V.KW, PERIODS, chans)
+    return C.candidate_pool(videos, V.KW, PERIODS, chans, title_col="title_md5", hits_col="title_hits")
 
 
 def pool_out(p):
     return p.select(
-        "video_id", "channel_id", "channel_name", F.md5("title").alias("title_md5"),
+        "video_id", "channel_id", "channel_name", "title_md5",
         F.date_format("published_at", T.ISO_Z).alias("published_at"), "source",
     )
 
@@ -137,9 +137,9 @@ def page_meta(spark, sf_dir):
     p = V.text_table(spark, sf_dir, "pages", "page_id", "html")
     return p.select(
         F.col("page_id").alias("video_id"),
-        F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("new_title"),
+        F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"),
         F.regexp_extract("html", r"&copy; ([^ <]+)", 1).alias("new_channel_name"),
-    )
+    ).withColumn("new_title_md5", F.when(F.col("title") != "", F.md5("title")).otherwise(F.lit(""))).drop("title")
 
 
 @register("hydrate_coalesce", "WITH " + V.SQL_CAND + r""",
@@ -151,8 +151,8 @@ SELECT c.video_id, md5(coalesce(nullif(m.new_title, ''), nullif(c.title, ''), ''
 FROM cand c LEFT JOIN meta m USING (video_id)""")
 def hydrate_coalesce(spark, sf_dir):
     """Non-empty metadata overrides; missing metadata keeps the old values."""
-    h = C.hydrate(V.cand(spark, sf_dir), page_meta(spark, sf_dir), ["title", "channel_name"])
-    return h.select("video_id", F.md5("title").alias("title_md5"), "channel_name")
+    h = C.hydrate(V.cand_keyed(spark, sf_dir), page_meta(spark, sf_dir), ["title_md5", "channel_name"])
+    return h.select("video_id", "title_md5", "channel_name")
 
 
 @register("channel_uploads", SQL_POOL + """

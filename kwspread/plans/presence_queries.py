@@ -26,7 +26,7 @@ def found(spark, sf_dir):
         F.col("doc_id").alias("video_id"), "comment_id", "date", F.col("keyword_cs").isNotNull().alias("hit")
     ))
     hits = PR.newest_n_any(o, MAX_COMMENTS, "hit")
-    return PR.found_videos(V.cand(spark, sf_dir), hits, V.KW)
+    return PR.found_videos(V.cand_keyed(spark, sf_dir), hits, V.KW, hits_col="title_hits")
 
 
 SQL_BRACKET = "WITH RECURSIVE " + V.sql_obs() + ",\n" + V.SQL_CAND + f""",

@@ -72,7 +72,7 @@ FROM obs o LEFT JOIN cand c USING (video_id) WHERE o.keyword_cs IS NOT NULL""")
 def enrich_comments(spark, sf_dir):
     """Every keyword comment gets its video's title, channel and publish time."""
     o = V.obs(spark, sf_dir).where(F.col("keyword_cs").isNotNull())
-    v = V.cand(spark, sf_dir).select("video_id", F.md5("title").alias("video_title_md5"), "channel_id",
+    v = V.cand_keyed(spark, sf_dir).select("video_id", F.col("title_md5").alias("video_title_md5"), "channel_id",
                                      F.col("published_at").alias("video_published_at"))
     e = C.enrich(o, v, ["video_title_md5", "channel_id", "video_published_at"])
     return e.select("comment_id", F.col("keyword_cs").alias("keyword"), "video_id", "video_title_md5",
@@ -96,7 +96,7 @@ def query_vs_keyword(spark, sf_dir):
     """Comments found through query q but matched against all keywords; a
     comment's video is its document here (doc_id = candidate video id)."""
     o = V.obs(spark, sf_dir).select("comment_id", F.col("doc_id").alias("video_id"), F.col("keyword_cs").alias("keyword"))
-    out = C.search_attribution(V.cand(spark, sf_dir), o, V.KW, SEARCH_PER_QUERY)
+    out = C.search_attribution(V.cand_keyed(spark, sf_dir), o, V.KW, SEARCH_PER_QUERY, hits_col="title_hits")
     return out.select("query", "comment_id", "video_id", "keyword")
 
 

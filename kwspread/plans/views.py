@@ -96,6 +96,27 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cand_keyed(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
+    """`cand` without its text: title_hits (keywords in the title, dictionary order) and
+    title_md5 are computed on `documents`, so only narrow columns go through the join."""
+    step = _count(spark, sf_dir, "events") // _count(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    d = compute_once(d, ["doc_id", "source"], {
+        "title_md5": F.md5(F.coalesce("text", F.lit(""))),
+        "title_hits": M.all_matches_array(F.col("text"), kw, ci=True),
+    })
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    j = d.join(e, e.event_id == d.doc_id * F.lit(step), "inner")
+    return j.select(
+        F.col("doc_id").alias("video_id"),
+        channel_id_of(F.col("source")).alias("channel_id"),
+        F.col("source").alias("channel_name"),
+        "title_md5",
+        "title_hits",
+        F.col("ts").alias("published_at"),
+    )
+
+
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, turn, role, text, comment_id, parent_id, comment_level"""
     c = table(spark, sf_dir, "conversations")
