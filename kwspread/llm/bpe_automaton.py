@@ -41,7 +41,11 @@ from pyspark.sql import DataFrame
 from kwspread.llm.common import Pool, Slots, segment_sums, text_slices
 from kwspread.llm.word_tokens import byte_letters
 
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 250_000
+#: Words that advance together; bounds the working arrays.
+BATCH_WORDS = 20_000
+#: Text that a worker handles at a time.
+SLICE = 2 << 20
 #: White space, and the pre-split of byte-level vocabularies.
 SPACE = "\t-\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PRE_SPLIT = (
@@ -150,6 +154,11 @@ class AutomatonTables:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words one after the other, and the number of each word's."""
+        parts = [self._encode(words[k : k + BATCH_WORDS]) for k in range(0, len(words), BATCH_WORDS)]
+        ids, sizes = zip(*parts, strict=True) if parts else ([np.empty(0, np.int32)], [np.empty(0, np.int32)])
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         first = np.cumsum(size) - size
@@ -282,10 +291,15 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from text_slices(batch, most=SLICE)
+
+
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in chain.from_iterable(map(text_slices, batches)):
+        for batch in _slices(batches):
             rows, counts = c.encode([t or "" for t in batch.column("text").to_pylist()])
             n_tokens = segment_sums(c.pool.size[rows], counts)
             slots, at = rows.tolist(), 0
@@ -309,7 +323,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in chain.from_iterable(map(text_slices, batches)):
+        for batch in _slices(batches):
             ids = c.ids([t or "" for t in batch.column("text").to_pylist()])
             lists = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), lists], ["doc_id", "ids"])
