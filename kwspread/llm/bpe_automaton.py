@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from kwspread.llm.common import Pool, Slots, segment_sums, text_slices
 from kwspread.llm.word_tokens import byte_letters
 
-MAX_CHUNKS = 250_000
+MAX_CHUNKS = 350_000
 #: Words that advance together; bounds the working arrays.
 BATCH_WORDS = 20_000
 #: Text that a worker handles at a time.
@@ -53,6 +53,8 @@ PRE_SPLIT = (
 )
 _WORDS = regex.compile(PRE_SPLIT)
 _CHUNKS = re.compile(r" ?[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+(?![^\x20\x09-\x0d])|[\x20\x09-\x0d]")
+#: The commonest chunk: Latin letters and marks that the pre-split always parts.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?%#$&*|]*)")
 #: White space that the chunk pattern does not know; such texts are pre-split whole.
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
 NEVER = np.int32(1 << 30)
@@ -209,13 +211,34 @@ class AutomatonTables:
         return out, sizes
 
 
+class ByteRows:
+    """Byte strings in one array, gathered by number."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        self.pool = Pool(np.uint8)
+        self.pool.extend(np.frombuffer(b"".join(rows), np.uint8), np.fromiter(map(len, rows), np.int64, len(rows)))
+
+    def joined(self, numbers: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Of consecutive runs of numbers, each run's strings joined."""
+        flat, size = self.pool.gather(numbers)
+        whole, ends = flat.tobytes(), np.cumsum(segment_sums(size, counts)).tolist()
+        return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def _pre_split(chunk: str) -> list[str]:
+    if m := _PLAIN.fullmatch(chunk):
+        return [m[1], m[2]] if m[2] else [chunk]
+    return _WORDS.findall(chunk)
+
+
 class Codec:
     """Encodes and decodes texts; remembers the chunks it has met."""
 
     def __init__(self, path: str) -> None:
         self.tables = AutomatonTables(path)
         self.added = re.compile("|".join(map(re.escape, sorted(self.tables.added, key=len, reverse=True))) or "(?!)")
-        self.digits = [b"%d," % n for n in range(len(self.tables.labels))]
+        self.digits = ByteRows([b"%d," % n for n in range(len(self.tables.labels))])
+        self.labels = ByteRows(self.tables.labels)
         self._forget()
 
     def _forget(self) -> None:
@@ -236,7 +259,7 @@ class Codec:
     def _describe(self, chunks: list[str]) -> None:
         """Encode new chunks: their words, each distinct word once."""
         added = self.tables.added
-        words = [[c] if c in added else _WORDS.findall(c) for c in chunks]
+        words = [[c] if c in added else _pre_split(c) for c in chunks]
         per_chunk = np.fromiter(map(len, words), np.int64, len(words))
         numbered = pa.array(list(chain.from_iterable(words)), pa.string()).dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
@@ -252,13 +275,8 @@ class Codec:
         flat, size = pool.gather(numbered.indices.to_numpy())
         sizes = segment_sums(size, per_chunk)
         self.pool.extend(flat, sizes)
-        labels, digits, at = self.tables.labels, self.digits, 0
-        tokens = flat.tolist()
-        for n in sizes.tolist():
-            own = tokens[at : at + n]
-            self.decimal.append(b"".join([digits[t] for t in own]))
-            self.decoded.append(b"".join([labels[t] for t in own]))
-            at += n
+        self.decimal += self.digits.joined(flat, sizes)
+        self.decoded += self.labels.joined(flat, sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The slot of every chunk, and the number of chunks of each text."""
