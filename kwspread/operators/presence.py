@@ -6,12 +6,11 @@ newest `max_videos` videos found for keyword k and published before c, contains
 keyword of the list. The bisection narrows [start, end] while high - low > 2 days,
 at most `iters` times; `high` moves on true, `low` on false; never true -> high null.
 
-Execution: the per-video hit flags and the keyword -> video table are computed once
-and checkpointed. Each bisection step is one distributed job for all keywords at
-once: the state (one row per dictionary keyword, a proven bound) is broadcast, the
-newest `max_videos` per keyword are kept with a partial WindowGroupLimit, and
-`bool_or` gives exists. Only the per-keyword state returns to the driver between
-steps; no table passes through it.
+Execution, as one plan: a bisection can only ask about the times of a grid that its
+parameters fix. Videos are counted per keyword and grid cell, with the place of the
+cell's newest hit (partial aggregates; a keyword with a third of all videos is a few
+thousand numbers). exists(k, c) follows from the cells before c, and the bisection is a
+fold over that array, row by row. Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,13 +18,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kwspread.functions.match import all_matches_array
-from kwspread.operators.common import bounded_lookup, top_n_per_group
-from kwspread.session import ensure_checkpoint_dir
+from kwspread.operators.common import bounded_lookup, materialize
 
 # Fixed values of the reference: stop when the bracket is at most 2 days wide;
 # 18 steps by default (16 on its command line); 120 videos x 15 pages of 100.
@@ -80,125 +77,111 @@ def found_videos(videos: DataFrame, video_hits: DataFrame, keywords: Sequence[st
     return f.select("keyword", "video_id", "pub_us", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-_STATE = T.StructType([
-    T.StructField("keyword", T.StringType()),
-    T.StructField("mid_us", T.LongType()),
-])
-
-
 def _us(t: dt.datetime) -> int:
     d = t - _EPOCH
     return (d.days * 86_400 + d.seconds) * 1_000_000 + d.microseconds
 
 
-def _from_us(us: int) -> dt.datetime:
-    return _EPOCH + dt.timedelta(microseconds=us)
-
-
-def exists_at(found: DataFrame, points: set[tuple[str, int]], max_videos: int) -> dict[tuple[str, int], bool]:
-    """One distributed job: exists(k, c) for every (keyword, cutoff) point. The point
-    table is bounded by |keywords| x (2^lookahead - 1) rows and broadcast."""
-    spark = found.sparkSession
-    state = spark.createDataFrame(sorted(points), _STATE)
-    cand = found.join(F.broadcast(state), "keyword", "inner").where(F.col("pub_us") < F.col("mid_us"))
-    top = top_n_per_group(cand, ["keyword", "mid_us"], [F.col("pub_us").desc(), F.col("video_id").asc()], max_videos)
-    rows = top.groupBy("keyword", "mid_us").agg(F.bool_or("hit").alias("ex")).collect()
-    got = {(r["keyword"], r["mid_us"]): bool(r["ex"]) for r in rows}
-    return {p: got.get(p, False) for p in points}
-
-
-PAIR_BUDGET = 200_000_000  # (row, cutoff) pairs one speculative step may evaluate
-MAX_LOOKAHEAD = 6
-
-
-def lookahead_for(found_rows: int) -> int:
-    """Deepest speculation whose work stays within the per-job budget: a step over d
-    levels evaluates every row against up to 2^d - 1 cutoffs. Small inputs take few
-    sequential jobs; at scale it falls back to one level per job."""
-    d = 1
-    while d < MAX_LOOKAHEAD and max(found_rows, 1) * (2 ** (d + 1) - 1) <= PAIR_BUDGET:
-        d += 1
-    return d
+def _list(values: Sequence, kind: str) -> Column:
+    """A long list as one literal (its elements hold no commas)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _midpoint(low: dt.datetime, high: dt.datetime) -> dt.datetime:
-    return low + (high - low) / 2
+def grid_times(start: dt.datetime, end: dt.datetime, iters: int) -> list[dt.datetime]:
+    """All times that a bisection of [start, end] can stop at or ask about: halving until
+    at most MIN_WIDTH wide or `iters` times. 2^steps + 1 of them, a parameter's size."""
+    times = [start, end]
+    for _ in range(iters):
+        if max(b - a for a, b in zip(times, times[1:])) <= MIN_WIDTH:
+            break
+        middle = [a + (b - a) / 2 for a, b in zip(times, times[1:])]
+        times = sorted(times + middle)
+    return times
+
+
+def _cell(pub_us: Column, inner: list[int]) -> Column:
+    """How many of the sorted inner grid times are <= pub_us, by binary search."""
+    steps = [1 << k for k in reversed(range(max(1, len(inner).bit_length())))]
+    times = _list(inner, "bigint") if inner else F.array().cast("array<bigint>")
+    jump = lambda p, s: F.when(F.get(times, p + s - 1) <= pub_us, p + s).otherwise(p)
+    return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), jump)
+
+
+def presence_cells(found: DataFrame, times: list[dt.datetime]) -> DataFrame:
+    """keyword, cells: per grid cell that has videos, in time order, the number of its
+    videos and how many of them are newer than its newest hit (null: no hit). Two partial
+    aggregates; a keyword has at most as many cells as the grid."""
+    key = F.struct((-F.col("pub_us")).alias("age"), F.col("video_id").alias("id"))
+    rows = found.select("keyword", "hit", key.alias("key"), _cell(F.col("pub_us"), [_us(t) for t in times[1:-1]]).alias("cell"))
+    cells = rows.groupBy("keyword", "cell").agg(F.count("*").alias("n"), F.min(F.when(F.col("hit"), F.col("key"))).alias("newest"))
+    newer = (
+        rows.select("keyword", "cell", "key").join(cells.select("keyword", "cell", "newest"), ["keyword", "cell"])
+        .where(F.col("newest").isNotNull())
+        .groupBy("keyword", "cell").agg(F.count_if(F.col("key") < F.col("newest")).alias("newer"))
+    )
+    told = cells.join(newer, ["keyword", "cell"], "left").select("keyword", F.struct("cell", "n", "newer").alias("c"))
+    return told.groupBy("keyword").agg(F.array_sort(F.collect_list("c")).alias("cells"))
 
 
-def _tree_points(k: str, low: dt.datetime, high: dt.datetime, depth: int, out: set) -> None:
-    """All cutoffs the next `depth` bisection steps could ask about."""
-    if depth == 0 or (high - low) <= MIN_WIDTH:
-        return
-    mid = _midpoint(low, high)
-    out.add((k, _us(mid)))
-    _tree_points(k, low, mid, depth - 1, out)   # exists -> high = mid
-    _tree_points(k, mid, high, depth - 1, out)  # absent -> low = mid
+def _exists(cells: Column, at: Column, max_videos: int) -> Column:
+    """Is a hit among the newest `max_videos` videos before grid time `at`? The newest
+    hit's rank is carried over the cells in time order."""
+    rank = F.aggregate(
+        F.filter(cells, lambda c: c["cell"] < at),
+        F.lit(None).cast("long"),
+        lambda r, c: F.when(c["newer"].isNotNull(), c["newer"] + 1).otherwise(r + c["n"]),
+    )
+    return F.coalesce(rank <= max_videos, F.lit(False))
 
 
 def bracket(found: DataFrame, keywords: Sequence[str], start: dt.datetime, end: dt.datetime,
-            max_videos: int = DEFAULT_MAX_VIDEOS, iters: int = DEFAULT_ITERS, lookahead: int = 4) -> list[dict]:
-    """Bisection per keyword, all keywords advanced together. Each job answers every
-    cutoff of the next `lookahead` levels of the bisection tree (speculative), then
-    the driver walks the same path the sequential loop would take: identical result,
-    ~lookahead times fewer sequential jobs."""
-    st = {k: {"low": start, "high": end, "seen": False, "trace": []} for k in keywords if k}
-    left = iters
-    while left > 0:
-        active = {k: s for k, s in st.items() if (s["high"] - s["low"]) > MIN_WIDTH}
-        if not active:
-            break
-        depth = min(lookahead, left)
-        points: set[tuple[str, int]] = set()
-        for k, s in active.items():
-            _tree_points(k, s["low"], s["high"], depth, points)
-        ex = exists_at(found, points, max_videos)
-        for k, s in active.items():
-            for _ in range(depth):
-                if (s["high"] - s["low"]) <= MIN_WIDTH:
-                    break
-                mid = _midpoint(s["low"], s["high"])
-                e = ex[(k, _us(mid))]
-                s["trace"].append((mid.date().isoformat(), e))
-                if e:
-                    s["seen"], s["high"] = True, mid
-                else:
-                    s["low"] = mid
-        left -= depth
-    out = []
-    for k, s in st.items():
-        found_it = s["seen"]
-        out.append({
-            "keyword": k,
-            "found_presence": found_it,
-            "lower_bound_no_presence": s["low"].date(),
-            "upper_bound_presence": s["high"].date() if found_it else None,
-            "window_days": (s["high"] - s["low"]).days if found_it else None,
-            "trace": str(s["trace"]),
-            "steps": len(s["trace"]),
-        })
-    return out
-
-
-BRACKET_SCHEMA = T.StructType([
-    T.StructField("keyword", T.StringType()),
-    T.StructField("found_presence", T.BooleanType()),
-    T.StructField("lower_bound_no_presence", T.DateType()),
-    T.StructField("upper_bound_presence", T.DateType()),
-    T.StructField("window_days", T.LongType()),
-    T.StructField("trace", T.StringType()),
-    T.StructField("steps", T.LongType()),
-])
+            max_videos: int = DEFAULT_MAX_VIDEOS, iters: int = DEFAULT_ITERS) -> DataFrame:
+    """One row per keyword: the bisection's bracket, its trace and number of steps."""
+    times = grid_times(start, end, iters)
+    steps = (len(times) - 1).bit_length() - 1
+    days = _list([t.date().isoformat() for t in times], "string")
+    words = found.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keywords) if k], "keyword string")
+    rows = words.join(presence_cells(found, times), "keyword", "left").withColumn(
+        "cells", F.coalesce("cells", F.array().cast("array<struct<cell:int,n:bigint,newer:bigint>>"))
+    )
+
+    def step(s: Column, _: Column) -> Column:
+        middle = ((s["lo"] + s["hi"]) / 2).cast("int")
+        seen = _exists(F.col("cells"), middle, max_videos)
+        note = F.concat(F.lit("('"), F.get(days, middle), F.lit("', "), F.initcap(seen.cast("string")), F.lit(")"))
+        return F.struct(
+            F.when(seen, s["lo"]).otherwise(middle).alias("lo"),
+            F.when(seen, middle).otherwise(s["hi"]).alias("hi"),
+            (s["seen"] | seen).alias("seen"),
+            F.array_append(s["trace"], note).alias("trace"),
+        )
+
+    begin = F.struct(
+        F.lit(0).alias("lo"), F.lit(len(times) - 1).alias("hi"), F.lit(False).alias("seen"),
+        F.array().cast("array<string>").alias("trace"),
+    )
+    turns = F.sequence(F.lit(1), F.lit(steps)) if steps else F.array().cast("array<int>")
+    rows = rows.select("keyword", F.aggregate(turns, begin, step).alias("s"))
+    us = _list([_us(t) for t in times], "bigint")
+    low, high = F.get(days, F.col("s.lo")), F.get(days, F.col("s.hi"))
+    width = F.floor((F.get(us, F.col("s.hi")) - F.get(us, F.col("s.lo"))) / 86_400_000_000)
+    return rows.select(
+        "keyword",
+        F.col("s.seen").alias("found_presence"),
+        low.cast("date").alias("lower_bound_no_presence"),
+        F.when(F.col("s.seen"), high.cast("date")).alias("upper_bound_presence"),
+        F.when(F.col("s.seen"), width.cast("long")).alias("window_days"),
+        F.concat(F.lit("["), F.array_join("s.trace", ", "), F.lit("]")).alias("trace"),
+        F.lit(steps).cast("long").alias("steps"),
+    )
 
 
 def first_presence(spark: SparkSession, found: DataFrame, keywords: Sequence[str], start: dt.datetime,
                    end: dt.datetime, max_videos: int = DEFAULT_MAX_VIDEOS, iters: int = DEFAULT_ITERS) -> DataFrame:
-    """Bracket per keyword plus the uncapped exact answer (earliest hit video).
-    `found` is checkpointed once (lineage cut; every step re-reads the files)."""
-    ensure_checkpoint_dir(spark)
-    found = found.checkpoint(eager=True)
-    rows = bracket(found, keywords, start, end, max_videos, iters, lookahead_for(found.count()))
-    br = spark.createDataFrame([tuple(r[f.name] for f in BRACKET_SCHEMA.fields) for r in rows], BRACKET_SCHEMA)
+    """Bracket per keyword plus the uncapped exact answer (earliest hit video), as one
+    plan. `found` is written once, since three aggregates read it."""
+    found = materialize(found)
     exact = found.where(F.col("hit")).groupBy("keyword").agg(
         F.timestamp_add("MICROSECOND", F.min("pub_us"), _epoch_col()).alias("exact_first_presence")
     )
-    return br.join(exact, "keyword", "left")
+    return bracket(found, keywords, start, end, max_videos, iters).join(exact, "keyword", "left")
