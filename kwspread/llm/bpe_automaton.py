@@ -38,7 +38,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kwspread.llm.common import Pool, Slots, segment_sums, text_slices
+from kwspread.llm.common import Pool, Slots, segment_sums, text_slices, worker_cache
 from kwspread.llm.word_tokens import byte_letters
 
 MAX_CHUNKS = 350_000
@@ -299,14 +299,9 @@ class Codec:
         return b"".join([self.tables.labels[n] for n in ids]).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """The worker's codec of a vocabulary file."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return worker_cache(("codec", path), lambda: Codec(path))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

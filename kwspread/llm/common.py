@@ -95,6 +95,18 @@ class Slots(dict):
         return slots[words.indices.to_numpy()], new
 
 
+_WORKER_CACHE: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker keeps between tasks. Only the operator that ran last keeps
+    its memory, so stages that follow one another in a worker don't add up."""
+    if key not in _WORKER_CACHE:
+        _WORKER_CACHE.clear()
+        _WORKER_CACHE[key] = make()
+    return _WORKER_CACHE[key]
+
+
 class Pool:
     """Growing ragged table: row k holds values[start[k] : start[k] + size[k]]."""
 

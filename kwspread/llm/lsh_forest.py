@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kwspread.llm.common import Slots, materialise, split_words, text_slices
+from kwspread.llm.common import Slots, materialise, split_words, text_slices, worker_cache
 from kwspread.llm.components import components
 
 WORDS = 4
@@ -106,13 +106,8 @@ class Shingles:
         return out
 
 
-_SHINGLES: list[Shingles] = []
-
-
 def shingles() -> Shingles:
-    if not _SHINGLES:
-        _SHINGLES.append(Shingles())
-    return _SHINGLES[0]
+    return worker_cache("shingles", Shingles)
 
 
 def _factors() -> np.ndarray:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kwspread.llm.common import Slots, materialise, split_words, text_slices
+from kwspread.llm.common import Slots, materialise, split_words, text_slices, worker_cache
 from kwspread.llm.fm_index import FMIndex, matching_statistics
 
 WINDOW = 35
@@ -118,13 +118,8 @@ def segments(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[begin], begin - origin, windows, grams[anchor[heads]], content
 
 
-_HASHES: list[WordHashes] = []
-
-
 def _word_hashes() -> WordHashes:
-    if not _HASHES:
-        _HASHES.append(WordHashes())
-    return _HASHES[0]
+    return worker_cache("word hashes", WordHashes)
 
 
 #: `at` holds 64 * first word + windows.

@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from kwspread.llm.common import Pool, Slots, segment_sums, split_words
+from kwspread.llm.common import Pool, Slots, segment_sums, split_words, worker_cache
 
 #: Chunks a worker remembers at once (about 200 bytes each).
 MAX_CHUNKS = 500_000
@@ -24,8 +24,6 @@ LATIN_END = "\u0250"
 #: Ends of a chunk that the vocabulary's split always parts from letters before them.
 STOPS = ".,"
 
-_ENCODERS: dict[str, "ChunkEncoder"] = {}
-
 
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1
@@ -94,6 +92,4 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return worker_cache(("encoder", path), lambda: ChunkEncoder(path))
