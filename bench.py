@@ -36,9 +36,10 @@ def main() -> None:
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
 
     from kwspread.plans.registry import load_all
-    from kwspread.session import build_session
+    from kwspread.session import build_session, ship_package
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    ship_package(spark)
     reg = load_all()
     spark_times, duck_times = {}, {}
     for name in names:

@@ -147,14 +147,19 @@ def bracket(found: DataFrame, keywords: Sequence[str], start: dt.datetime, end:
 
     def step(s: Column, _: Column) -> Column:
         middle = ((s["lo"] + s["hi"]) / 2).cast("int")
-        seen = _exists(F.col("cells"), middle, max_videos)
-        note = F.concat(F.lit("('"), F.get(days, middle), F.lit("', "), F.initcap(seen.cast("string")), F.lit(")"))
-        return F.struct(
-            F.when(seen, s["lo"]).otherwise(middle).alias("lo"),
-            F.when(seen, middle).otherwise(s["hi"]).alias("hi"),
-            (s["seen"] | seen).alias("seen"),
-            F.array_append(s["trace"], note).alias("trace"),
-        )
+        asked = F.struct(middle.alias("at"), _exists(F.col("cells"), middle, max_videos).alias("seen"))
+
+        def moved(q: Column) -> Column:
+            note = F.concat(F.lit("('"), F.get(days, q["at"]), F.lit("', "), F.initcap(q["seen"].cast("string")), F.lit(")"))
+            return F.struct(
+                F.when(q["seen"], s["lo"]).otherwise(q["at"]).alias("lo"),
+                F.when(q["seen"], q["at"]).otherwise(s["hi"]).alias("hi"),
+                (s["seen"] | q["seen"]).alias("seen"),
+                F.array_append(s["trace"], note).alias("trace"),
+            )
+
+        # A lambda variable holds the answer, so it is computed once a step.
+        return F.get(F.transform(F.array(asked), moved), F.lit(0))
 
     begin = F.struct(
         F.lit(0).alias("lo"), F.lit(len(times) - 1).alias("hi"), F.lit(False).alias("seen"),

@@ -10,10 +10,10 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 @pytest.fixture(scope="session")
 def spark():
-    from kwspread.session import build_session, ensure_checkpoint_dir
+    from kwspread.session import build_session, ship_package
 
     s = build_session(master="local[4]", shuffle_partitions=8)
-    ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
     s.stop()
 

@@ -11,13 +11,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from oracle import compare  # noqa: E402
 
 from kwspread.plans.registry import load_all  # noqa: E402
-from kwspread.session import build_session  # noqa: E402
+from kwspread.session import build_session, ship_package  # noqa: E402
 
 if __name__ == "__main__":
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
     tz = os.environ.get("KWSPREAD_TZ")  # e.g. Asia/Seoul: results must not depend on it
     spark = build_session(extra={"spark.sql.session.timeZone": tz} if tz else None)
+    ship_package(spark)
     reg = load_all()
     bad = 0
     for name, q in reg.items():
