@@ -18,10 +18,18 @@
    with the most candidates as a common hub; pairs inside a part and with the hub are
    confirmed there, each set being moved once. Pairs across parts that are still in
    different confirmed components are confirmed by joining both sets to the pair.
-4. Components of the confirmed links, joined back to all documents.
+4. The rest, exactly: a region of any tree (equal first MIN_DEPTH values) whose rows are
+   not yet one confirmed component has all its rows outside its largest component
+   compared with all its rows, by one byte of every signature value. What these links
+   hold together is a family; in it all pairs of different components are confirmed on
+   full sets. Regions and families are dealt over tasks in blocks, and a task sends only
+   links that join what was apart, so rows grow with the documents, not with their pairs.
+5. Components of the confirmed links, joined back to all documents.
 
 With similarity s a pair shares a prefix in one of the trees with probability
-1 - (1 - s^MIN_DEPTH)^TREES; at 0.8 it is missed with probability 1e-8.
+1 - (1 - s^MIN_DEPTH)^TREES; at 0.8 it is missed with probability 1e-8, and by the bytes
+of step 4 with 3e-9 (fewer than SAME_LEAST of 78 equal). Steps 2 and 3 lose nothing: what
+they leave apart goes through step 4.
 
 Defined results: a null text and a text without words have the empty set, are linked
 with nothing and stay; fewer than 4 words are one shingle; rows that repeat a doc_id
@@ -60,6 +68,10 @@ CENTRES_TO = 6
 #: Rows of one region that a task holds at once.
 MAX_HELD = 50_000
 MAX_PART = 200
+#: Least equal bytes of the SIGNATURE values; fewer have probability 3e-9 at similarity 0.8.
+SAME_LEAST = 40
+#: Rows and bytes of sets on each side of a block of step 4, and rows of a group of blocks.
+BLOCK_ROWS, BLOCK_BYTES, GROUP_ROWS = 1_000, 16 << 20, 10_000
 NODES_PER_BIN = 400
 SEED = 97
 MAX_KNOWN = 400_000
@@ -313,6 +325,13 @@ def _confirm_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set of the classes in `nodes` (distinct node)."""
+    wanted = nodes.select("node").join(classes.select("node", "set_key"), "node")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node")
+    return texts.mapInArrow(_set_rows, "node long, set binary").dropDuplicates(["node"])
+
+
 def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links u < v that hold on full sets and connect what all candidates connect."""
     parts = materialise(components(pairs.select("u", "v"), "candidates"), "candidate-parts")
@@ -329,9 +348,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> Da
     bins = max(1, nodes.count() // NODES_PER_BIN)
     bin_of = lambda part: F.pmod(F.xxhash64("component", part), F.lit(bins)).cast("int")
 
-    wanted = nodes.select("node").join(classes.select("node", "set_key"), "node")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node")
-    sets = materialise(texts.mapInArrow(_set_rows, "node long, set binary").dropDuplicates(["node"]), "sets")
+    sets = materialise(_set_table(docs, classes, nodes), "sets")
 
     hubs = nodes.where("parts > 1 AND node = hub")
     places = nodes.select("node", bin_of(F.col("part")).alias("bin")).union(
@@ -364,6 +381,150 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> Da
     return materialise(near.union(far), "all-links")
 
 
+def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The region of every tree that a class lies in."""
+    tree = np.arange(TREES, dtype=np.uint64)[None, :]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            signs = np.frombuffer(b"".join(part.column("signature").to_pylist()), "<u4").reshape(-1, TREES, MIN_DEPTH)
+            region = np.repeat(_mix(tree + np.uint64(1)), len(signs), axis=0)
+            for k in range(MIN_DEPTH):
+                region = _mix(region * _P + signs[:, :, k])
+            ends = [np.repeat(part.column(c).to_numpy(), TREES) for c in ("node", "component")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(region.ravel().view(np.int64)), *map(pa.array, ends)], ["owner", "node", "component"]
+            )
+
+
+def _alike(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """left x right: at least SAME_LEAST signature values have equal low bytes."""
+    a, b = (np.frombuffer(b"".join(x), "<u4").reshape(-1, SIGNATURE).astype(np.uint8) for x in (left, right))
+    same = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(SIGNATURE):
+        same += a[:, k, None] == b[None, :, k]
+    return same >= SAME_LEAST
+
+
+def _confirmed(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """left x right: `similar` of full sets, by products of incidence matrices."""
+    a, b = ([np.frombuffer(s, np.uint64) for s in x] for x in (left, right))
+    if len(a) * len(b) <= 64:
+        return np.array([[similar(x, y) for y in b] for x in a], bool).reshape(len(a), len(b))
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    size_a, size_b = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+    shared = np.zeros((len(a), len(b)), np.int64)
+    held = []
+    for sets, sizes in ((a, size_a), (b, size_b)):
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        at = np.searchsorted(common, values)
+        known = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == values) if len(common) else at[:0]
+        known = known[np.argsort(at[known], kind="stable")]
+        held.append((at[known], owner[known]))
+    for lo in range(0, len(common), 4096):
+        sides = []
+        for (at, owner), rows in zip(held, shared.shape, strict=True):
+            cut = slice(*np.searchsorted(at, (lo, lo + 4096)))
+            side = np.zeros((rows, 4096), np.float32)
+            side[owner[cut], at[cut] - lo] = 1
+            sides.append(side)
+        shared += (sides[0] @ sides[1].T).astype(np.int64)
+    return DENOMINATOR * shared >= NUMERATOR * (size_a[:, None] + size_b[None, :] - shared)
+
+
+def _spanning(node, component, label, left, right, hits) -> list[tuple[int, int]]:
+    """Links that join, of all hits between different components, what has different labels."""
+    out = []
+    for k, i in enumerate(left):
+        near = right[hits[k]]
+        near = near[(component[near] != component[i]) & (label[near] != label[i])]
+        if len(near):
+            found, first = np.unique(label[near], return_index=True)
+            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in near[first]]
+            label[np.isin(label, found)] = label[i]
+    return out
+
+
+def _join_apart(exact: bool):
+    """Links of the blocks of a group; `exact` compares full sets and takes components as
+    joined, else signatures are compared and every class starts alone."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, block in rows.groupby(["owner", "a", "b"], sort=False):
+            node, component = block["node"].to_numpy(), block["component"].to_numpy()
+            left, right = (np.flatnonzero(block[c].to_numpy()) for c in ("is_left", "is_right"))
+            if not len(left) or not len(right):
+                continue
+            value = block["value"].tolist()
+            hits = (_confirmed if exact else _alike)([value[i] for i in left], [value[i] for i in right])
+            label = component.copy() if exact else np.unique(node, return_inverse=True)[1]
+            out += _spanning(node, component, label, left, right, hits)
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
+def _across(rows: DataFrame, values: DataFrame, exact: bool) -> DataFrame:
+    """Links between the components of each owner: rows (owner, node, component), values
+    (node, value). Rows outside the owner's largest component meet all of its rows, in
+    blocks of bounded size."""
+    weight = F.length("value") if exact else F.lit(0)
+    if exact:
+        rows = rows.join(values, "node")
+    counted = rows.groupBy("owner", "component").agg(F.count("*").alias("n"), F.sum(weight).alias("bytes"))
+    top = counted.groupBy("owner").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "component")).alias("top")
+    )
+    top = top.where("n > top.n")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    open_ = top.select(
+        "owner",
+        F.col("top.component").alias("largest"),
+        blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("lefts"),
+        blocks(F.col("n"), F.col("bytes")).alias("rights"),
+    )
+    rows = rows.join(open_, "owner")
+    if not exact:
+        rows = rows.join(values, "node")
+    rows = rows.withColumn("minor", F.col("component") != F.col("largest"))
+    rows = rows.withColumn("own_a", F.pmod(F.xxhash64("node", F.lit(1)), "lefts").cast("int"))
+    rows = rows.withColumn("own_b", F.pmod(F.xxhash64("node", F.lit(2)), "rights").cast("int"))
+    as_right = F.transform(
+        F.expr("sequence(0, lefts - 1)"),
+        lambda a: F.struct(
+            a.alias("a"), F.col("own_b").alias("b"), (F.col("minor") & (a == F.col("own_a"))).alias("is_left"), F.lit(True).alias("is_right")
+        ),
+    )
+    as_left = F.transform(
+        F.filter(F.expr("sequence(0, rights - 1)"), lambda b: F.col("minor") & (b != F.col("own_b"))),
+        lambda b: F.struct(F.col("own_a").alias("a"), b.alias("b"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right")),
+    )
+    dealt = rows.select("owner", "node", "component", "value", F.inline(F.concat(as_right, as_left)))
+    count = open_.agg(F.sum(F.expr("lefts * rights")), F.count("*")).first()
+    if not count[1]:
+        return rows.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false")
+    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4 + int(count[0]) * 2 * BLOCK_ROWS // GROUP_ROWS
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("owner", "a", "b"), F.lit(groups)))
+    return dealt.groupBy("group").applyInPandas(_join_apart(exact), "u long, v long").distinct()
+
+
+def remaining_links(docs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Confirmed links between components of `links` that share a region."""
+    known = materialise(components(links, "confirmed"), "confirmed-components")
+    classes = classes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = materialise(classes.select("node", "set_key", "signature", "component"), "known-classes")
+    rows = classes.select("node", "signature", "component")
+    rows = rows.mapInArrow(_region_rows, "owner long, node long, component long")
+    rows = materialise(rows, "regions")
+    alike = materialise(_across(rows, classes.select("node", F.col("signature").alias("value")), False), "alike")
+    families = components(alike, "families")
+    owned = families.select(F.col("component").alias("owner"), "node").join(classes.select("node", "component"), "node")
+    owned = materialise(owned, "family-rows")
+    sets = materialise(_set_table(docs, classes, owned), "family-sets").withColumnRenamed("set", "value")
+    return materialise(_across(owned, sets, True), "remaining-links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -373,6 +534,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialise(classes, "classes")
     pairs = materialise(candidate_pairs(classes), "pairs")
     links = confirmed_links(docs, classes, pairs)
+    links = links.union(remaining_links(docs, classes, links))
     # A doc_id with several texts is one document: its classes are linked through it.
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     homes = usable.select("doc_id", "set_key").join(repeated, "doc_id").join(classes.select("set_key", "node"), "set_key")

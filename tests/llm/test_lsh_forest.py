@@ -83,3 +83,37 @@ def test_crowded_region_keeps_pairs_linear():
     a, b = L.neighbour_pairs(keys, np.zeros((5000, 16), np.uint8))
     assert len(a) <= 16 * 5000
     assert set(range(1, 5000)) <= set(b[a == 0])  # all of them through the centre
+
+
+def test_crowded_family_of_templates_equals_all_pairs(spark):
+    """Two variants per slot: thousands of texts share regions, few share a centre."""
+    rng = random.Random(11)
+    slots = [[" ".join(f"s{k}v{v}x{j}" for j in range(3)) for v in (0, 1)] for k in range(120)]
+    texts = list(dict.fromkeys(" ".join(s[rng.random() < 0.06] for s in slots) for _ in range(2200)))
+    rows = list(enumerate(texts))
+    got = L.near_duplicates(documents(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()
+    sets = [shingle_set(t) for t in texts]
+    names = {s: k for k, s in enumerate(set().union(*sets))}
+    inside = np.zeros((len(sets), len(names)), np.float32)
+    for k, s in enumerate(sets):
+        inside[k, [names[x] for x in s]] = 1
+    shared, size = inside @ inside.T, inside.sum(1)
+    linked = 100 * shared >= 80 * (size[:, None] + size[None, :] - shared)
+    want = np.arange(len(sets))
+    while True:
+        least = np.where(linked, want[None, :], len(sets)).min(1)
+        if (least == want).all():
+            break
+        want = least
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want.tolist()))
+
+
+def test_regions_are_whole_over_cuts(spark, monkeypatch):
+    """Links that the fast walk leaves out are found, here because it finds none."""
+    monkeypatch.setattr(L, "candidate_pairs", lambda classes: classes.sparkSession.createDataFrame([], "u long, v long"))
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(80)) for _ in range(30)]
+    texts += near_copies(rng, 60, texts[0], 5) + near_copies(rng, 20, texts[1], 3)
+    rows = list(enumerate(texts))
+    got = L.near_duplicates(documents(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()
+    assert {r.doc_id: tuple(r[1:]) for r in got} == brute(rows)
