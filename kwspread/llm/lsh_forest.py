@@ -1,6 +1,7 @@
 """Operator 3: near duplicates by an LSH forest, confirmed on full shingle sets.
 
-1. Every text becomes the set of its distinct 4-word shingles (64-bit hashes) and a
+1. Every text becomes the set of its distinct shingles (64-bit hashes; 4 words unless
+   the caller gives another width) and a
    signature of TREES * MIN_DEPTH minimum hashes. Texts with equal sets are one class
    (partial aggregation: a group of copies of any size is one row per task).
 2. The forest: each tree orders the classes by its own sequence of signature values
@@ -32,7 +33,7 @@ of step 4 with 3e-9 (fewer than SAME_LEAST of 78 equal). Steps 2 and 3 lose noth
 they leave apart goes through step 4.
 
 Defined results: a null text and a text without words have the empty set, are linked
-with nothing and stay; fewer than 4 words are one shingle; rows that repeat a doc_id
+with nothing and stay; fewer words than the width are one shingle; rows that repeat a doc_id
 count as one document; a null doc_id is never linked (component null) and stays; an
 empty table gives an empty table; other columns are ignored.
 """
@@ -40,6 +41,7 @@ empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -91,7 +93,7 @@ class Shingles:
     def __init__(self) -> None:
         self.slots, self.hashes = Slots(), np.empty(0, np.uint64)
 
-    def of(self, texts: pa.Array) -> list[np.ndarray]:
+    def of(self, texts: pa.Array, width: int = WORDS) -> list[np.ndarray]:
         if len(self.slots) > MAX_KNOWN:
             self.__init__()
         words, counts = split_words(pc.ascii_lower(texts.cast(pa.string())))
@@ -101,12 +103,12 @@ class Shingles:
             self.hashes = np.concatenate((self.hashes, told))
         h = self.hashes[at]
         wide = np.zeros(len(h), np.uint64)
-        for k in range(WORDS):
+        for k in range(width):
             wide[: len(h) - k] = _mix(wide[: len(h) - k] * _P + h[k:])
         out, lo = [], 0
         for n in counts.tolist():
-            if n >= WORDS:
-                out.append(np.unique(wide[lo : lo + n - WORDS + 1]))
+            if n >= width:
+                out.append(np.unique(wide[lo : lo + n - width + 1]))
             elif n:
                 one = np.full(1, n, np.uint64)
                 for x in h[lo : lo + n]:
@@ -139,10 +141,10 @@ def signature(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
 DESCRIBED = "doc_id long, n_shingles long, set_key binary, signature binary"
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     factors = _factors()
     for batch in chain.from_iterable(map(text_slices, batches)):
-        sets = shingles().of(batch.column("text"))
+        sets = shingles().of(batch.column("text"), width)
         keys = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
         signs = [signature(s, factors).astype("<u4").tobytes() if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
@@ -289,10 +291,10 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_candidates, "u long, v long").distinct()
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Replace texts by their sets; rows whose set is not the class's own are left out."""
     for batch in chain.from_iterable(map(text_slices, batches)):
-        sets = shingles().of(batch.column("text"))
+        sets = shingles().of(batch.column("text"), width)
         keys = batch.column("set_key").to_pylist()
         own = [k for k, s in enumerate(sets) if xxhash.xxh3_128_digest(s) == keys[k]]
         node = batch.column("node").take(pa.array(own, pa.int64()))
@@ -325,14 +327,14 @@ def _confirm_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+def _set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, set of the classes in `nodes` (distinct node)."""
     wanted = nodes.select("node").join(classes.select("node", "set_key"), "node")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node")
-    return texts.mapInArrow(_set_rows, "node long, set binary").dropDuplicates(["node"])
+    return texts.mapInArrow(partial(_set_rows, width=width), "node long, set binary").dropDuplicates(["node"])
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = WORDS) -> DataFrame:
     """Links u < v that hold on full sets and connect what all candidates connect."""
     parts = materialise(components(pairs.select("u", "v"), "candidates"), "candidate-parts")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
@@ -348,7 +350,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> Da
     bins = max(1, nodes.count() // NODES_PER_BIN)
     bin_of = lambda part: F.pmod(F.xxhash64("component", part), F.lit(bins)).cast("int")
 
-    sets = materialise(_set_table(docs, classes, nodes), "sets")
+    sets = materialise(_set_table(docs, classes, nodes, width), "sets")
 
     hubs = nodes.where("parts > 1 AND node = hub")
     places = nodes.select("node", bin_of(F.col("part")).alias("bin")).union(
@@ -509,7 +511,7 @@ def _across(rows: DataFrame, values: DataFrame, exact: bool) -> DataFrame:
     return dealt.groupBy("group").applyInPandas(_join_apart(exact), "u long, v long").distinct()
 
 
-def remaining_links(docs: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+def remaining_links(docs: DataFrame, classes: DataFrame, links: DataFrame, width: int = WORDS) -> DataFrame:
     """Confirmed links between components of `links` that share a region."""
     known = materialise(components(links, "confirmed"), "confirmed-components")
     classes = classes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -521,20 +523,21 @@ def remaining_links(docs: DataFrame, classes: DataFrame, links: DataFrame) -> Da
     families = components(alike, "families")
     owned = families.select(F.col("component").alias("owner"), "node").join(classes.select("node", "component"), "node")
     owned = materialise(owned, "family-rows")
-    sets = materialise(_set_table(docs, classes, owned), "family-sets").withColumnRenamed("set", "value")
+    sets = materialise(_set_table(docs, classes, owned, width), "family-sets").withColumnRenamed("set", "value")
     return materialise(_across(owned, sets, True), "remaining-links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document (doc_id, text)."""
+def near_duplicates(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document (doc_id, text), by
+    shingles of `width` words."""
     docs = docs.select("doc_id", "text")
-    described = materialise(docs.mapInArrow(_describe, DESCRIBED), "described")
+    described = materialise(docs.mapInArrow(partial(_describe, width=width), DESCRIBED), "described")
     usable = described.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
     classes = materialise(classes, "classes")
     pairs = materialise(candidate_pairs(classes), "pairs")
-    links = confirmed_links(docs, classes, pairs)
-    links = links.union(remaining_links(docs, classes, links))
+    links = confirmed_links(docs, classes, pairs, width)
+    links = links.union(remaining_links(docs, classes, links, width))
     # A doc_id with several texts is one document: its classes are linked through it.
     repeated = usable.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     homes = usable.select("doc_id", "set_key").join(repeated, "doc_id").join(classes.select("set_key", "node"), "set_key")
