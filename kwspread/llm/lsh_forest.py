@@ -29,7 +29,7 @@
 
 With similarity s a pair shares a prefix in one of the trees with probability
 1 - (1 - s^MIN_DEPTH)^TREES; at 0.8 it is missed with probability 1e-8, and by the bytes
-of step 4 with 3e-9 (fewer than SAME_LEAST of 78 equal). Steps 2 and 3 lose nothing: what
+of step 4 with 5e-9 (fewer than SAME_LEAST of 78 or BITS_LEAST of 64 equal). Steps 2 and 3 lose nothing: what
 they leave apart goes through step 4.
 
 Defined results: a null text and a text without words have the empty set, are linked
@@ -72,6 +72,8 @@ MAX_HELD = 50_000
 MAX_PART = 200
 #: Least equal bytes of the SIGNATURE values; fewer have probability 3e-9 at similarity 0.8.
 SAME_LEAST = 40
+#: Least equal 2-bit values of SKETCH_VALUES in step 4; fewer have probability 2e-9 there.
+BITS_LEAST = 35
 #: Rows and bytes of sets on each side of a block of step 4, and rows of a group of blocks.
 BLOCK_ROWS, BLOCK_BYTES, GROUP_ROWS = 1_000, 16 << 20, 10_000
 NODES_PER_BIN = 400
@@ -400,12 +402,18 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """left x right: at least SAME_LEAST signature values have equal low bytes."""
+    """left x right: at least SAME_LEAST signature values have equal low bytes. Pairs with
+    fewer than BITS_LEAST of SKETCH_VALUES equal 2-bit values are not looked at further."""
     a, b = (np.frombuffer(b"".join(x), "<u4").reshape(-1, SIGNATURE).astype(np.uint8) for x in (left, right))
-    same = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(SIGNATURE):
-        same += a[:, k, None] == b[None, :, k]
-    return same >= SAME_LEAST
+    plane = lambda x, k: np.packbits(x[:, :SKETCH_VALUES] >> k & 1, axis=1).view(np.uint64).ravel()
+    unequal = plane(a, 0)[:, None] ^ plane(b, 0)
+    unequal |= plane(a, 1)[:, None] ^ plane(b, 1)
+    same = np.bitwise_count(unequal) <= SKETCH_VALUES - BITS_LEAST
+    i, j = np.nonzero(same)
+    for lo in range(0, len(i), 50_000):
+        x, y = i[lo : lo + 50_000], j[lo : lo + 50_000]
+        same[x, y] = (a[x] == b[y]).sum(axis=1) >= SAME_LEAST
+    return same
 
 
 def _confirmed(left: list[bytes], right: list[bytes]) -> np.ndarray:
