@@ -5,7 +5,8 @@ check (range of address parts, digit count, Luhn sum). A pattern that swallows t
 entities at once (`+1 (569) 555-6633 4795326016703902`) fails its check and is dropped;
 there the field adds spans. Its regions are the stretches covered by raw matches, its
 positions their atoms (runs of digits, runs of letters, single other characters). A
-segment is one atom outside any entity or up to MAX_ATOMS atoms of one kind; features of
+segment is one atom outside any entity or up to MAX_ATOMS atoms of one kind (a number: as
+many atoms as up to MAX_DIGITS digits and what parts them take); features of
 the whole span (is it valid as that kind, its digits, its edges) score it, and dynamic
 programming over the atoms picks the best boundaries and kinds together. Base spans
 always stay; a decoded span is added if it is valid, has clean edges and overlaps none.
@@ -46,7 +47,11 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 _SOME = re.compile(r"[0-9@]")
 
+#: Atoms of a segment that is not a number of up to MAX_DIGITS digits (those of a card).
 MAX_ATOMS = 12
+MAX_DIGITS = 19
+CARD, PHONE = 2, 3
+NUMBER_PARTS = frozenset(" ().-")
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 20_000
 SAMPLE_REGIONS = 300
@@ -156,6 +161,19 @@ def _segments(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int
             last = text[borders[j] - 1]
             if last.isascii() and (last.isalnum() or last == "-"):
                 found += [(i, j, kind) for kind in range(len(KINDS))]
+        if first != "+" and not "0" <= first <= "9":
+            continue
+        digits = 0  # numbers go on as far as their check allows, whatever parts them
+        for j in range(i + 1, len(borders)):
+            atom = text[borders[j - 1] : borders[j]]
+            if "0" <= atom[0] <= "9":
+                digits += len(atom)
+                if digits > MAX_DIGITS:
+                    break
+                if j - i > MAX_ATOMS:
+                    found += [(i, j, kind) for kind in (CARD, PHONE)]
+            elif atom not in NUMBER_PARTS and not (atom == "+" and j == i + 1):
+                break
     return borders, found
 
 

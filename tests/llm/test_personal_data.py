@@ -79,3 +79,15 @@ def test_digest_of_odd_rows(spark, nasty, empty):
     assert P.personal_data_digest(empty).count() == 0
     kept = P.redact_documents(docs)
     assert kept.schema == docs.schema and kept.count() == docs.count()
+
+
+def test_field_takes_numbers_of_many_parts():
+    weights = P.starting_weights()
+    card = " ".join("4111111111111111")
+    # Before 4795326016703902 the last 67 of the second number would be a valid card's start.
+    for phone, other in (("+1 (212) 555 - 01 23", "4795326016703902"), ("+49 (0) 30 - 123 45 67", "378282246310005")):
+        text = f"le {phone} {other} x"
+        found = [(text[a:b], k) for a, k, b in P.find_spans(text, weights)[1]]
+        assert found == [(phone, 3), (other, 2)]
+    text = f"le +1 (569) 555-6633 {card} x"
+    assert [(text[a:b], k) for a, k, b in P.find_spans(text, weights)[1]] == [("+1 (569) 555-6633", 3), (card, 2)]
