@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kwspread.llm import bpe_automaton, fingerprints, host_rules, lsh_forest, packing, personal_data, quality, substring_dedup, token_files, url_filter
+from kwspread.llm import bpe_automaton, fingerprints, host_rules, lsh_forest, packing, personal_data, quality, secrets_field, substring_dedup, token_files, turn_repair, url_filter
 from kwspread.llm.registry import QUERIES, read, register
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -87,5 +87,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files_digest(docs, public_tokenizers.path(WORD_BPE), end_id=1)
 
 
+@register("op11_turn_repair")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged as stated, its faults and its cheapest repair."""
+    return turn_repair.repair_digest(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@register("op13_secrets_field")
+def op13_secrets_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base spans and those the field adds."""
+    return secrets_field.secrets_digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def llm_queries() -> dict:
     return QUERIES
