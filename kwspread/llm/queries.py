@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kwspread.llm import bpe_automaton, fingerprints, host_rules, lsh_forest, packing, personal_data, quality, secrets_field, substring_dedup, token_files, turn_repair, url_filter
+from kwspread.llm import bpe_automaton, fingerprints, host_rules, lsh_forest, packing, personal_data, prefix_trie, quality, secrets_field, substring_dedup, token_files, turn_repair, url_filter
 from kwspread.llm.registry import QUERIES, read, register
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -93,6 +93,12 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_digest(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+@register("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 @register("op13_secrets_field")
 def op13_secrets_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base spans and those the field adds."""
