@@ -151,7 +151,7 @@ SELECT c.video_id, md5(coalesce(nullif(m.new_title, ''), nullif(c.title, ''), ''
 FROM cand c LEFT JOIN meta m USING (video_id)""")
 def hydrate_coalesce(spark, sf_dir):
     """Non-empty metadata overrides; missing metadata keeps the old values."""
-    h = C.hydrate(V.cand_keyed(spark, sf_dir), page_meta(spark, sf_dir), ["title_md5", "channel_name"])
+    h = C.hydrate(V.cand_keyed(spark, sf_dir, need=["title_md5"]), page_meta(spark, sf_dir), ["title_md5", "channel_name"])
     return h.select("video_id", "title_md5", "channel_name")
 
 

@@ -20,8 +20,8 @@ WINDOW_DAYS = 7
 MCOL = D.meaningful_col(THRESHOLD)
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.obs(spark, sf_dir).where(F.col("keyword").isNotNull())
+def hits(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return V.obs(spark, sf_dir, need=["keyword", *more]).where(F.col("keyword").isNotNull())
 
 
 SQL_HITS = "WITH " + V.sql_obs() + ",\nhits AS (SELECT * FROM obs WHERE keyword IS NOT NULL)"
@@ -93,7 +93,7 @@ SELECT platform, keyword,
 FROM hits GROUP BY platform, keyword""")
 def first_hits(spark, sf_dir):
     """First appearance per platform x keyword (id column = video_id)."""
-    h = hits(spark, sf_dir)
+    h = hits(spark, sf_dir, "text_md5")
     out = D.first_hits(h, text_col="text_md5", tiebreak=("comment_id",))
     return out.withColumnRenamed("first_text", "first_text_md5")
 
@@ -206,4 +206,4 @@ FROM threads
 WHERE """ + Q.sql_first_match("text", V.KW, True) + " IS NOT NULL")
 def comments_canonical_union(spark, sf_dir):
     """Comment dialects (collector P4, thread scan P2) mapped to one canonical schema."""
-    return A.canonical_union(V.obs(spark, sf_dir), V.threads(spark, sf_dir), V.KW)
+    return A.canonical_union(V.obs(spark, sf_dir, need=["keyword_cs", "text_md5"]), V.threads(spark, sf_dir), V.KW)

@@ -163,9 +163,48 @@ LARGE_KW = tuple(a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "aeiounrst
 SELECT doc_id, {Q.sql_first_match('text', LARGE_KW, False)} AS keyword, md5({Q.sql_all_matches('text', LARGE_KW, True)}) AS all_md5
 FROM documents""")
 def match_large_dictionary(spark, sf_dir):
-    """M1-M3 with 390 keywords: the same JVM path as for a few."""
+    """M1-M3 with 390 keywords."""
     return _docs(spark, sf_dir).select(
         "doc_id",
         M.first_match(F.col("text"), LARGE_KW, ci=False).alias("keyword"),
         F.md5(M.all_matches_joined(F.col("text"), LARGE_KW, ci=True)).alias("all_md5"),
     )
+
+
+# Syllables by rule: one, two and three of these (fixed values) give 9,723 keywords of
+# two to six letters, in this order.
+SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st".split()
+
+
+def syllable_keywords() -> list[str]:
+    ones = SYLLABLES
+    twos = [a + b for a in ones for b in ones]
+    return ones + twos + [a + b for a in twos for b in ones]
+
+
+_SYL = "[" + ", ".join(f"'{s}'" for s in SYLLABLES) + "]"
+
+
+@register("match_dictionary_10k", f"""
+WITH s AS (SELECT unnest({_SYL}) AS w, unnest(range({len(SYLLABLES)})) AS o),
+kw AS (SELECT list(w ORDER BY n, k) AS kws FROM (
+  SELECT w, 1 AS n, o AS k FROM s
+  UNION ALL SELECT a.w || b.w, 2, a.o * 100 + b.o FROM s a, s b
+  UNION ALL SELECT a.w || b.w || c.w, 3, a.o * 10000 + b.o * 100 + c.o FROM s a, s b, s c)),
+hit AS (SELECT doc_id, text, list_filter(kws, lambda k: contains(lower(text), k)) AS ci,
+               list_filter(list_reverse(kws), lambda k: contains(text, k)) AS cs
+        FROM documents, kw)
+SELECT doc_id, CASE WHEN text <> '' THEN cs[1] END AS last_keyword,
+       CAST(coalesce(len(ci), 0) AS BIGINT) AS n_keywords, md5(coalesce(array_to_string(ci, ';'), '')) AS all_md5
+FROM hit""")
+def match_dictionary_10k(spark, sf_dir):
+    """M1-M3, M10 with 9,723 keywords of mixed lengths: one pass of the automaton per text
+    and case. `last_keyword` is the first hit of the reversed dictionary, case-sensitive."""
+    kws = syllable_keywords()
+    found = _docs(spark, sf_dir).select(
+        "doc_id",
+        M.first_match(F.col("text"), kws[::-1], ci=False).alias("last_keyword"),
+        M.all_matches_array(F.col("text"), kws, ci=True).alias("found"),
+    )
+    return found.select("doc_id", "last_keyword", F.size("found").cast("long").alias("n_keywords"),
+                        F.md5(F.array_join("found", ";")).alias("all_md5"))

@@ -22,11 +22,11 @@ _KW_VALUES = ", ".join(f"({i}, '{k}')" for i, k in enumerate(V.KW))
 
 
 def found(spark, sf_dir):
-    o = materialize(V.obs(spark, sf_dir).select(  # read three times by newest_n_any
+    o = materialize(V.obs(spark, sf_dir, need=["keyword_cs"]).select(  # read three times by newest_n_any
         F.col("doc_id").alias("video_id"), "comment_id", "date", F.col("keyword_cs").isNotNull().alias("hit")
     ))
     hits = PR.newest_n_any(o, MAX_COMMENTS, "hit")
-    return PR.found_videos(V.cand_keyed(spark, sf_dir), hits, V.KW, hits_col="title_hits")
+    return PR.found_videos(V.cand_keyed(spark, sf_dir, need=["title_hits"]), hits, V.KW, hits_col="title_hits")
 
 
 SQL_BRACKET = "WITH RECURSIVE " + V.sql_obs() + ",\n" + V.SQL_CAND + f""",

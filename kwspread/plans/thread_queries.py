@@ -71,8 +71,8 @@ SELECT o.comment_id, o.keyword_cs AS keyword, o.video_id, md5(c.title) AS video_
 FROM obs o LEFT JOIN cand c USING (video_id) WHERE o.keyword_cs IS NOT NULL""")
 def enrich_comments(spark, sf_dir):
     """Every keyword comment gets its video's title, channel and publish time."""
-    o = V.obs(spark, sf_dir).where(F.col("keyword_cs").isNotNull())
-    v = V.cand_keyed(spark, sf_dir).select("video_id", F.col("title_md5").alias("video_title_md5"), "channel_id",
+    o = V.obs(spark, sf_dir, need=["keyword_cs"]).where(F.col("keyword_cs").isNotNull())
+    v = V.cand_keyed(spark, sf_dir, need=["title_md5"]).select("video_id", F.col("title_md5").alias("video_title_md5"), "channel_id",
                                      F.col("published_at").alias("video_published_at"))
     e = C.enrich(o, v, ["video_title_md5", "channel_id", "video_published_at"])
     return e.select("comment_id", F.col("keyword_cs").alias("keyword"), "video_id", "video_title_md5",
@@ -95,8 +95,8 @@ FROM obs o JOIN found f ON o.doc_id = f.video_id WHERE o.keyword_cs IS NOT NULL"
 def query_vs_keyword(spark, sf_dir):
     """Comments found through query q but matched against all keywords; a
     comment's video is its document here (doc_id = candidate video id)."""
-    o = V.obs(spark, sf_dir).select("comment_id", F.col("doc_id").alias("video_id"), F.col("keyword_cs").alias("keyword"))
-    out = C.search_attribution(V.cand_keyed(spark, sf_dir), o, V.KW, SEARCH_PER_QUERY, hits_col="title_hits")
+    o = V.obs(spark, sf_dir, need=["keyword_cs"]).select("comment_id", F.col("doc_id").alias("video_id"), F.col("keyword_cs").alias("keyword"))
+    out = C.search_attribution(V.cand_keyed(spark, sf_dir, need=["title_hits"]), o, V.KW, SEARCH_PER_QUERY, hits_col="title_hits")
     return out.select("query", "comment_id", "video_id", "keyword")
 
 
@@ -148,7 +148,7 @@ gated AS (SELECT comment_id, video_id, keyword FROM obs
 
 
 def _ci_hits(spark, sf_dir):
-    return V.obs(spark, sf_dir).where(F.col("keyword").isNotNull()).select("comment_id", "video_id", "keyword")
+    return V.obs(spark, sf_dir, need=["keyword"]).where(F.col("keyword").isNotNull()).select("comment_id", "video_id", "keyword")
 
 
 def gated(spark, sf_dir, hits=None):
@@ -240,7 +240,7 @@ def resume_todo_anti(spark, sf_dir):
 
 
 def _obs_cs(spark, sf_dir):
-    return V.obs(spark, sf_dir).select("video_id", "comment_id", F.col("keyword_cs").alias("keyword"), "date")
+    return V.obs(spark, sf_dir, need=["keyword_cs"]).select("video_id", "comment_id", F.col("keyword_cs").alias("keyword"), "date")
 
 
 def _sql_top(where_before: str, where_after: str, n: int) -> str:
@@ -281,7 +281,7 @@ SELECT video_id, min(date) AS first_pos FROM (
 WHERE video_id <> '' GROUP BY video_id ORDER BY first_pos, video_id LIMIT {HEAD_N}""")
 def distinct_ids_head(spark, sf_dir):
     """Ids normalised, blanks dropped, first position kept, first N ids."""
-    o = V.obs(spark, sf_dir)
+    o = V.obs(spark, sf_dir, need=[])
     return C.distinct_ids_head(o, X.video_id_from(F.col("video_id").cast("string")), "date", HEAD_N)
 
 

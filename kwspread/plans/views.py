@@ -41,25 +41,31 @@ def _count(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, name).count()
 
 
-def keyed_documents(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
-    d = text_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
-    # The matchers and the hash run once per document (compute_once), before any
-    # join fan-out; only these narrow columns leave this stage.
-    return compute_once(d, ["doc_id", "lang", "source"], {
-        "text_md5": F.md5("text"),
-        "keyword": M.first_match(F.col("text"), kw, ci=True),
-        "keyword_cs": M.first_match(F.col("text"), kw, ci=False),
-    })
+#: What a query may ask of a document's text; each costs one look at the text.
+TEXT_VALUES = ("keyword", "keyword_cs", "text_md5")
 
 
-def obs(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
-    """comment_id, video_id, date (timestamp_ntz), platform, source, keyword, keyword_cs, text_md5, doc_id"""
+def keyed_documents(spark: SparkSession, sf_dir: str, kw=KW, need=TEXT_VALUES) -> DataFrame:
+    d = text_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
+    values = {
+        "keyword": lambda: M.first_match(F.col("text"), kw, ci=True),
+        "keyword_cs": lambda: M.first_match(F.col("text"), kw, ci=False),
+        "text_md5": lambda: F.md5("text"),
+    }
+    # The values come out of a generator (compute_once), which column pruning can't
+    # enter: only what is asked for is put in. Once per document, before any fan-out.
+    return compute_once(d, ["doc_id", "lang", "source"], {n: values[n]() for n in need})
+
+
+def obs(spark: SparkSession, sf_dir: str, kw=KW, need=TEXT_VALUES) -> DataFrame:
+    """comment_id, video_id, date (timestamp_ntz), platform, source, doc_id and the
+    values of the text that are asked for: keyword, keyword_cs, text_md5"""
     n_docs = _count(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     # Keyed documents are narrow (no text) and computed once per document; at scale
     # this is a sort-merge join on doc_id (AQE splits a hot document), on small
     # inputs the planner broadcasts the smaller side.
-    d = keyed_documents(spark, sf_dir, kw)
+    d = keyed_documents(spark, sf_dir, kw, need)
     j = e.join(d, F.pmod(e.event_id, F.lit(n_docs)) == d.doc_id, "inner")
     return j.select(
         F.col("event_id").alias("comment_id"),
@@ -67,9 +73,7 @@ def obs(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
         F.col("ts").alias("date"),
         F.col("lang").alias("platform"),
         "source",
-        "keyword",
-        "keyword_cs",
-        "text_md5",
+        *need,
         "doc_id",
     )
 
@@ -96,23 +100,24 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cand_keyed(spark: SparkSession, sf_dir: str, kw=KW) -> DataFrame:
+def cand_keyed(spark: SparkSession, sf_dir: str, kw=KW, need=("title_md5", "title_hits")) -> DataFrame:
     """`cand` without its text: title_hits (keywords in the title, dictionary order) and
-    title_md5 are computed on `documents`, so only narrow columns go through the join."""
+    title_md5, as asked for, are computed on `documents`, so only narrow columns go
+    through the join."""
     step = _count(spark, sf_dir, "events") // _count(spark, sf_dir, "documents")
     d = text_table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    d = compute_once(d, ["doc_id", "source"], {
-        "title_md5": F.md5(F.coalesce("text", F.lit(""))),
-        "title_hits": M.all_matches_array(F.col("text"), kw, ci=True),
-    })
+    values = {
+        "title_md5": lambda: F.md5(F.coalesce("text", F.lit(""))),
+        "title_hits": lambda: M.all_matches_array(F.col("text"), kw, ci=True),
+    }
+    d = compute_once(d, ["doc_id", "source"], {n: values[n]() for n in need})
     e = table(spark, sf_dir, "events").select("event_id", "ts")
     j = d.join(e, e.event_id == d.doc_id * F.lit(step), "inner")
     return j.select(
         F.col("doc_id").alias("video_id"),
         channel_id_of(F.col("source")).alias("channel_id"),
         F.col("source").alias("channel_name"),
-        "title_md5",
-        "title_hits",
+        *need,
         F.col("ts").alias("published_at"),
     )
 
