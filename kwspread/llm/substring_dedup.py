@@ -8,15 +8,19 @@ anchor. So:
 
 1. `anchor_rows`: each document gives one narrow row per segment (position, number of
    windows, hashes of anchor and segment), about one per 15 words. No text moves.
-2. Anchors that occur once in the corpus are dropped by a count; of equal segments one is
-   chosen to bring its text, and their number is its weight (pre-aggregation: a passage
-   or document copied by a third of the rows is one row).
-3. Chosen segments are dealt into shards by anchor. A shard builds one compressed
-   FM-index over its segments and streams them through it: backward search gives the
-   matching statistics, and positions whose match of weight two or more spans a whole
-   window are reported as a bit mask per segment. An anchor with more than HOT segments
-   (the edges of a very common passage) is cut into single windows, which are dealt by
-   their own content instead.
+2. Anchors that occur once in the corpus are dropped by a count. Where an anchor occurs
+   with one content only, that content is repeated as a whole: all its windows are
+   reported without a look at any text (the inside of a passage or document copied by a
+   third of the rows). Of the other segments one of each content is chosen to bring its
+   text, and their number is its weight.
+3. Chosen segments are dealt into shards by anchor. A window holds the anchor and SIDE
+   words before it or SIDE words after it, so a segment can only share a window with one
+   that has an equal side. The others are left out (their windows repeat if they weigh two
+   or more). Of the rest a shard builds one compressed FM-index and streams them through
+   it: backward search gives the matching statistics, and positions whose match of weight
+   two or more spans a whole window are reported as a bit mask per segment. An anchor with
+   more than HOT segments (the edges of a very common passage) is cut into single windows,
+   which are dealt by their own content instead.
 4. Masks go back to the segments' documents, and covered words are removed there.
 
 Defined results: a null or empty text has no words; texts shorter than a window are kept
@@ -41,11 +45,14 @@ from pyspark.sql import functions as F
 
 from kwspread.llm.common import Slots, materialise, split_words, text_slices, worker_cache
 from kwspread.llm.fm_index import FMIndex, matching_statistics
+from kwspread.operators.common import bounded_lookup
 
 WINDOW = 35
 GRAM = 6
 #: Windows that can share one anchor.
 SPAN = WINDOW - GRAM + 1
+#: Words beside the anchor that one side at least of a window has.
+SIDE = (WINDOW - GRAM) // 2
 SEGMENTS_PER_SHARD = 12_000
 HOT = 40_000
 MAX_KNOWN = 400_000
@@ -134,34 +141,55 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "at", "anchor", "content"])
 
 
-def keyed_rows(docs: DataFrame) -> DataFrame:
-    """Add `repeat_row`, the doc_id where these are whole and unique, else a hash with the text."""
+def keyed_rows(docs: DataFrame, name: str) -> DataFrame:
+    """Add a row's key: the doc_id where these are whole and unique, else a hash with the text."""
     told = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.max(F.col("doc_id").isNull())).first()
     plain = told[0] is None or (told[0] == 1 and not told[1])
-    return docs.withColumn("repeat_row", F.col("doc_id").cast("long") if plain else F.xxhash64("doc_id", "text"))
+    return docs.withColumn(name, F.col("doc_id").cast("long") if plain else F.xxhash64("doc_id", "text"))
+
+
+def _sides(words: list[bytes], anchor_at: int) -> tuple[int, int]:
+    """Hashes of the words before the anchor and after it, the anchor included; 0 where
+    the text ends before."""
+    left = words[anchor_at - SIDE : anchor_at + GRAM] if anchor_at >= SIDE else None
+    right = words[anchor_at : anchor_at + GRAM + SIDE]
+    return tuple(
+        xxhash.xxh3_64_intdigest(b" ".join(side)) >> 1 if side and len(side) == SIDE + GRAM else 0 for side in (left, right)
+    )
+
+
+def _anchor_place(words: list[bytes], first: int, windows: int, hashes: np.ndarray) -> int:
+    """Where the segment's anchor stands: the last least run of GRAM words of its first window."""
+    grams = np.zeros(SPAN, np.uint64)
+    for k in range(GRAM):
+        grams = _mix(grams * _P + hashes[first + k : first + k + SPAN])
+    return first + SPAN - 1 - int(np.argmin(grams[::-1]))
 
 
 def _segment_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the chosen segments of each document."""
+    """Texts of the chosen segments of each document, and their anchors' sides."""
     for batch in chain.from_iterable(map(text_slices, batches)):
-        out: tuple[list, ...] = ([], [], [], [])
-        for text, chosen in zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist(), strict=True):
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        every, counts = _word_hashes().of(batch.column("text"))
+        ends = np.cumsum(counts)
+        rows = zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True)
+        for text, chosen, begin, end in rows:
             words = text.encode().split()
+            hashes = every[begin:end]
             for s in chosen:
                 first, windows = divmod(s["at"], 64)
-                for column, x in zip(
-                    out,
-                    (s["anchor"], s["content"], s["weight"], b" ".join(words[first : first + windows + WINDOW - 1])),
-                    strict=True,
-                ):
+                sides = _sides(words, _anchor_place(words, first, windows, hashes))
+                own = b" ".join(words[first : first + windows + WINDOW - 1])
+                for column, x in zip(out, (s["anchor"], s["content"], s["weight"], own, *sides), strict=True):
                     column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["anchor", "content", "weight", "words"]
+            [pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["anchor", "content", "weight", "words", "left", "right"]
         )
 
 
 SEGMENTS = "anchor long, content long, weight long, words binary"
+SIDED = SEGMENTS + ", left long, right long"
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +210,8 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """Masks of the windows of a shard's segments that weigh two or more."""
-    rows = rows.sort_values(["anchor", "content"])
+def _search_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Masks of the windows of segments that weigh two or more among these."""
     words, counts = split_words(pa.array(rows["words"].to_list(), pa.binary()).cast(pa.string()))
     numbers = words.indices.to_numpy().astype(np.int64)
     index = FMIndex(numbers, counts, rows["weight"].to_numpy(), len(words.dictionary))
@@ -196,12 +223,25 @@ def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"anchor": rows["anchor"], "content": rows["content"], "mask": mask})[mask > 0]
 
 
+def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["anchor", "content"], ignore_index=True)
+    if "left" not in rows:
+        return _search_rows(rows)
+    shared = np.zeros(len(rows), bool)
+    for side in ("left", "right"):
+        shared |= (rows[side] != 0) & rows.duplicated(["anchor", side], keep=False)
+    alone = rows[~shared & (rows["weight"] > 1)]
+    windows = alone["words"].map(lambda w: w.count(b" ") + 2 - WINDOW).astype("int64")
+    whole = pd.DataFrame({"anchor": alone["anchor"], "content": alone["content"], "mask": np.left_shift(1, windows) - 1})
+    return pd.concat([whole.astype("int64"), _search_rows(rows[shared])]) if shared.any() else whole.astype("int64")
+
+
 MASKS = "anchor long, content long, mask long"
 
 
 def _search(found: DataFrame, shards: int) -> DataFrame:
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    dealt = found.select("anchor", "content", "weight", "words", shard)
+    dealt = found.select("*", shard)
     return dealt.groupBy("shard").applyInPandas(_search_shard, MASKS)
 
 
@@ -210,15 +250,20 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
     windows; `docs` needs repeat_row and text."""
     texts = docs.select(F.col("repeat_row").alias("row"), "text")
     every = materialise(texts.mapInArrow(_anchor_rows, ANCHORS), "anchors")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several"))
+    # Written first, so both sides of the join are plain shuffles that can be split where
+    # an anchor is hot.
+    again = materialise(again.where("n > 1").select("anchor", "several"), "anchor-counts")
     some = materialise(every.join(again, "anchor"), "repeated-anchors")
+    alike = some.where("NOT several").select("row", "at", F.expr("shiftleft(1L, cast(at % 64 as int)) - 1").alias("mask"))
+    some = some.where("several").drop("several")
     mark = F.xxhash64("row", "at")
     chosen = some.groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(mark).alias("mark"))
     chosen = some.withColumn("mark", mark).join(chosen, ["anchor", "content", "mark"])
     # Equal rows repeat their segments; one text of each is enough.
     chosen = chosen.dropDuplicates(["anchor", "content"])
     lists = chosen.groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "content", "weight")).alias("chosen"))
-    found = texts.join(lists, "row").mapInArrow(_segment_texts, SEGMENTS).dropDuplicates(["anchor", "content"])
+    found = texts.join(lists, "row").mapInArrow(_segment_texts, SIDED).dropDuplicates(["anchor", "content"])
     found = materialise(found, "segments")
     sizes = found.groupBy("anchor").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n"), F.max("n")).first()
@@ -226,17 +271,18 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
     if (total[1] or 0) <= HOT:
         masks = _search(found, shards)
     else:
-        hot = sizes.where(F.col("n") > HOT).select("anchor")  # at most rows / HOT of them
-        masks = _search(found.join(F.broadcast(hot), "anchor", "left_anti"), shards)
+        hot = bounded_lookup(sizes.where(F.col("n") > HOT).select("anchor"))
+        masks = _search(found.join(hot, "anchor", "left_anti"), shards)
         names = SEGMENTS + ", of_anchor long, of_content long, bit long"
-        single = materialise(found.join(F.broadcast(hot), "anchor").mapInArrow(_single_windows, names), "windows")
+        single = found.drop("left", "right").join(hot, "anchor").mapInArrow(_single_windows, names)
+        single = materialise(single, "windows")
         merged = single.groupBy("anchor", "content").agg(F.sum("weight").alias("weight"), F.min("words").alias("words"))
         hits = _search(materialise(merged, "window-classes"), shards).select("anchor", "content")
         bits = single.join(hits, ["anchor", "content"]).select("of_anchor", "of_content", "bit")
         own = F.sum(F.expr("shiftleft(1L, cast(bit as int))"))
         masks = masks.union(bits.groupBy("of_anchor", "of_content").agg(own))
     masks = materialise(masks, "masks")
-    hit = some.join(masks, ["anchor", "content"]).select("row", "at", "mask").distinct()
+    hit = some.join(masks, ["anchor", "content"]).select("row", "at", "mask").union(alike).distinct()
     return hit.groupBy(F.col("row").alias("repeat_row")).agg(F.collect_list(F.struct("at", "mask")).alias("repeat_hits"))
 
 
@@ -251,20 +297,32 @@ def covered_words(n: int, hits: list[dict] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    keyed = keyed_rows(docs)
-    return keyed.join(repeated_segments(keyed), "repeat_row", "left").drop("repeat_row")
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't use."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _judged(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with the repeated windows of each, and the name of that column."""
+    key, hits = _free(docs, "repeat_row"), _free(docs, "repeat_hits")
+    keyed = keyed_rows(docs, key)
+    found = repeated_segments(keyed.select(F.col(key).alias("repeat_row"), "text"))
+    found = found.withColumnsRenamed({"repeat_row": key, "repeat_hits": hits})
+    return keyed.join(found, key, "left").select(*docs.columns, hits), hits
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The same rows; texts with repeated windows become their other words, joined by one
     space. Columns other than text are kept."""
     columns = docs.columns
+    judged, name = _judged(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(map(text_slices, batches)):
             texts = []
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("repeat_hits").to_pylist(), strict=True):
+            for text, hits in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
                 if hits:
                     words = text.encode().split()
                     gone = covered_words(len(words), hits)
@@ -273,8 +331,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
-    judged = _judged(docs)
-    return judged.select(*columns, "repeat_hits").mapInArrow(run, docs.schema)
+    return judged.mapInArrow(run, docs.schema)
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -300,4 +357,4 @@ def substring_digest(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return _judged(docs.select("doc_id", "text")).select("doc_id", "text", "repeat_hits").mapInArrow(run, DIGEST)
+    return _judged(docs.select("doc_id", "text"))[0].mapInArrow(run, DIGEST)

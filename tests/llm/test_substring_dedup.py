@@ -84,3 +84,27 @@ def test_matching_statistics_equal_counts():
                     n += 1
                 want.append(n)
             assert matching_statistics(index, asked, np.array([30]), least).tolist() == want
+
+
+def test_windows_with_unlike_sides(spark):
+    """Windows shared at text ends and with unlike neighbours, among many chance anchors."""
+    rng = random.Random(12)
+    few = lambda n: " ".join(rng.choice(["a", "b", "c"]) for _ in range(n))
+    texts = [few(rng.randrange(0, 90)) for _ in range(60)]
+    for n in (34, 35, 36, 49, 64):
+        shared = few(n)
+        texts += [shared, shared + " x " + few(30), few(30) + " y " + shared, few(3) + " z " + shared + " q " + few(20)]
+    rows = list(enumerate(texts))
+    docs = documents(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    assert sorted((tuple(r) for r in S.substring_digest(docs).collect()), key=str) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{k}" for k in range(50))
+    docs = documents(spark, [(1, long, "en", "a", 1), (2, "x " + long, "en", "a", 1), (3, "z", "en", "a", 1)])
+    docs = docs.withColumn("repeat_row", F.lit("own")).withColumn("repeat_hits", F.col("doc_id") * 2).withColumn("anchor", F.lit(None).cast("int"))
+    kept = S.remove_repeats(docs)
+    assert kept.schema == docs.schema
+    assert sorted((r.text, r.repeat_row, r.repeat_hits) for r in kept.collect()) == [("", "own", 2), ("x", "own", 4), ("z", "own", 6)]
