@@ -107,8 +107,9 @@ def _tag_structs(keywords: Sequence[str], periods: Sequence[tuple[str, str]],
         order = (F.array_position(F.lit(kws), k).cast("int") - 1) * len(periods) + p["at"]
         return F.struct(order.alias("ord"), X.provenance_tag_keyword(k, p["s"], p["e"]).alias("tag"))
 
-    # `held` is bound once per row, then combined with each hit.
-    both = F.transform(F.array(held), lambda ps: F.flatten(F.transform(hits, lambda k: F.transform(ps, lambda p: tag(k, p)))))
+    # Periods and hits are bound once per row, then combined.
+    bound_once = F.array(F.struct(held.alias("ps"), hits.alias("ks")))
+    both = F.transform(bound_once, lambda b: F.flatten(F.transform(b["ks"], lambda k: F.transform(b["ps"], lambda p: tag(k, p)))))
     return F.get(both, F.lit(0))
 
 

@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from kwspread.functions import match as M
 from kwspread.functions import text as X
 from kwspread.operators.common import bounded_lookup, top_n_per_group, with_nonnull
+from kwspread.sources.landed_scan import STATUS_DONE
 
-# Fixed values of the reference: transcript language preference, status values of
-# the progress log, and the default caps.
+# Fixed values of the reference: transcript language preference and the default caps.
 DEFAULT_LANGS = ("ko", "en")
-STATUS_DONE, STATUS_HTTP_ERROR, STATUS_ERROR = "done", "http_error", "error"
 MATCHES_PER_VIDEO = {"channel": 500, "search": 300}
 PAGES_PER_VIDEO = {"channel": 20, "bisect": 15}
 COMMENTS_PER_PAGE = 100
@@ -158,27 +157,21 @@ def resume_todo(videos: DataFrame, progress: DataFrame, key: str = "video_id") -
     return videos.join(done, key, "left_anti")
 
 
-def scan_stats(rows: DataFrame, keywords: Sequence[str], ci: bool = True) -> DataFrame:
-    """Per video threads scanned, parents with replies, new matches (top + reply)."""
-    hit = M.first_match(F.col("text"), keywords, ci=ci).isNotNull()
-    return rows.groupBy("video_id").agg(
-        F.count_if(F.col("comment_level") == "top").cast("long").alias("scanned_threads"),
-        F.count_distinct(F.when(F.col("comment_level") == "reply", F.col("parent_id"))).cast("long").alias("reply_parents"),
-        F.count_if(hit).cast("long").alias("new_matches"),
-    )
-
-
-def progress_log(videos: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row per scanned video. A video with no listable threads is logged as
-    http_error (comments disabled), the others as done."""
-    j = videos.select("video_id").join(stats, "video_id", "left")
-    return j.select(
-        "video_id",
-        F.when(F.col("scanned_threads").isNull(), F.lit(STATUS_HTTP_ERROR)).otherwise(F.lit(STATUS_DONE)).alias("status"),
-        F.coalesce("scanned_threads", F.lit(0)).cast("long").alias("scanned_threads"),
-        F.coalesce("reply_parents", F.lit(0)).cast("long").alias("reply_parents"),
-        F.coalesce("new_matches", F.lit(0)).cast("long").alias("new_matches"),
+def scan_stats(rows: DataFrame, keywords: Sequence[str], ci: bool = True, stored: DataFrame | None = None) -> DataFrame:
+    """Per video threads scanned, threads with a reply count and an id, new matches
+    (top + reply): distinct ids with a hit that are not among the stored ones."""
+    top = F.col("comment_level") == "top"
+    seen = rows.groupBy("video_id").agg(
+        F.count_if(top).cast("long").alias("scanned_threads"),
+        F.count_if(top & (F.col("total_reply_count") > 0) & (F.col("comment_id") != "")).cast("long").alias("reply_parents"),
     )
+    hits = rows.where(M.any_match(F.col("text"), keywords, ci=ci) & (F.col("comment_id") != ""))
+    hits = hits.select("video_id", "comment_id").distinct()
+    if stored is not None:
+        hits = hits.join(stored.select("comment_id"), "comment_id", "left_anti")
+    fresh = hits.groupBy("video_id").agg(F.count("*").alias("n"))
+    return seen.join(fresh, "video_id", "left").select(
+        "video_id", "scanned_threads", "reply_parents", F.coalesce("n", F.lit(0)).cast("long").alias("new_matches"))
 
 
 def _newest_first(ts_col: str, id_col: str) -> list[Column]:

@@ -3,6 +3,8 @@ W6-W9, D5, D6, A10-A12, A15, I2)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from kwspread.operators.common import materialize
 from kwspread.plans import sql_match as Q
 from kwspread.plans import views as V
 from kwspread.plans.registry import register
+from kwspread.session import ensure_checkpoint_dir
 from kwspread.sources import landed_json as J
+from kwspread.sources import landed_scan as S
 
 # Parameters of the registered queries.
 CAP_N = 20            # matched / scanned comments per video
@@ -198,41 +202,117 @@ def new_comments_anti(spark, sf_dir):
     return C.new_only(hits, gated(spark, sf_dir, hits))
 
 
-SQL_STATS = SQL_FLAT + f""",
-stats AS (SELECT video_id,
-                 CAST(count(*) FILTER (WHERE comment_level = 'top') AS BIGINT) AS scanned_threads,
-                 CAST(count(DISTINCT CASE WHEN comment_level = 'reply' THEN parent_id END) AS BIGINT) AS reply_parents,
-                 CAST(count(*) FILTER (WHERE {_CI} IS NOT NULL) AS BIGINT) AS new_matches
-          FROM flat GROUP BY video_id),
-""" + V.SQL_CAND + """,
-progress AS (
-  SELECT c.video_id, CASE WHEN s.video_id IS NULL THEN 'http_error' ELSE 'done' END AS status,
-         coalesce(s.scanned_threads, 0) AS scanned_threads, coalesce(s.reply_parents, 0) AS reply_parents,
-         coalesce(s.new_matches, 0) AS new_matches
-  FROM cand c LEFT JOIN stats s USING (video_id))"""
+def stored_comments(spark, sf_dir):
+    """Ids an earlier, transcript-gated run stored."""
+    found = flat_rows(spark, sf_dir).where(M.any_match(F.col("text"), V.KW) & (F.col("comment_id") != ""))
+    return C.gate_semi(found.select("video_id", "comment_id"), transcript_matches(spark, sf_dir)).select("comment_id")
 
 
-def stats(spark, sf_dir):
-    return C.scan_stats(flat_rows(spark, sf_dir), V.KW)
+SQL_SCAN = SQL_MATCHED + """,
+flat AS (
+  SELECT t.* FROM threads t
+  WHERE t.turn = 0 OR EXISTS (SELECT 1 FROM threads p WHERE p.video_id = t.video_id AND p.turn = 0)),
+has_reply AS (SELECT DISTINCT video_id FROM threads WHERE turn > 0)"""
 
 
-def progress(spark, sf_dir):
-    return C.progress_log(V.cand(spark, sf_dir), stats(spark, sf_dir))
+@register("scan_stats", SQL_SCAN + f"""
+SELECT f.video_id,
+       CAST(count(*) FILTER (WHERE turn = 0) AS BIGINT) AS scanned_threads,
+       CAST(count(*) FILTER (WHERE turn = 0 AND f.video_id IN (SELECT video_id FROM has_reply)) AS BIGINT) AS reply_parents,
+       CAST(count(DISTINCT comment_id) FILTER (WHERE {_CI} IS NOT NULL
+            AND f.video_id NOT IN (SELECT video_id FROM mv)) AS BIGINT) AS new_matches
+FROM flat f GROUP BY f.video_id""")
+def scan_stats(spark, sf_dir):
+    """Per video threads scanned, threads with replies, matches not stored before."""
+    return C.scan_stats(flat_rows(spark, sf_dir), V.KW, stored=stored_comments(spark, sf_dir))
+
+
+# A landed scan with failures, by rule (video_id): no answer but 403, thread pages cut in
+# the middle, reply pages cut in the middle. A page lands 0.75 s after the one before.
+HTTP_403, CUT_THREADS, CUT_REPLIES = (11, 4), (7, 3), (13, 5)
+
+
+def landed_scan(spark, sf_dir):
+    threads, replies = J.land_thread_pages(V.threads(spark, sf_dir))
+    pages = threads.select("video_id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("page_no"), "page").unionByName(
+        replies.select(F.split("parent_id", ":")[0].cast("long").alias("video_id"), "parent_id", F.col("page_no").cast("int").alias("page_no"), "page"))
+    rule = lambda r: F.col("video_id") % r[0] == r[1]
+    cut = F.when(F.col("parent_id").isNull(), rule(CUT_THREADS)).otherwise(rule(CUT_REPLIES))
+    millis = F.col("video_id") * 1000 + F.when(F.col("parent_id").isNull(), 0).otherwise((F.col("page_no") + 1) * 750)
+    return pages.select(
+        "video_id", "parent_id", "page_no",
+        F.when(rule(HTTP_403), 403).otherwise(200).alias("http_status"),
+        F.when(rule(HTTP_403), F.lit(None).cast("string")).when(cut, F.expr("left(page, length(page) div 2)")).otherwise(F.col("page")).alias("body"),
+        (F.expr("TIMESTAMP_NTZ '2024-05-01 00:00:00'") + F.make_dt_interval(secs=millis / 1000)).alias("fetched_at"),
+    )
+
+
+def split_scan(spark, sf_dir):
+    """The landed scan parsed once; its three parts are folders of one table."""
+    parts = S.write_split(landed_scan(spark, sf_dir), f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}")
+    return parts["row"].unionByName(parts["empty"]).unionByName(parts["rejected"])
+
+
+SQL_LANDED = SQL_SCAN + """,
+pages AS (
+  SELECT DISTINCT video_id, turn > 0 AS reply, CASE WHEN turn > 0 THEN (turn - 1) // 100 ELSE 0 END AS page_no,
+         CASE WHEN video_id % 11 = 4 THEN 'http_error'
+              WHEN (turn = 0 AND video_id % 7 = 3) OR (turn > 0 AND video_id % 13 = 5) THEN 'malformed' END AS reason
+  FROM threads),
+landed AS (
+  SELECT t.*, p.reason, p.page_no FROM threads t
+  JOIN pages p ON p.video_id = t.video_id AND p.reply = (t.turn > 0)
+   AND p.page_no = CASE WHEN t.turn > 0 THEN (t.turn - 1) // 100 ELSE 0 END)"""
+
+
+@register("quarantine_pages", SQL_LANDED + """
+SELECT 'row' AS outcome, CAST(NULL AS VARCHAR) AS reason, video_id, nullif(parent_id, '') AS parent_id,
+       CAST(page_no AS INTEGER) AS page_no, comment_id, md5(coalesce(text, '')) AS text_md5,
+       CAST(coalesce(length(text), 0) AS BIGINT) AS like_count
+FROM landed WHERE reason IS NULL
+UNION ALL
+SELECT 'rejected', reason, video_id, CASE WHEN reply THEN video_id || ':0' END, CAST(page_no AS INTEGER), NULL, NULL, NULL
+FROM pages WHERE reason IS NOT NULL""")
+def quarantine_pages(spark, sf_dir):
+    """A scan with cut and failed pages, parsed once into rows and rejected
+    pages; what was gathered beside a failed page stays."""
+    return split_scan(spark, sf_dir).select("outcome", "reason", "video_id", "parent_id", "page_no", "comment_id",
+                                            F.md5("text").alias("text_md5"), "like_count")
+
+
+SQL_PROGRESS = SQL_LANDED + f""",
+told AS (
+  SELECT video_id,
+         CASE WHEN bool_or(reason = 'http_error') THEN 'http_error' WHEN bool_or(reason IS NOT NULL) THEN 'error' ELSE 'done' END AS status,
+         video_id + coalesce(min(CASE WHEN reply THEN (page_no + 1) * 0.75 ELSE 0 END), 0) AS begun,
+         video_id + max(CASE WHEN reply THEN (page_no + 1) * 0.75 ELSE 0 END) AS ended
+  FROM pages GROUP BY video_id),
+counts AS (
+  SELECT video_id, count(*) FILTER (WHERE turn = 0) AS threads,
+         count(*) FILTER (WHERE turn = 0 AND video_id IN (SELECT video_id FROM has_reply)) AS parents,
+         count(DISTINCT comment_id) FILTER (WHERE {_CI} IS NOT NULL AND video_id NOT IN (SELECT video_id FROM mv)) AS fresh
+  FROM flat GROUP BY video_id),
+progress AS (
+  SELECT t.video_id, status,
+         CAST(CASE WHEN status = 'done' THEN coalesce(threads, 0) ELSE 0 END AS BIGINT) AS scanned_threads,
+         CAST(CASE WHEN status = 'done' THEN coalesce(parents, 0) ELSE 0 END AS BIGINT) AS reply_parents,
+         CAST(CASE WHEN status = 'done' THEN coalesce(fresh, 0) ELSE 0 END AS BIGINT) AS new_matches,
+         round(CAST(ended - begun AS DOUBLE), 2) AS elapsed_sec,
+         strftime(TIMESTAMP '2024-05-01 00:00:00' + to_milliseconds(CAST(ended * 1000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS ts
+  FROM told t LEFT JOIN counts USING (video_id))"""
 
 
-@register("scan_stats", SQL_STATS + "\nSELECT * FROM stats")
-def scan_stats(spark, sf_dir):
-    """Per video threads scanned, parents with replies, new matches."""
-    return stats(spark, sf_dir)
+def progress(spark, sf_dir):
+    return S.progress_rows(split_scan(spark, sf_dir), V.KW, stored=stored_comments(spark, sf_dir))
 
 
-@register("progress_log", SQL_STATS + "\nSELECT * FROM progress")
+@register("progress_log", SQL_PROGRESS + "\nSELECT * FROM progress")
 def progress_log_q(spark, sf_dir):
-    """Per candidate video status (done / http_error) with scan counts."""
+    """Per scanned video status (done / http_error / error), counts, elapsed and time."""
     return progress(spark, sf_dir)
 
 
-@register("resume_todo_anti", SQL_STATS + """
+@register("resume_todo_anti", SQL_PROGRESS + ",\n" + V.SQL_CAND + """
 SELECT video_id FROM cand WHERE video_id NOT IN (SELECT video_id FROM progress WHERE status = 'done')""")
 def resume_todo_anti(spark, sf_dir):
     """A resumed run skips only videos logged 'done'; errors are retried."""
@@ -285,7 +365,7 @@ def distinct_ids_head(spark, sf_dir):
     return C.distinct_ids_head(o, X.video_id_from(F.col("video_id").cast("string")), "date", HEAD_N)
 
 
-@register("run_totals", SQL_STATS + """
+@register("run_totals", SQL_PROGRESS + """
 SELECT CAST(count(*) AS BIGINT) AS videos,
        CAST(count(*) FILTER (WHERE status = 'done') AS BIGINT) AS videos_done,
        CAST(count(*) FILTER (WHERE status <> 'done') AS BIGINT) AS videos_failed,

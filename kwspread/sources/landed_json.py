@@ -50,7 +50,7 @@ def malformed_pages(pages: DataFrame, json_col: str = "page") -> DataFrame:
 
 
 def flatten_thread_pages(pages: DataFrame, json_col: str = "page", video_col: str = "video_id") -> DataFrame:
-    """Top-level comments. id cast to string, missing text -> '', reply count null -> 0."""
+    """Top-level comments. id cast to string, missing text -> '', missing counts -> 0."""
     it = _items(pages, json_col, THREADS_PAGE, [video_col])
     top = F.col("it.snippet.topLevelComment")
     return it.select(
@@ -59,7 +59,7 @@ def flatten_thread_pages(pages: DataFrame, json_col: str = "page", video_col: st
         F.coalesce(top["snippet"]["textDisplay"], F.lit("")).alias("text"),
         F.coalesce(top["snippet"]["publishedAt"], F.lit("")).alias("published_at"),
         F.coalesce(top["snippet"]["authorDisplayName"], F.lit("")).alias("author_name"),
-        top["snippet"]["likeCount"].alias("like_count"),
+        F.coalesce(top["snippet"]["likeCount"], F.lit(0)).alias("like_count"),
         F.coalesce(F.col("it.snippet.totalReplyCount"), F.lit(0)).cast("long").alias("total_reply_count"),
     )
 
@@ -73,7 +73,7 @@ def flatten_reply_pages(pages: DataFrame, json_col: str = "page", parent_col: st
         F.coalesce(F.col("it.snippet.textDisplay"), F.lit("")).alias("text"),
         F.coalesce(F.col("it.snippet.publishedAt"), F.lit("")).alias("published_at"),
         F.coalesce(F.col("it.snippet.authorDisplayName"), F.lit("")).alias("author_name"),
-        F.col("it.snippet.likeCount").alias("like_count"),
+        F.coalesce(F.col("it.snippet.likeCount"), F.lit(0)).alias("like_count"),
     )
 
 
@@ -85,9 +85,10 @@ def comment_rows(top: DataFrame, replies: DataFrame) -> DataFrame:
         F.col("comment_id").alias("parent_id"), "video_id"
     )
     rep = replies.join(gate, "parent_id", "inner")
-    cols = ["video_id", "comment_id", "parent_id", "comment_level", "text", "published_at", "author_name", "like_count"]
+    cols = ["video_id", "comment_id", "parent_id", "comment_level", "text", "published_at", "author_name", "like_count",
+            "total_reply_count"]
     t = top.withColumn("parent_id", F.lit("")).withColumn("comment_level", F.lit("top"))
-    r = rep.withColumn("comment_level", F.lit("reply"))
+    r = rep.withColumn("comment_level", F.lit("reply")).withColumn("total_reply_count", F.lit(None).cast("long"))
     return t.select(*cols).unionByName(r.select(*cols))
 
 
@@ -157,6 +158,6 @@ def land_thread_pages(threads: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(F.col("turn").alias("k"), F.struct(F.col("comment_id").alias("id"), snip().alias("snippet")).alias("v")))).alias("its")
     )
     reply_pages = rep_items.select(
-        "parent_id", F.to_json(F.struct(F.transform("its", lambda x: x["v"]).alias("items"))).alias("page")
+        "parent_id", "page_no", F.to_json(F.struct(F.transform("its", lambda x: x["v"]).alias("items"))).alias("page")
     )
     return thread_pages, reply_pages
