@@ -1,96 +1,250 @@
 """Incremental ingestion with Structured Streaming.
 
 The reference appends matched comments to a CSV, remembers stored comment ids and
-finished videos, and flushes every 300 rows. Here the same contract is a streaming
-query over a landing folder:
+finished videos, and flushes every 300 rows. Here the same contract is two streaming
+queries over folders:
 
-  landing files -> flatten -> match -> drop ids already seen -> append Parquet
+  landing files -> flatten -> match -> drop ids already seen -> comments table
+  comments table -> weekly counts with a watermark (append) -> counts table
 
-Exactly-once comes from the checkpoint (offsets + state) plus an idempotent sink:
-`foreachBatch` anti-joins each micro-batch against the stored table, so a batch that
-is replayed after a failure cannot write an id twice, and the "seen ids" horizon is
-unlimited. No operator here drops late rows.
+`start_comment_ingest` keeps these folders, all named after the comments table:
+
+  <out>            new matched comments, a folder per (run, epoch, late)
+  <out>_rejected   landed lines that are no JSON record (run, epoch)
+  <out>_progress   one row per micro-batch: counts, elapsed, time
+  <out>_ids        the ids stored so far, by bucket of the id; see `SeenIds`
+  <out>_state      one small file, replaced in one step at the end of a micro-batch
+
+A micro-batch that is replayed after a failure finds the state of the one before, makes
+the same decisions and writes to the same folders, so no id is stored twice and none is
+lost, whatever the step that failed.
+
+A row is late when its week has ended by the watermark (the newest event time stored by
+earlier micro-batches, less the delay). Late rows are stored in folders of their own
+(late=true) and counted apart; the weekly counts never see them. The counting query reads
+what this one has stored, so its own watermark is never ahead and it drops nothing.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kwspread.functions import match as M
+from kwspread.functions import text as X
 from kwspread.functions import timefmt as T
 from kwspread.operators.common import keep_first
+from kwspread.sources import folders
 
-# Landed flat comment rows (one JSON object per line).
+BAD_LINE = "bad_line"
+# Landed flat comment rows (one JSON object per line); a line that is none fills bad_line.
 FLAT_COMMENT_SCHEMA = (
     "comment_id string, parent_id string, comment_level string, video_id string, "
-    "published_at string, text string"
+    f"published_at string, text string, {BAD_LINE} string"
 )
+STORED_SCHEMA = (
+    "comment_id string, parent_id string, comment_level string, video_id string, published_at timestamp_ntz, "
+    "text string, event_time timestamp, matched_keyword string"
+)
+DELAY_DAYS = 14
+BUCKETS = 256
+#: Micro-batches after which the ids are merged into one segment.
+MERGE_EVERY = 50
+
+_DAY = 86_400_000_000
+_MONDAY = 4 * _DAY  # the first Monday after the epoch
 
 
-def read_landing(spark: SparkSession, landing_dir: str, schema: str = FLAT_COMMENT_SCHEMA,
-                 max_files_per_trigger: int | None = None, fmt: str = "json") -> DataFrame:
+def parse_lines(lines: DataFrame, schema: str = FLAT_COMMENT_SCHEMA) -> DataFrame:
+    """Lines (column value) -> records, one row a line; a line that is no JSON object gives
+    a row with bad_line only. Blank lines are skipped."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
+    p = lines.where(F.trim("value") != "").select("value", F.from_json("value", schema, options).alias("p"))
+    fields = [c for c in p.select("p.*").columns if c != BAD_LINE]
+    bad = F.col("p").isNull() | F.col(f"p.{BAD_LINE}").isNotNull()
+    return p.select(*[F.when(~bad, F.col(f"p.{c}")).alias(c) for c in fields], F.when(bad, F.col("value")).alias(BAD_LINE))
+
+
+def read_landing(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """File source over the landing folder (I3: bounded micro-batches)."""
-    r = spark.readStream.schema(schema).format(fmt)
+    r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(landing_dir)
+    return parse_lines(r.load(landing_dir))
 
 
-def match_stream(rows: DataFrame, keywords: Sequence[str], ci: bool = True) -> DataFrame:
-    """Parse time, match (M1), keep hits (M4); text normalised as in the scan."""
-    from kwspread.functions import text as X
-
+def matched_rows(rows: DataFrame, keywords: Sequence[str], ci: bool = True) -> DataFrame:
+    """Parse time, match (M1), text normalised as in the scan; rows without a hit stay."""
     out = rows.withColumn("published_at", T.lenient_ts(F.col("published_at")))
     # Watermarks need an instant; built from epoch microseconds so it is zone-free.
     out = out.withColumn("event_time", T.instant_of(F.col("published_at")))
     out = out.withColumn("matched_keyword", M.first_match(F.col("text"), keywords, ci=ci))
-    out = out.where(F.col("matched_keyword").isNotNull() & (F.coalesce(F.col("comment_id"), F.lit("")) != ""))
     return out.withColumn("text", X.newline_to_space(F.col("text")))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
+def _is_hit() -> Column:
+    return F.col("matched_keyword").isNotNull() & (F.coalesce(F.col("comment_id"), F.lit("")) != "")
 
-def append_new_only(out_dir: str):
-    """foreachBatch sink: append only ids not already stored (I1/I4, idempotent). Of rows
-    with one id in a batch the first by (published_at, text) stays. The planner chooses
-    the join: either side is broadcast only if its size allows."""
 
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in ("comment_id", "published_at", "text")]
-        fresh = keep_first(batch, ["comment_id"], ["published_at", "text", *rest])
-        if _exists(spark, out_dir):
-            stored = spark.read.schema("comment_id string").parquet(out_dir)
-            fresh = fresh.join(stored, "comment_id", "left_anti")
-        fresh.write.mode("append").parquet(out_dir)
+def match_stream(rows: DataFrame, keywords: Sequence[str], ci: bool = True) -> DataFrame:
+    """`matched_rows` with a hit and an id (M4)."""
+    out = matched_rows(rows, keywords, ci).where(_is_hit())
+    return out.drop(BAD_LINE) if BAD_LINE in out.columns else out
+
+
+class SeenIds:
+    """The ids stored so far, by bucket of the id's hash.
+
+    Every micro-batch adds a segment; after `merge_every` of them all are merged into one.
+    A micro-batch looks only into the buckets of its own ids, so it reads at most
+    (merge_every + 1) files for each, however many ids the years have brought."""
+
+    def __init__(self, spark: SparkSession, path: str, segments: list[str], buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.segments, self.buckets = spark, path, segments, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("comment_id"), F.lit(self.buckets)).cast("int")
+
+    def of(self, batch: DataFrame) -> DataFrame | None:
+        """The stored ids in the buckets that the batch's ids fall into."""
+        if not self.segments:
+            return None
+        own = [r[0] for r in batch.select(self.bucket()).distinct().collect()]  # at most `buckets` numbers
+        paths = [f"{self.path}/segment={s}" for s in self.segments]
+        stored = self.spark.read.schema("comment_id string, segment string, bucket int").option("basePath", self.path).parquet(*paths)
+        return stored.where(F.col("bucket").isin(own)).select("comment_id")
+
+    def add(self, ids: DataFrame, name: str) -> None:
+        rows = ids.select("comment_id", self.bucket().alias("bucket")).repartition("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segment={name}")
+
+    def merged(self, name: str) -> None:
+        paths = [f"{self.path}/segment={s}" for s in self.segments]
+        every = self.spark.read.schema("comment_id string, segment string, bucket int").option("basePath", self.path).parquet(*paths)
+        self.add(every.select("comment_id").distinct(), name)
+
+
+def _week_end(event_time: Column) -> Column:
+    """Microseconds at which the Monday week of an instant ends."""
+    return (F.floor((F.unix_micros(event_time) - _MONDAY) / (7 * _DAY)) + 1) * (7 * _DAY) + _MONDAY
+
+
+def _run_id(spark: SparkSession, checkpoint_dir: str) -> str:
+    """The streaming query's id, which lives as long as its checkpoint."""
+    return folders.read_json(spark, f"{checkpoint_dir}/metadata")["id"].split("-")[0]
+
+
+def store_new(out_dir: str, checkpoint_dir: str, keywords: Sequence[str], ci: bool = True, delay_days: int = DELAY_DAYS,
+              buckets: int = BUCKETS, merge_every: int = MERGE_EVERY):
+    """foreachBatch sink of `start_comment_ingest` (I1, I4). Of rows with one id in a batch
+    the first by (published_at, text) stays."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark, begun = batch.sparkSession, time.perf_counter()
+        run_id = _run_id(spark, checkpoint_dir)
+        state_file = f"{out_dir}_state/current.json"
+        state = folders.read_json(spark, state_file) or {"number": 0, "segments": [], "newest": None}
+        if state.get("run") == run_id and state.get("epoch") == epoch:
+            return  # all of it is done
+        here = f"run={run_id}/epoch={epoch}"
+        number = state["number"] + 1
+        watermark = None if state["newest"] is None else state["newest"] - delay_days * _DAY
+        late = F.lit(False) if watermark is None else F.coalesce(_week_end(F.col("event_time")) <= watermark, F.lit(False))
+        kind = F.when(F.col(BAD_LINE).isNotNull(), F.lit("rejected")).when(_is_hit(), F.lit("hit")).otherwise(F.lit("none"))
+        rows = matched_rows(batch, keywords, ci).withColumn("late", late).withColumn("kind", kind)
+        # One pass over the landed files: hits and rejected lines are written, all is counted.
+        seen = Observation()
+        counted = [F.count("*").alias("rows"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("hit", "rejected")]]
+        staged = f"{out_dir}_staged/{here}"
+        rows.observe(seen, *counted).where("kind <> 'none'").write.mode("overwrite").partitionBy("kind").parquet(staged)
+        told = {"rows": 0, "hit": 0, "rejected": 0} | {k: v or 0 for k, v in seen.get.items()}
+        both = spark.read.schema(rows.drop("kind").schema).parquet
+        if told["rejected"]:
+            lines = both(f"{staged}/kind=rejected").select(BAD_LINE)
+            lines.write.mode("overwrite").parquet(f"{out_dir}_rejected/{here}")
+        new = {False: 0, True: 0}
+        ids, segments, newest = SeenIds(spark, f"{out_dir}_ids", state["segments"], buckets), list(state["segments"]), state["newest"]
+        if told["hit"]:
+            hits = both(f"{staged}/kind=hit").drop(BAD_LINE)
+            rest = [c for c in hits.columns if c not in ("comment_id", "published_at", "text")]
+            fresh = keep_first(hits, ["comment_id"], ["published_at", "text", *rest])
+            stored = ids.of(hits)
+            if stored is not None:
+                fresh = fresh.join(stored, "comment_id", "left_anti")
+            fresh.write.mode("overwrite").partitionBy("late").parquet(f"{out_dir}/{here}")
+            written = spark.read.schema(hits.schema).parquet(f"{out_dir}/{here}")
+            counts = written.groupBy("late").agg(F.count("*").alias("n"), F.max(F.unix_micros("event_time")).alias("newest")).collect()
+            new |= {r["late"]: r["n"] for r in counts}
+            newest = max((r["newest"] for r in counts if not r["late"] and r["newest"] is not None), default=None)
+            newest = max((x for x in (newest, state["newest"]) if x is not None), default=None)
+            name = f"n{number:012d}"
+            ids.add(written, name)
+            segments.append(name)
+        if len(segments) > merge_every:
+            name = f"m{number:012d}"
+            SeenIds(spark, f"{out_dir}_ids", segments, buckets).merged(name)
+            segments = [name]
+        row = {
+            "run": run_id, "epoch": epoch, "rows": told["rows"], "rejected": told["rejected"], "matched": told["hit"],
+            "new_matches": new[False] + new[True], "late": new[True],
+            "elapsed_sec": round(time.perf_counter() - begun, 2), "ts": dt.datetime.now(dt.timezone.utc).isoformat(),
+        }
+        folders.replace_json(spark, f"{out_dir}_progress/{run_id}-{epoch:09d}.json", row)
+        folders.replace_json(spark, state_file, {"run": run_id, "epoch": epoch, "number": number, "segments": segments, "newest": newest})
+        for old in set(folders.children(spark, f"{out_dir}_ids")) - {f"segment={s}" for s in segments}:
+            folders.delete(spark, f"{out_dir}_ids/{old}")  # merged, or left by a failed attempt
+        folders.delete(spark, staged)
 
     return run
 
 
 def start_comment_ingest(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_dir: str,
                          keywords: Sequence[str], available_now: bool = True,
-                         max_files_per_trigger: int = 1000) -> StreamingQuery:
+                         max_files_per_trigger: int = 1000, **settings) -> StreamingQuery:
     """Landing -> match -> new ids only -> Parquet, restartable. The file cap bounds
     a micro-batch (availableNow splits a backlog into several)."""
-    rows = match_stream(read_landing(spark, landing_dir, max_files_per_trigger=max_files_per_trigger), keywords)
-    w = rows.writeStream.foreachBatch(append_new_only(out_dir)).option("checkpointLocation", checkpoint_dir)
+    rows = read_landing(spark, landing_dir, max_files_per_trigger=max_files_per_trigger)
+    sink = store_new(out_dir, checkpoint_dir, keywords, **settings)
+    w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
+def progress_table(spark: SparkSession, out_dir: str) -> DataFrame:
+    """One row per micro-batch (I2, A14 of a stream)."""
+    schema = ("run string, epoch long, rows long, rejected long, matched long, new_matches long, late long, "
+              "elapsed_sec double, ts string")
+    return spark.read.schema(schema).json(f"{out_dir}_progress")
+
+
+def weekly_counts_stream(rows: DataFrame, delay_days: int = DELAY_DAYS) -> DataFrame:
+    """Continuous A2 in append mode. A Monday week is emitted, and its state dropped,
+    once the watermark has passed its end. `rows` are stored rows that are not late."""
+    window = F.window("event_time", "1 week", None, "4 days")
+    counts = rows.where("event_time IS NOT NULL").withWatermark("event_time", f"{delay_days} days")
+    counts = counts.groupBy(window.alias("w"), F.col("matched_keyword").alias("keyword")).agg(F.count("*").alias("n"))
+    return counts.select("keyword", T.utc_date(F.col("w.start")).alias("week"), "n")
+
+
+def start_weekly_counts(spark: SparkSession, comments_dir: str, counts_dir: str, checkpoint_dir: str,
+                        delay_days: int = DELAY_DAYS, available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """The comments table as a stream -> weekly counts, exactly once (file sink)."""
+    stored = spark.readStream.schema(STORED_SCHEMA + ", run string, epoch long, late boolean")
+    rows = stored.option("maxFilesPerTrigger", str(max_files_per_trigger)).parquet(comments_dir).where("NOT late")
+    counts = weekly_counts_stream(rows, delay_days)
+    w = counts.writeStream.outputMode("append").format("parquet").option("path", counts_dir).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
-def weekly_counts_stream(rows: DataFrame) -> DataFrame:
-    """Continuous A2, to be written in `update` or `complete` mode. Monday-aligned
-    weeks; no watermark, so a row of any age still counts and the stream equals the batch.
-    The state is one count per keyword and week, which the data's time span bounds."""
-    return (
-        rows.where(F.col("published_at").isNotNull())
-        .groupBy(F.col("matched_keyword").alias("keyword"), T.week_start(F.col("published_at")).alias("week"))
-        .agg(F.count(F.lit(1)).alias("n"))
+def open_weeks(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
+    """keyword, week, n of the weeks that are still counted in state."""
+    state = spark.read.format("statestore").load(checkpoint_dir)
+    return state.select(
+        F.col("key.matched_keyword").alias("keyword"), T.utc_date(F.col("key.window.start")).alias("week"), F.col("value.count").alias("n")
     )
