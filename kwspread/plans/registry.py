@@ -37,6 +37,7 @@ def load_all() -> dict[str, Query]:
         matching_queries,
         page_queries,
         presence_queries,
+        source_queries,
         stream_queries,
         thread_queries,
     )

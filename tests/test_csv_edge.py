@@ -68,10 +68,54 @@ def test_files_with_their_own_headers(spark, scratch):
 
 def test_malformed_rows_and_skipped_files_are_told(spark, scratch):
     write(f"{scratch}/k/a.csv", "x,y\n1,2\n3,4,5\n")
-    write(f"{scratch}/k/empty.csv", "x,y\n")
-    df = E.read_csv_layout(spark, f"{scratch}/k", malformed_col="bad").cache()
+    write(f"{scratch}/k/header only.csv", "x,y\n")
+    write(f"{scratch}/k/empty.csv", "", bom=False)
+    write(f"{scratch}/k/deep/a.csv", "", bom=False)  # the name of a file that has rows
+    df = E.read_csv_layout(spark, f"{scratch}/k", malformed_col="bad", path_col="path").cache()
     assert [r.bad is not None for r in df.orderBy("x").collect()] == [False, True]
-    assert [r.src_file for r in E.skipped_files(spark, f"{scratch}/k", df).collect()] == ["empty.csv"]
+    told = {r.path.split("/k/")[1]: (r.bytes, r.reason) for r in E.skipped_files(spark, f"{scratch}/k", df).collect()}
+    assert told == {"header only.csv": (7, "no rows"), "empty.csv": (0, "empty"), "deep/a.csv": (0, "empty")}
+
+
+NAMES = ["a b.csv", "100%.csv", "p+q.csv", "x%20y.csv", "[1].csv", "{a,b}.csv", "ümlaut ?.csv", "*.csv"]
+
+
+def test_any_file_name(spark, scratch):
+    for k, name in enumerate(NAMES):
+        write(f"{scratch}/odd dir %41/{name}", f"k,text\n{k},\"two\nlines\"\n", bom=k % 2 == 0)
+    df = E.read_csv_layout(spark, f"{scratch}/odd dir %41", path_col="path")
+    got = {r.k: r for r in df.collect()}
+    assert df.count() == len(NAMES)
+    assert {k: r.src_file for k, r in got.items()} == {str(k): n for k, n in enumerate(NAMES)}
+    assert all(r.path == f"file:{scratch}/odd dir %41/{r.src_file}" and r.text == "two\nlines" for r in got.values())
+    assert E.skipped_files(spark, f"{scratch}/odd dir %41", df).count() == 0
+    assert {f.path.rsplit("/", 1)[1] for f in E.csv_files(spark, [f"{scratch}/odd*/**/*.csv"])} == set(NAMES)
+    assert {f.path.rsplit("/", 1)[1] for f in E.csv_files(spark, [f"{scratch}/**/*q.csv"])} == {"p+q.csv"}
+    assert E.read_csv_layout(spark, f"{scratch}/odd dir %41/a b.csv").count() == 1
+
+
+def test_headers_come_from_the_start_of_a_file(spark, scratch, monkeypatch):
+    read = []
+    real = E.folders.read_bytes
+    monkeypatch.setattr(E.folders, "read_bytes", lambda s, p, n: read.append(n) or real(s, p, n))
+    wide = ",".join(f"column_{k}" for k in range(20_000))
+    write(f"{scratch}/w/long.csv", "a,b\n" + "1,2\n" * 200_000, bom=False)
+    write(f"{scratch}/w/wide.csv", wide + "\n" + ",".join(["v"] * 20_000) + "\n")
+    write(f"{scratch}/w/quoted.csv", '"multi\nline",b\n1,2\n')
+    files = {f.path.rsplit("/", 1)[1]: f.header for f in E.csv_files(spark, [f"{scratch}/w"])}
+    assert files["long.csv"] == ("a", "b") and len(files["wide.csv"]) == 20_000 and files["wide.csv"][-1] == "column_19999"
+    assert files["quoted.csv"] == ("multi\nline", "b")
+    assert read.count(E.HEADER_BYTES) == 3 and max(read) <= 4 * E.HEADER_BYTES
+
+
+def test_no_rows_at_all(spark, scratch):
+    import pytest
+
+    with pytest.raises(FileNotFoundError):
+        E.read_csv_layout(spark, f"{scratch}/nowhere")
+    write(f"{scratch}/none/a.csv", "", bom=False)
+    assert E.read_csv_layout(spark, f"{scratch}/none", cols=["x"]).columns == ["x", "src_file"]
+    assert E.read_csv_layout(spark, f"{scratch}/none").count() == 0
 
 
 def test_bom_and_run_day(spark, scratch):
