@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +49,16 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory of a worker to the system. Workers live through many stages, and
+    what one stage has freed would otherwise count on top of the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it keeps its own counsel
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `most` bytes of text (one row at least), so
     that a worker's memory follows the slice and the longest text."""
@@ -59,6 +70,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -103,6 +115,7 @@ def worker_cache(key, make):
     its memory, so stages that follow one another in a worker don't add up."""
     if key not in _WORKER_CACHE:
         _WORKER_CACHE.clear()
+        give_back()
         _WORKER_CACHE[key] = make()
     return _WORKER_CACHE[key]
 

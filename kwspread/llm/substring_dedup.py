@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kwspread.llm.common import Slots, materialise, split_words, text_slices, worker_cache
+from kwspread.llm.common import Slots, give_back, materialise, split_words, text_slices, worker_cache
 from kwspread.llm.fm_index import FMIndex, matching_statistics
 from kwspread.operators.common import bounded_lookup
 
@@ -158,27 +158,35 @@ def _sides(words: list[bytes], anchor_at: int) -> tuple[int, int]:
     )
 
 
-def _anchor_place(words: list[bytes], first: int, windows: int, hashes: np.ndarray) -> int:
-    """Where the segment's anchor stands: the last least run of GRAM words of its first window."""
-    grams = np.zeros(SPAN, np.uint64)
+def _word_hash(known: dict[bytes, int], word: bytes) -> int:
+    if len(known) > MAX_KNOWN:
+        known.clear()
+    if (h := known.get(word)) is None:
+        h = known[word] = xxhash.xxh3_64_intdigest(word)
+    return h
+
+
+def _anchor_places(hashes: np.ndarray) -> np.ndarray:
+    """Where the anchors of windows (a row of word hashes each) stand: the last least run
+    of GRAM words."""
+    grams = np.zeros((len(hashes), SPAN), np.uint64)
     for k in range(GRAM):
-        grams = _mix(grams * _P + hashes[first + k : first + k + SPAN])
-    return first + SPAN - 1 - int(np.argmin(grams[::-1]))
+        grams = _mix(grams * _P + hashes[:, k : k + SPAN])
+    return SPAN - 1 - np.argmin(grams[:, ::-1], axis=1)
 
 
 def _segment_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of the chosen segments of each document, and their anchors' sides."""
     for batch in chain.from_iterable(map(text_slices, batches)):
+        known = worker_cache("segment words", dict)
         out: tuple[list, ...] = ([], [], [], [], [], [])
-        every, counts = _word_hashes().of(batch.column("text"))
-        ends = np.cumsum(counts)
-        rows = zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True)
-        for text, chosen, begin, end in rows:
+        for text, chosen in zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist(), strict=True):
             words = text.encode().split()
-            hashes = every[begin:end]
-            for s in chosen:
-                first, windows = divmod(s["at"], 64)
-                sides = _sides(words, _anchor_place(words, first, windows, hashes))
+            at = [divmod(s["at"], 64) for s in chosen]
+            flat = [_word_hash(known, w) for first, _ in at for w in words[first : first + WINDOW]]
+            places = _anchor_places(np.array(flat, np.uint64).reshape(-1, WINDOW))
+            for s, (first, windows), place in zip(chosen, at, places.tolist(), strict=True):
+                sides = _sides(words, first + place)
                 own = b" ".join(words[first : first + windows + WINDOW - 1])
                 for column, x in zip(out, (s["anchor"], s["content"], s["weight"], own, *sides), strict=True):
                     column.append(x)
@@ -233,7 +241,9 @@ def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
     alone = rows[~shared & (rows["weight"] > 1)]
     windows = alone["words"].map(lambda w: w.count(b" ") + 2 - WINDOW).astype("int64")
     whole = pd.DataFrame({"anchor": alone["anchor"], "content": alone["content"], "mask": np.left_shift(1, windows) - 1})
-    return pd.concat([whole.astype("int64"), _search_rows(rows[shared])]) if shared.any() else whole.astype("int64")
+    found = [whole.astype("int64"), *([_search_rows(rows[shared])] if shared.any() else [])]
+    give_back()
+    return pd.concat(found)
 
 
 MASKS = "anchor long, content long, mask long"
