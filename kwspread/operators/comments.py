@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
 from kwspread.functions import text as X
-from kwspread.operators.common import bounded_lookup, top_n_per_group, with_nonnull
+from kwspread.operators.common import bounded_lookup, top_n_per_group
 from kwspread.sources.landed_scan import STATUS_DONE
 
 # Fixed values of the reference: transcript language preference and the default caps.
@@ -25,115 +25,12 @@ PAGES_PER_VIDEO = {"channel": 20, "bisect": 15}
 COMMENTS_PER_PAGE = 100
 
 
-def assemble_transcripts(segments: DataFrame, video_col: str = "video_id", order_col: str = "turn",
-                         text_col: str = "text") -> DataFrame:
-    """A10: segment texts in order, joined with one space (a match may cross segments);
-    missing text -> ''. One group per video, bounded by that video's transcript."""
-    seg = F.struct(F.col(order_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return segments.groupBy(F.col(video_col).alias("video_id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(seg)), lambda s: s["t"]), " ").alias("transcript"),
-        F.count(F.lit(1)).alias("n_segments"),
-    )
-
-
-def matched_videos(transcripts: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """Videos whose transcript has any keyword: video_id, matched_keywords, has_transcript."""
-    mk = F.nullif(M.all_matches_joined(F.col("transcript"), keywords, ci=True), F.lit(""))
-    # kept through a generator so the matcher runs once per (long) transcript
-    return (
-        with_nonnull(transcripts.select("video_id", "transcript"), mk, "matched_keywords")
-        .select("video_id", "matched_keywords")
-        .withColumn("has_transcript", F.lit(True))
-    )
-
-
-def transcript_keyword_hits(segments: DataFrame, keywords: Sequence[str], video_col: str = "video_id",
-                            pos_col: str = "turn", text_col: str = "text", ci: bool = True) -> DataFrame:
-    """A11 without assembling transcripts: video_id, matched_keywords (dictionary order,
-    ';'-joined) for videos with at least one hit.
-
-    The transcript is the segments joined with one space, so a keyword either lies
-    inside one segment or spans a separator. Each segment is matched on its own; each
-    separator gets a boundary string made of the (L-1) characters before it and the
-    (L-1) after it (L = longest keyword), built from at most L-1 neighbouring segments
-    on each side. Neighbours are found by equi-joining on the unique (video, position)
-    key -- `pos_col` must be the segment's dense position (0, 1, 2, ...), as a landed
-    transcript array's index is -- so a video holding a third of all segments is spread
-    over many tasks instead of being concatenated in one. Flags are combined with a
-    partial `bool_or` per video. Exact: every boundary string is a substring of the
-    transcript and every spanning occurrence lies inside one."""
-    kws = [k for k in dict.fromkeys(keywords) if k]
-    needles = [k.lower() if ci else k for k in kws]
-    seg = segments.select(
-        F.col(video_col).alias("video_id"), F.col(pos_col).cast("long").alias("pos"),
-        (F.lower(F.coalesce(F.col(text_col), F.lit(""))) if ci else F.coalesce(F.col(text_col), F.lit(""))).alias("t"),
-    )
-    parts = [seg.select("video_id", F.col("t").alias("m"))]
-    span = max(len(n) for n in needles) - 1 if needles else 0
-    if span > 0:
-        # Each segment offers itself as left context (d = 0..span-1 positions back from
-        # the separator) and as right context (d = 1..span positions ahead of it).
-        offs = F.array(
-            *[F.struct(F.lit("L").alias("side"), F.lit(d).alias("d")) for d in range(span)],
-            *[F.struct(F.lit("R").alias("side"), F.lit(d).alias("d")) for d in range(1, span + 1)],
-        )
-        # Only the last (first) `span` characters of a segment can matter as context.
-        ends = seg.select(
-            "video_id", "pos", F.expr(f"right(t, {span})").alias("tail"), F.expr(f"left(t, {span})").alias("head")
-        )
-        ctx = ends.select("video_id", "pos", "tail", "head", F.explode(offs).alias("o")).select(
-            "video_id",
-            F.when(F.col("o.side") == "L", F.col("pos") + F.col("o.d")).otherwise(F.col("pos") - F.col("o.d")).alias("anchor"),
-            F.col("o.side").alias("side"), F.col("o.d").alias("d"),
-            F.when(F.col("o.side") == "L", F.col("tail")).otherwise(F.col("head")).alias("t"),
-        ).where(F.col("anchor") >= 0)
-        grouped = ctx.groupBy("video_id", "anchor").agg(
-            F.collect_list(F.struct("side", "d", "t")).alias("c")  # at most 2 * span items
-        )
-        left_items = F.filter("c", lambda x: x["side"] == "L")
-        right_items = F.filter("c", lambda x: x["side"] == "R")
-        # left: farthest first (d descending); right: nearest first (d ascending)
-        left_txt = F.array_join(F.transform(F.reverse(F.array_sort(left_items)), lambda x: x["t"]), " ")
-        right_txt = F.array_join(F.transform(F.array_sort(right_items), lambda x: x["t"]), " ")
-        boundary = F.concat(F.expr(f"right(__l, {span})"), F.lit(" "), F.expr(f"left(__r, {span})"))
-        b = (
-            grouped.where(F.size(right_items) > 0)
-            .select("video_id", left_txt.alias("__l"), right_txt.alias("__r"))
-            .select("video_id", boundary.alias("b"))
-        )
-        parts.append(b.select("video_id", F.col("b").alias("m")))
-    texts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    # Hits as dictionary positions: at most |dictionary| distinct ones per video, whatever
-    # the size of the dictionary, with one path for all sizes.
-    found = F.explode(M.all_matches_array(F.col("m"), list(dict.fromkeys(needles)), ci=False))
-    hits = texts.select("video_id", found.alias("needle")).distinct()
-    per_video = hits.groupBy("video_id").agg(F.collect_list("needle").alias("found"))
-    entries = F.arrays_zip(F.lit(needles).alias("n"), F.lit(kws).alias("k"))
-    own = F.transform(F.filter(entries, lambda e: F.array_contains(F.col("found"), e["n"])), lambda e: e["k"])
-    return per_video.select("video_id", F.array_join(own, ";").alias("matched_keywords"))
-
-
 def gate_semi(comments: DataFrame, gate: DataFrame, key: str = "video_id") -> DataFrame:
     """Keep comments of gated videos. The gate (distinct ids) is materialised once
     and broadcast under a row bound; otherwise a shuffled semi-join (AQE splits skew)."""
     return comments.join(bounded_lookup(gate.select(key).distinct()), key, "left_semi")
 
 
-def transcript_status(videos: DataFrame, segments: DataFrame, hits: DataFrame) -> DataFrame:
-    """Per video 'hit' / 'no_hit' / 'no_transcript' from the videos having any
-    segment and the videos with a keyword hit (both one row per video)."""
-    have = segments.select("video_id").distinct()
-    t = have.join(hits.select("video_id", F.lit(True).alias("__h")), "video_id", "left").select(
-        "video_id", F.coalesce(F.col("__h"), F.lit(False)).alias("__hit"))
-    j = videos.select("video_id").join(t, "video_id", "left")
-    status = (
-        F.when(F.col("__hit").isNull(), F.lit("no_transcript"))
-        .when(F.col("__hit"), F.lit("hit"))
-        .otherwise(F.lit("no_hit"))
-    )
-    return j.select("video_id", status.alias("status"))
-
-
 def prefer_language(available: DataFrame, langs: Sequence[str], video_col: str, lang_col: str = "lang",
                     tiebreak: str | None = None) -> DataFrame:
     """Per video, the available item whose language comes first in `langs`."""
@@ -146,15 +43,24 @@ def prefer_language(available: DataFrame, langs: Sequence[str], video_col: str,
     )
 
 
+def _known(keys: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The batch's keys that are stored. Where the batch's keys are few (checked) they are
+    sent to the store, which is filtered where it is read: a store far larger than the
+    batch is not shuffled, and no more rows than the batch has leave it. Otherwise both
+    sides are shuffled."""
+    return stored.select(key).join(bounded_lookup(keys.select(key)), key, "left_semi")
+
+
 def new_only(rows: DataFrame, stored: DataFrame, key: str = "comment_id") -> DataFrame:
     """Drop ids already stored, and duplicates within the batch."""
-    return rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+    fresh = rows.dropDuplicates([key])
+    return fresh.join(_known(fresh, stored, key), key, "left_anti")
 
 
 def resume_todo(videos: DataFrame, progress: DataFrame, key: str = "video_id") -> DataFrame:
     """Only videos whose progress status is 'done' are skipped; errors are retried."""
-    done = progress.where(F.col("status") == STATUS_DONE).select(key)
-    return videos.join(done, key, "left_anti")
+    done = progress.where(F.col("status") == STATUS_DONE)
+    return videos.join(_known(videos, done, key), key, "left_anti")
 
 
 def scan_stats(rows: DataFrame, keywords: Sequence[str], ci: bool = True, stored: DataFrame | None = None) -> DataFrame:

@@ -207,3 +207,17 @@ WHERE """ + Q.sql_first_match("text", V.KW, True) + " IS NOT NULL")
 def comments_canonical_union(spark, sf_dir):
     """Comment dialects (collector P4, thread scan P2) mapped to one canonical schema."""
     return A.canonical_union(V.obs(spark, sf_dir, need=["keyword_cs", "text_md5"]), V.threads(spark, sf_dir), V.KW)
+
+
+@register("distinct_videos_sketched", SQL_HITS + """
+SELECT keyword, count(DISTINCT video_id) AS n_videos, count(DISTINCT comment_id) AS n_comments, true AS within_bound FROM hits GROUP BY keyword""")
+def distinct_videos_sketched(spark, sf_dir):
+    """Weekly sketches of videos and comments add up to estimates within the stated
+    error of the exact counts."""
+    h = materialize(hits(spark, sf_dir).select("keyword", "date", "video_id", "comment_id"))
+    exact = h.groupBy("keyword").agg(F.count_distinct("video_id").alias("n_videos"), F.count_distinct("comment_id").alias("n_comments"))
+    for id_col, n in (("video_id", "n_videos"), ("comment_id", "n_comments")):
+        told = D.sketched_distinct(D.weekly_sketches(h, id_col)).withColumnRenamed("n_estimated", f"{n}_estimated")
+        exact = exact.join(told, "keyword")
+    near = lambda n: F.abs(F.col(f"{n}_estimated") - F.col(n)) <= F.ceil(F.col(n) * D.SKETCH_ERROR)
+    return exact.select("keyword", "n_videos", "n_comments", (near("n_videos") & near("n_comments")).alias("within_bound"))

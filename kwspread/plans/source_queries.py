@@ -142,3 +142,26 @@ def flatten_news_pages(spark, sf_dir):
     pages = items.select("n", F.concat(F.lit("q"), F.col("q").cast("string")).alias("query"), text.alias("page"))
     pages = pages.select("query", F.when(F.col("n") % 10 == 9, F.expr("left(page, 25)")).otherwise(F.col("page")).alias("page"))
     return J.flatten_news_pages(pages).select("query", "link", "title", "originallink", "description", "pubDate")
+
+
+RUN_DAYS = ("2024-01-05", "2024-01-06")
+
+
+@register("append_by_run_day", "WITH " + V.sql_obs() + f"""
+SELECT CAST(run_day AS DATE) AS run_day, keyword, count(*) AS n FROM (
+  SELECT '{RUN_DAYS[0]}' AS run_day, keyword FROM obs WHERE keyword IS NOT NULL AND comment_id % 2 = 0
+  UNION ALL SELECT '{RUN_DAYS[1]}', keyword FROM obs WHERE keyword IS NOT NULL AND comment_id % 3 = 0)
+GROUP BY ALL""")
+def append_by_run_day(spark, sf_dir):
+    """Two runs appended under their own day, matched with a dictionary file of
+    the cluster's store, counted from what was written."""
+    base = scratch(spark, "runs")
+    listed = "".join(f"  - ' {k} '\n" for k in V.KW)
+    folders.write_bytes(spark, f"{base}/keywords.yaml", f"keywords:\n{listed}  - ''\n".encode())
+    kws = tuple(E.load_keywords(f"{base}/keywords.yaml", spark=spark))
+    found = V.obs(spark, sf_dir, kws, need=["keyword"]).where(F.col("keyword").isNotNull()).select("comment_id", "keyword")
+    for day, n in zip(RUN_DAYS, (2, 3), strict=True):
+        rows = E.with_run_day(found.where(F.col("comment_id") % n == 0), day)
+        E.write_parquet(rows, f"{base}/table", mode="append", partition_by=["run_day"])
+    stored = spark.read.schema("comment_id long, keyword string, run_day date").parquet(f"{base}/table")
+    return stored.groupBy("run_day", "keyword").agg(F.count("*").alias("n"))

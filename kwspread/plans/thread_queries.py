@@ -5,12 +5,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kwspread.functions import match as M
 from kwspread.functions import text as X
 from kwspread.operators import comments as C
+from kwspread.operators import transcripts as TR
 from kwspread.operators.common import materialize
 from kwspread.plans import sql_match as Q
 from kwspread.plans import views as V
@@ -105,20 +105,13 @@ def query_vs_keyword(spark, sf_dir):
 
 
 def segments(spark, sf_dir):
-    """Transcript segments: the user turns of each conversation, with their dense
-    position among those turns (the index a landed transcript array would carry)."""
-    segs = V.threads(spark, sf_dir).where(F.col("role") == "user")
-    w = Window.partitionBy("video_id").orderBy("turn")
-    return segs.withColumn("seg", F.row_number().over(w) - 1)
-
-
-def transcripts(spark, sf_dir):
-    return C.assemble_transcripts(segments(spark, sf_dir))
+    """Transcript segments: the user turns of each conversation, by turn."""
+    return V.threads(spark, sf_dir).where(F.col("role") == "user").select("video_id", "turn", "text")
 
 
 def transcript_matches(spark, sf_dir):
     """A11 via per-segment and boundary matching (no per-video concatenation)."""
-    hits = C.transcript_keyword_hits(segments(spark, sf_dir), V.KW, pos_col="seg")
+    hits = TR.transcript_keyword_hits(segments(spark, sf_dir), V.KW)
     return hits.withColumn("has_transcript", F.lit(True))
 
 
@@ -135,10 +128,25 @@ mv AS (SELECT video_id, matched_keywords, true AS has_transcript FROM (
 SELECT video_id, n_segments, md5(transcript) AS transcript_md5 FROM tr""")
 def transcript_assemble(spark, sf_dir):
     """A10: ordered segments joined with a space, one transcript per video."""
-    t = transcripts(spark, sf_dir)
+    t = TR.assemble_transcripts(segments(spark, sf_dir))
     return t.select("video_id", "n_segments", F.md5("transcript").alias("transcript_md5"))
 
 
+CHUNK_SEGMENTS = 2  # small, so that the driver's conversations have several chunks
+
+
+@register("transcript_chunks", "WITH " + V.SQL_THREADS + f""",
+placed AS (SELECT video_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY video_id ORDER BY turn) - 1 AS pos
+           FROM threads WHERE role = 'user')
+SELECT video_id, CAST(pos // {CHUNK_SEGMENTS} AS BIGINT) AS chunk_no, count(*) AS n_segments,
+       md5(string_agg(text, ' ' ORDER BY pos)) AS chunk_md5
+FROM placed GROUP BY ALL""")
+def transcript_chunks(spark, sf_dir):
+    """A10 for any length: transcripts assembled in ordered chunks."""
+    c = TR.transcript_chunks(segments(spark, sf_dir), chunk=CHUNK_SEGMENTS)
+    return c.select("video_id", "chunk_no", "n_segments", F.md5("chunk_text").alias("chunk_md5"))
+
+
 @register("matched_videos", SQL_MATCHED + "\nSELECT video_id, matched_keywords, has_transcript FROM mv")
 def matched_videos(spark, sf_dir):
     """Videos whose transcript contains any keyword, with all hits (matches
@@ -173,7 +181,7 @@ SELECT status, count(*) AS n FROM (
   FROM cand c LEFT JOIN tr USING (video_id)) GROUP BY status""")
 def transcript_coverage(spark, sf_dir):
     """Candidate videos by transcript status (hit / no_hit / no_transcript)."""
-    s = C.transcript_status(V.cand(spark, sf_dir), segments(spark, sf_dir), transcript_matches(spark, sf_dir))
+    s = TR.transcript_status(V.cand(spark, sf_dir), segments(spark, sf_dir), transcript_matches(spark, sf_dir))
     return s.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 

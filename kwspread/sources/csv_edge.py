@@ -235,16 +235,27 @@ def read_ordered(spark: SparkSession, path: str, schema: T.StructType, group: Se
     return placed.join(starts, [*group, "file"]).withColumn("position", F.col("start") + F.col("at") + 1).drop("file", "at", "start")
 
 
-def load_keywords(path_or_text: str, key: str = "keywords") -> list[str]:
-    """Ordered keyword list under `keywords:` in a YAML file (or YAML text);
-    entries stripped, blanks removed, empty list refused."""
+#: A dictionary file is read up to this size.
+DICTIONARY_BYTES = 64 << 20
+
+
+def load_keywords(path_or_text: str, key: str = "keywords", spark: SparkSession | None = None) -> list[str]:
+    """Ordered keyword list under `keywords:` in a YAML file (or YAML text); entries
+    stripped, blanks removed, empty list refused. With a session the path may lie in any
+    store that the cluster reads; without one it is a file of this machine."""
     import os
 
     import yaml
 
-    text = open(path_or_text, encoding="utf-8").read() if os.path.exists(path_or_text) else path_or_text
+    text = path_or_text
+    if "\n" not in path_or_text:
+        if spark is not None and folders.exists(spark, path_or_text):
+            text = folders.read_bytes(spark, path_or_text, DICTIONARY_BYTES).decode("utf-8-sig")
+        elif spark is None and os.path.exists(path_or_text):
+            text = open(path_or_text, encoding="utf-8-sig").read()
     data = yaml.safe_load(text) or {}
-    kws = [str(k).strip() for k in (data.get(key) or []) if k is not None and str(k).strip()]
+    found = data.get(key) if isinstance(data, dict) else None
+    kws = [str(k).strip() for k in (found or []) if k is not None and str(k).strip()]
     if not kws:
         raise ValueError(f"no keywords under {key!r}")
     return kws

@@ -135,3 +135,43 @@ def test_malformed_json_pages(spark):
 
     pages = spark.createDataFrame([("v", '{"items": []}'), ("v", '{"items": [{"id"'), ("v", ""), ("v", None)], "video_id string, page string")
     assert J.malformed_pages(pages).count() == 3
+
+
+def test_dictionary_on_a_cluster_path(spark, scratch):
+    import pytest
+
+    write(f"{scratch}/a b.yaml", "keywords:\n  - ' a '\n  - ''\n  -\n  - b: c\n  - 7\n")
+    assert E.load_keywords(f"file:{scratch}/a b.yaml", spark=spark) == ["a", "{'b': 'c'}", "7"]
+    assert E.load_keywords("keywords:\n- x\n") == ["x"]
+    for bad in ("keywords:\n- ''\n", "other: 1\n", "- a list\n", "nowhere.yaml"):
+        with pytest.raises(ValueError, match="no keywords"):
+            E.load_keywords(bad, spark=spark)
+
+
+def test_required_columns(spark):
+    import pytest
+
+    from kwspread.operators.common import require_columns
+
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert require_columns(df, ["a"]) is df
+    with pytest.raises(ValueError, match=r"table is missing required columns: \['c'\]"):
+        require_columns(df, ["a", "c"], "table")
+
+
+def test_ordered_dump_splits_a_hot_group(spark, scratch):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"),
+        F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("o"), "id")
+    E.write_ordered(rows.repartition(5), f"{scratch}/dump", ["g"], ["o", "id"], rows_per_file=1_500)
+    back = E.read_ordered(spark, f"{scratch}/dump", rows.schema, ["g"])
+    got = {}
+    for r in back.orderBy("g", "position").collect():
+        got.setdefault(r.g, []).append((r.o, r.id))
+    assert all(v == sorted(v) for v in got.values()) and sum(map(len, got.values())) == 20_000
+    import glob
+
+    assert len(glob.glob(f"{scratch}/dump/g=hot/*.parquet")) >= 13_333 // 1_500
+    E.write_ordered(rows, f"{scratch}/csv", ["g"], ["o", "id"], rows_per_file=5_000, fmt="csv")
+    lines = [x for f in sorted(glob.glob(f"{scratch}/csv/g=hot/*.csv")) for x in open(f).read().split()[1:]]
+    assert [tuple(map(int, x.split(","))) for x in lines] == got["hot"]
