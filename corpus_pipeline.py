@@ -17,6 +17,7 @@ from kwspread.llm.common import materialise
 from kwspread.session import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
+STAGE_WORDS = 5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +29,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each near-duplicate group."""
+    """One document, the least doc_id, of each near-duplicate group: shingles of five words,
+    similarity 0.8 or more."""
     ship_package(spark)
-    found = lsh_forest.near_duplicates(docs)
+    found = lsh_forest.near_duplicates(docs, STAGE_WORDS)
     gone = found.where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -20,11 +20,14 @@
    confirmed there, each set being moved once. Pairs across parts that are still in
    different confirmed components are confirmed by joining both sets to the pair.
 4. The rest, exactly: a region of any tree (equal first MIN_DEPTH values) whose rows are
-   not yet one confirmed component has all its rows outside its largest component
-   compared with all its rows, by one byte of every signature value. What these links
+   not yet one confirmed component is open. Similar sets of open regions share one of
+   their rarest shingles: of n shingles, ordered by how often they occur there, the first
+   n - ceil(0.8 n) + 1 (prefix filter). So per shingle of these beginnings, what different
+   components hold it is compared, by one byte of every signature value. What these links
    hold together is a family; in it all pairs of different components are confirmed on
-   full sets. Regions and families are dealt over tasks in blocks, and a task sends only
-   links that join what was apart, so rows grow with the documents, not with their pairs.
+   full sets. Shingles and families are dealt over tasks in blocks, and a task sends only
+   links that join what was apart. Pages with a common frame and text of their own meet
+   nobody here: their rarest shingles are their own.
 5. Components of the confirmed links, joined back to all documents.
 
 With similarity s a pair shares a prefix in one of the trees with probability
@@ -77,6 +80,8 @@ BITS_LEAST = 35
 #: Rows and bytes of sets on each side of a block of step 4, and rows of a group of blocks.
 BLOCK_ROWS, BLOCK_BYTES, GROUP_ROWS = 1_000, 16 << 20, 10_000
 NODES_PER_BIN = 400
+#: Buckets by which the shingles of open regions are counted.
+BUCKETS = 1 << 20
 SEED = 97
 MAX_KNOWN = 400_000
 
@@ -475,6 +480,51 @@ def _join_apart(exact: bool):
     return run
 
 
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (_mix(values) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the shingles of each bucket occur in a task's sets."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2_000):
+            raw = b"".join(batch.column("set").slice(at, 2_000).to_pylist())
+            counts += np.bincount(_bucket(np.frombuffer(raw, np.uint64)), minlength=BUCKETS)
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["bucket", "n"])
+
+
+def beginning(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, of which a similar set has one in its own beginning."""
+    n = len(values)
+    keep = n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    return values[np.lexsort((values, counts[_bucket(values)]))[:keep]]
+
+
+def _beginning_rows(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            firsts = [beginning(np.frombuffer(raw, np.uint64), counts) for raw in part.column("set").to_pylist()]
+            owner = np.concatenate(firsts).view(np.int64) if firsts else np.empty(0, np.int64)
+            sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
+            ends = [np.repeat(part.column(c).to_numpy(), sizes) for c in ("node", "component")]
+            yield pa.RecordBatch.from_arrays([pa.array(owner), *map(pa.array, ends)], ["owner", "node", "component"])
+
+
+def open_beginnings(sets: DataFrame) -> DataFrame:
+    """owner (shingle), node, component of the beginnings of sets (node, component, set).
+    The counts that order shingles are sums over BUCKETS buckets: one number each reaches
+    the driver, whatever the input; any order is exact, a good one parts more."""
+    told = sets.select("set").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    table = told.toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    rows = sets.mapInArrow(partial(_beginning_rows, counts=counts), "owner long, node long, component long")
+    return materialise(rows, "beginnings")
+
+
 def _across(rows: DataFrame, values: DataFrame, exact: bool) -> DataFrame:
     """Links between the components of each owner: rows (owner, node, component), values
     (node, value). Rows outside the owner's largest component meet all of its rows, in
@@ -494,6 +544,7 @@ def _across(rows: DataFrame, values: DataFrame, exact: bool) -> DataFrame:
         blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("lefts"),
         blocks(F.col("n"), F.col("bytes")).alias("rights"),
     )
+    open_ = materialise(open_, "open-owners")  # so the joins' shuffles can be split
     rows = rows.join(open_, "owner")
     if not exact:
         rows = rows.join(values, "node")
@@ -516,6 +567,8 @@ def _across(rows: DataFrame, values: DataFrame, exact: bool) -> DataFrame:
         return rows.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false")
     groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4 + int(count[0]) * 2 * BLOCK_ROWS // GROUP_ROWS
     dealt = dealt.withColumn("group", F.pmod(F.xxhash64("owner", "a", "b"), F.lit(groups)))
+    # A fixed number of partitions: the work is in the pairs, not in the bytes.
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group")
     return dealt.groupBy("group").applyInPandas(_join_apart(exact), "u long, v long").distinct()
 
 
@@ -524,15 +577,19 @@ def remaining_links(docs: DataFrame, classes: DataFrame, links: DataFrame, width
     known = materialise(components(links, "confirmed"), "confirmed-components")
     classes = classes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = materialise(classes.select("node", "set_key", "signature", "component"), "known-classes")
-    rows = classes.select("node", "signature", "component")
-    rows = rows.mapInArrow(_region_rows, "owner long, node long, component long")
-    rows = materialise(rows, "regions")
-    alike = materialise(_across(rows, classes.select("node", F.col("signature").alias("value")), False), "alike")
+    regions = classes.select("node", "signature", "component").mapInArrow(_region_rows, "owner long, node long, component long")
+    regions = materialise(regions, "regions")
+    several = regions.groupBy("owner").agg((F.min("component") != F.max("component")).alias("open")).where("open")
+    open_nodes = regions.join(materialise(several.select("owner"), "open-regions"), "owner").select("node", "component").distinct()
+    open_nodes = materialise(open_nodes, "open-nodes")
+    sets = _set_table(docs, classes, open_nodes, width).join(open_nodes, "node")
+    sets = materialise(sets.select("node", "component", "set"), "open-sets")
+    alike = _across(open_beginnings(sets), classes.select("node", F.col("signature").alias("value")), False)
+    alike = materialise(alike, "alike")
     families = components(alike, "families")
     owned = families.select(F.col("component").alias("owner"), "node").join(classes.select("node", "component"), "node")
     owned = materialise(owned, "family-rows")
-    sets = materialise(_set_table(docs, classes, owned, width), "family-sets").withColumnRenamed("set", "value")
-    return materialise(_across(owned, sets, True), "remaining-links")
+    return materialise(_across(owned, sets.select("node", F.col("set").alias("value")), True), "remaining-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS) -> DataFrame:

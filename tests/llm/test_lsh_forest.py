@@ -7,19 +7,21 @@ from itertools import combinations
 import numpy as np
 from conftest_llm import documents
 
+from pyspark.sql import functions as F
+
 from kwspread.llm import lsh_forest as L
 from kwspread.llm.components import components
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def shingle_set(text):
+def shingle_set(text, width=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    sets = {i: shingle_set(t) for i, t in rows}
+def brute(rows, width=4):
+    sets = {i: shingle_set(t, width) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(x):
@@ -129,3 +131,41 @@ def test_shingle_width_is_a_parameter(spark):
     docs = documents(spark, [(i, " ".join(t), "en", "a", 1) for i, t in enumerate((words, far, near))])
     groups = lambda width: [r.component_id for r in L.near_duplicates(docs, width).orderBy("doc_id").collect()]
     assert groups(4) == [0, 0, 0] and groups(5) == [0, 1, 0]
+
+
+def boilerplate(rng, n):
+    """Pages with a common frame, similarity 0.6 to each other: none is linked."""
+    frame = " ".join(f"f{k}" for k in range(153))
+    return [frame + " " + " ".join(f"p{i}x{rng.randrange(10**6)}" for _ in range(50)) for i in range(n)]
+
+
+def test_boilerplate_pages_meet_nobody(spark, monkeypatch):
+    """Rows compared in step 4 stay in proportion to the pages."""
+    met = {}
+    real = L._across
+    for n in (200, 1_000):
+        compared = []
+
+        def counting(rows, values, exact):
+            sizes = rows.groupBy("owner").agg(F.count("*").alias("n"), F.countDistinct("component").alias("c")).where("c > 1")
+            compared.append(sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()[0])
+            return real(rows, values, exact)
+
+        monkeypatch.setattr(L, "_across", counting)
+        rows = list(enumerate(boilerplate(random.Random(n), n)))
+        got = L.near_duplicates(documents(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()
+        assert all(r.component_id == r.doc_id for r in got)
+        met[n] = sum(compared) / n
+    assert met[1_000] <= 2 * met[200] + 2
+
+
+def test_beginnings_of_similar_sets_meet():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 50, L.BUCKETS)
+    for _ in range(400):
+        n = int(rng.integers(1, 120))
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = a[rng.random(len(a)) > rng.choice([0, 0.05, 0.1, 0.2])]
+        b = np.unique(np.concatenate((b, rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 8)), dtype=np.uint64))))
+        if len(b) and L.similar(a, b):
+            assert np.intersect1d(L.beginning(a, counts), L.beginning(b, counts)).size

@@ -42,7 +42,7 @@ def test_quality_keeps_good_and_drops_bad(spark, stages):
 
 def test_near_copies_and_repeats(stages):
     before = texts(stages[1])
-    kept = {i for i, (_, _, k) in near_groups(before).items() if k}
+    kept = {i for i, (_, _, k) in near_groups(before, 5).items() if k}  # five words in a stage
     assert {d for d, _ in texts(stages[2])} == kept
     removed = {r[0]: r[2] for r in repeats(texts(stages[2]))}
     after = dict(texts(stages[3]))
