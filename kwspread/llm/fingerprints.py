@@ -1,12 +1,13 @@
 """Operator 6 (DataFrame functions only): homomorphic multiset hash of a document.
 
-A document is a multiset of paragraphs: its lines, long lines cut every `PIECE`
-characters. Each paragraph is hashed to a wide vector, and the fingerprint is the sum of
+A document is a multiset of paragraphs: its lines that are not empty, long lines cut every
+`PIECE` characters; a line's last piece carries the line end (which the last line is given,
+too), so a cut piece differs from a line of the same characters. Each paragraph is hashed to a wide vector, and the fingerprint is the sum of
 these vectors, entry by entry modulo powers of two:
 
 - 4 entries modulo 2^62 hold the full hashes; they decide equality;
-- 126 small entries hold single hash bits (a count each; three of them share one long,
-  20 or 21 bits each);
+- 124 small entries hold single hash bits (a count each; two of them share one long, 31
+  bits each, which no text's number of paragraphs passes);
 - one entry counts the paragraphs.
 
 Sums do not depend on the order of paragraphs, and a paragraph is inserted or deleted by
@@ -36,9 +37,9 @@ from kwspread.llm.common import text_or_empty
 PIECE = 64
 WIDE = 4
 MOD_WIDE = (1 << 62) - 1
-FIELD = 21
-#: One bit in each of the three fields of a packed long.
-BITS = 1 | 1 << FIELD | 1 << 2 * FIELD
+FIELD = 31
+#: One bit in each of the two fields of a packed long.
+BITS = 1 | 1 << FIELD
 #: Hashes whose bits feed the small entries.
 SMALL = 2
 #: Longs of a fingerprint: wide entries, paragraph count, packed small entries.
@@ -60,7 +61,7 @@ def _seeded(seed: int):
 def fingerprint_columns(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add `out`, the fingerprint (array of LONGS longs) of the text column."""
     hashes = [f"{out}_h{k}" for k in range(WIDE)]
-    df = df.withColumn(f"{out}_p", F.regexp_extract_all(F.col(text), F.lit(f"([^\\n]{{1,{PIECE}}})"), F.lit(1)))
+    df = df.withColumn(f"{out}_p", F.regexp_extract_all(F.concat(F.col(text), F.lit("\n")), F.lit(f"([^\\n]{{1,{PIECE}}}\\n?)"), F.lit(1)))
     df = df.withColumns(
         {h: F.transform(f"{out}_p", _seeded(k)) for k, h in enumerate(hashes)}
     )
@@ -94,7 +95,7 @@ def _signs(fingerprint: Column) -> Column:
     one = F.lit((1 << FIELD) - 1)
     field = lambda x, k: F.shiftrightunsigned(x, k * FIELD).bitwiseAND(one)
     return F.flatten(
-        F.transform(packed, lambda x: F.array(*[(2 * field(x, k) - n).cast("double") for k in range(3)]))
+        F.transform(packed, lambda x: F.array(*[(2 * field(x, k) - n).cast("double") for k in range(2)]))
     )
 
 

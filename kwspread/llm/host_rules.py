@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kwspread.operators.common import bounded_lookup
 from kwspread.llm.common import WORD_GAP, materialise, native_words, text_or_empty
 
 WINDOW = 5
@@ -119,7 +120,9 @@ def host_verdicts(judged: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
 def host_rules(docs: DataFrame, host_col: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
     """Counts, failed rules, `host`, `suspect` and `kept` per document."""
     judged = materialise(failed_rules(document_counts(docs, host_col)), "host-rules")
-    verdicts = host_verdicts(judged, host_rate).select("host", "suspect")
+    # Written and counted first: broadcast if small, else both sides are plain shuffles, so a
+    # hot host's rows can be split.
+    verdicts = bounded_lookup(host_verdicts(judged, host_rate).select("host", "suspect"))
     soft = F.col("suspect") & (F.col("fails_symbols") | F.col("fails_lines"))
     return judged.join(verdicts, "host").withColumn("kept", ~F.col("base_failed") & ~soft)
 

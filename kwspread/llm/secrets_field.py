@@ -77,18 +77,36 @@ _GAPS = np.zeros(256, bool)
 _GAPS[list(b" \t\n\v\f\r\"'`,;:=<>()[]{}|&*$%#!?^")] = True
 _SIGN, _QUOTE, _LINE = (np.isin(np.arange(256), list(x)) for x in (b"=:", b"\"'`", b"\n\r"))
 _DIGIT = np.isin(np.arange(256), list(b"0123456789"))
+_HEX_BYTE = np.isin(np.arange(256), list(b"0123456789abcdef"))
+_KEY_PARTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _CODE = np.isin(np.arange(256), list(b"=:{}[]<>_/;"))
 EDGE = 16  # gap code at the ends of a text
 
 
-def base_matches(text: str) -> list[Span]:
-    """Base spans by start, then kind."""
-    found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-    found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
-    found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+def base_matches(text: str, kinds: tuple[bool, bool, bool] = (True, True, True)) -> list[Span]:
+    """Base spans by start, then kind, of the kinds that are looked for."""
+    found: list[Span] = []
+    if kinds[0]:
+        found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    if kinds[1]:
+        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
+    if kinds[2]:
+        found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return sorted(found)
 
 
+def _kinds(texts: list[bytes], tokens: Tokens) -> list[tuple[bool, bool, bool]]:
+    """Which patterns can match in each text: bytes that every match of one holds."""
+    edge = np.flatnonzero(np.diff(_HEX_BYTE[tokens.data], prepend=False, append=False))
+    long = edge[::2][edge[1::2] - edge[::2] >= 16]
+    hexes = set((np.searchsorted(tokens.text_start, long, "right") - 1).tolist())
+    out = []
+    for k, raw in enumerate(texts):
+        low = raw.lower()  # ASCII letters only
+        out.append((any(w in low for w in _KEY_PARTS), b"AKIA" in raw, k in hexes))
+    return out
+
+
 def secret_values(text: str) -> list[tuple[int, int]]:
     """Where the values of base matches stand (the gold of the field)."""
     found = [m.span(2) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
@@ -303,11 +321,13 @@ def decode(tokens: Tokens, scores: np.ndarray, moves: np.ndarray) -> list[tuple[
 
 def find_secrets(texts: list[bytes], field: Field | None) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of every text (UTF-8), in code points."""
-    base = [base_matches(t.decode()) for t in texts]
+    if not texts:
+        return []
+    tokens = Tokens(texts)
+    base = [base_matches(t.decode(), kinds) if any(kinds) else [] for t, kinds in zip(texts, _kinds(texts, tokens), strict=True)]
     added: list[list[Span]] = [[] for _ in texts]
-    if field is not None and any(texts):
-        tokens = Tokens(texts)
-        for i, j in decode(tokens, field.emissions(tokens), field.moves) if len(tokens.start) else ():
+    if field is not None and len(tokens.start):
+        for i, j in decode(tokens, field.emissions(tokens), field.moves):
             k = int(tokens.text[i])
             origin = int(tokens.text_start[k])
             a, b = int(tokens.start[i]) - origin, int(tokens.end[j]) - origin

@@ -19,14 +19,17 @@ MOD = 1 << 62
 
 
 
+def pieces_of(text):
+    return re.findall(r"[^\n]{1,64}\n?", text + "\n")
+
+
 def plain_vector(text, hashes):
-    pieces = re.findall(r"[^\n]{1,64}", text)
-    return [hashes[p] for p in pieces]
+    return [hashes[p] for p in pieces_of(text)]
 
 
 def likeness(a, b):
     def signs(rows):
-        return [sum(2 * (h[k] >> (s + 21 * j) & 1) - 1 for h in rows) for k in range(2) for s in range(21) for j in range(3)]
+        return [sum(2 * (h[k] >> (s + 31 * j) & 1) - 1 for h in rows) for k in range(2) for s in range(31) for j in range(2)]
 
     if Counter(map(tuple, a)) == Counter(map(tuple, b)):
         return 1.0
@@ -42,7 +45,7 @@ def test_fingerprints_equal_plain_version(spark):
     rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
     nexts = [rows[(k + 1) % len(rows)][1] for k in range(len(rows))]
     edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), n in zip(rows, nexts, strict=True)]
-    pieces = {p for t in [t for _, t in rows] + edited for p in re.findall(r"[^\n]{1,64}", t)}
+    pieces = {p for t in [t for _, t in rows] + edited for p in pieces_of(t)}
     df = spark.createDataFrame([(p,) for p in pieces], "p string")
     told = df.select("p", *[F.xxhash64("p", F.lit(k)).alias(f"h{k}") for k in range(P.WIDE)]).collect()
     hashes = {r.p: [r[f"h{k}"] & (2**64 - 1) for k in range(P.WIDE)] for r in told}
@@ -57,6 +60,22 @@ def test_fingerprints_equal_plain_version(spark):
         assert abs(r.near_edited - likeness(a, b)) < 1e-9 and abs(r.near_next - likeness(a, c)) < 1e-9
 
 
+def test_counts_of_very_long_texts_do_not_run_over(spark):
+    """Proportional multisets of more than 2 ** 20 lines, and lines in other order."""
+    rows = [(1, "a\n" * 1_048_566), (2, "a\n" * 1_050_576), (3, "b\na"), (4, "a\nb\n")]
+    docs = documents(spark, [(i, t, "en", "a", 1) for i, t in rows]).select("doc_id", "text")
+    got = {r.doc_id: r for r in P.fingerprint_documents(docs).collect()}
+    assert abs(got[1].near_next - 1) < 1e-9 and abs(got[1].near_edited - 1) < 1e-9
+    assert got[1].fingerprint != got[2].fingerprint and got[3].fingerprint == got[4].fingerprint and got[3].near_next == 1.0
+
+
+def test_a_cut_piece_is_no_line(spark):
+    long = "a" * 64
+    docs = documents(spark, [(1, long + "b", "en", "a", 1), (2, long + "\nb", "en", "a", 1)]).select("doc_id", "text")
+    got = {r.doc_id: r for r in P.fingerprint_documents(docs).collect()}
+    assert got[1].fingerprint != got[2].fingerprint and got[1].near_next < 1
+
+
 def test_ranges_and_ties_give_the_next_document(spark, monkeypatch):
     monkeypatch.setattr(P, "DOCS_PER_RANGE", 3)
     rows = [(None, "n2"), (None, "n1")] + [(k // 2 if k < 10 else k, f"t{k % 7}{k}") for k in range(40)]

@@ -31,6 +31,7 @@ def test_base_spans_are_the_patterns():
     for _ in range(3_000):
         text = "".join(rng.choices(PIECES, k=rng.randrange(1, 14)))
         assert S.base_matches(text) == plain_base(text), text
+        assert [b for b, _ in S.find_secrets([text.encode(), b"x"], None)] == [plain_base(text), []]
 
 
 WORDS = "the of an ordinary text with some words that mean little, and a number 12 or 1999. Mail a.b@c.example or see www.example.com/x".split()
