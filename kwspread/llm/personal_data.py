@@ -1,20 +1,23 @@
 """Operator 5: personal data by base patterns and a semi-Markov conditional random field.
 
 Base spans are the leftmost non-overlapping matches of four patterns that pass their
-check (range of address parts, digit count, Luhn sum). A pattern that swallows two
-entities at once (`+1 (569) 555-6633 4795326016703902`) fails its check and is dropped;
-there the field adds spans. Its regions are the stretches covered by raw matches, its
-positions their atoms (runs of digits, runs of letters, single other characters). A
-segment is one atom outside any entity or up to MAX_ATOMS atoms of one kind (a number: as
-many atoms as up to MAX_DIGITS digits and what parts them take); features of
-the whole span (is it valid as that kind, its digits, its edges) score it, and dynamic
-programming over the atoms picks the best boundaries and kinds together. Base spans
-always stay; a decoded span is added if it is valid, has clean edges and overlaps none.
-
-The weights are fitted by gradient steps on the likelihood of base spans in the regions
-of at most SAMPLE_DOCS documents (the least by a hash of doc_id, of at most
-SAMPLE_CHARS characters each), shrunk towards stated starting weights; without regions
-the starting weights hold. All patterns are matched in time linear in the text.
+check (range of address parts, digit count, Luhn sum). The field looks at the rest of
+every text: at all stretches of digits and what parts them, and at what raw matches cover
+(a pattern that swallows two entities at once, `+1 (569) 555-6633 4795326016703902`, fails
+its check and is dropped), less the base spans. Its positions are atoms (runs of digits,
+runs of letters, single other characters). A segment is one atom outside any entity, a
+number of up to MAX_DIGITS digits however parted (card or phone), a raw address or a raw
+email. Features of the whole span (its check, its groups of digits, how it begins, what
+parts it, its edges) score it, and dynamic programming over the atoms picks the best
+boundaries and kinds together. Base spans always stay; a decoded span is added if it
+passes its kind's check and has clean edges.
+
+The weights are fitted by gradient steps on the likelihood of stretches, shrunk towards
+stated starting weights: MADE_UP made-up ones (numbers in common ways of writing, and
+dates, decimals, ranges and bare numbers that are none), and at most SAMPLE_REGIONS
+stretches of at most SAMPLE_DOCS documents (the least by a hash of doc_id, of at most
+SAMPLE_CHARS characters each) whose base spans tell them. All patterns and the field are
+linear in the text.
 
 Defined results: null and empty texts have no spans; offsets count code points; each
 repeated row is judged by itself; an empty table gives an empty table; other columns are
@@ -25,8 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,10 +50,15 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 _SOME = re.compile(r"[0-9@]")
 
-#: Atoms of a segment that is not a number of up to MAX_DIGITS digits (those of a card).
-MAX_ATOMS = 12
+#: Digits in a row, parted by up to three of NUMBER_PARTS.
+_STRETCH = re.compile(r"[+(]{0,2}[0-9]++(?:[\x20().-]{1,3}+[0-9]++)*+")
+_DIGITS = re.compile("[0-9]+")
+
+#: Digits of a number at most (those of a card), and of a stretch that is looked at.
 MAX_DIGITS = 19
-CARD, PHONE = 2, 3
+LEAST_DIGITS = 9
+EMAIL, ADDRESS, CARD, PHONE = range(4)
+MADE_UP = 800
 NUMBER_PARTS = frozenset(" ().-")
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 20_000
@@ -130,38 +138,59 @@ def segment_features(text: str, a: int, b: int, kind: int) -> dict[str, float]:
     name = KINDS[kind]
     before, after = text[a - 1 : a], text[b : b + 1]
     clean = not (before.isalnum() or before in ("+", "@")) + (after.isalnum() or after == "@")
-    valid = bool(_FULL[kind].fullmatch(span)) and _passes(kind, span)
-    return {
+    out = {
         name: 1.0,
-        f"{name} valid" if valid else f"{name} invalid": 1.0,
+        f"{name} valid" if _sound(kind, span) else f"{name} invalid": 1.0,
         f"{name} clean" if clean else f"{name} torn": 1.0,
-        f"{name} plus": float(span[0] == "+"),
         f"{name} wide": float("  " in span),
         f"{name} digits {min(len(_digits(span)) // 3, 7)}": 1.0,
     }
+    if kind >= CARD:
+        groups = [len(g) for g in _DIGITS.findall(span)]
+        begins = "plus" if span[0] == "+" else "bracket" if span[0] == "(" else "zeros" if span[:2] == "00" and span[2:3] not in ("0", " ") else "digit"
+        parts = "".join(sorted(set(span) & NUMBER_PARTS)) or "none"
+        out |= {
+            f"{name} {begins}": 1.0,
+            f"{name} {begins} groups {'-'.join(map(str, groups[:6]))}": 1.0,
+            f"{name} groups {min(len(groups), 6)}": 1.0,
+            f"{name} parts {parts}": 1.0,
+            f"{name} short groups": float(sum(g < 2 for g in groups)),
+            f"{name} {begins} after digits": float(before in NUMBER_PARTS and text[a - 2 : a - 1].isdigit()),
+            f"{name} {begins} before digits": float(after in NUMBER_PARTS and text[b + 1 : b + 2].isdigit()),
+        }
+    return out
+
+
+def _sound(kind: int, span: str) -> bool:
+    """The check of a kind, whatever way a number is written."""
+    if kind <= ADDRESS:
+        return bool(_FULL[kind].fullmatch(span)) and _passes(kind, span)
+    return _passes(kind, span) and span.count("(") == span.count(")")
 
 
 def starting_weights() -> dict[str, float]:
     weights = {"out digits": -0.5, "out letters": 0.0, "out other": 0.0, "out long": -1.0}
     for name in KINDS:
         weights |= {name: -1.0, f"{name} valid": 4.0, f"{name} invalid": -8.0, f"{name} clean": 0.5, f"{name} torn": -6.0}
-    return weights
+    # A number that neither begins as an international one nor is parted tells little.
+    return weights | {"phone digit": -4.0, "phone bracket": -1.0, "phone zeros": -2.0, "phone parts none": -4.0}
 
 
 def _segments(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Atom borders of a region and its candidate segments (from, to, kind) by border."""
     borders = [m.start() for m in _ATOM.finditer(text, a, b)] + [b]
+    at = {x: k for k, x in enumerate(borders)}
+    fixed: dict[int, list[tuple[int, int]]] = {}
+    for kind, matches in ((EMAIL, [(a + x, a + y) for x, y in _emails(text[a:b])]), (ADDRESS, [m.span() for m in _IP.finditer(text, a, b)])):
+        for x, y in matches:
+            if x in at and y in at:
+                fixed.setdefault(at[x], []).append((at[y], kind))
     found = []
     for i in range(len(borders) - 1):
         found.append((i, i + 1, -1))
+        found += [(i, j, kind) for j, kind in fixed.get(i, ())]
         first = text[borders[i]]
-        if not (first == "+" or first.isascii() and (first.isalnum() or first in "._%-")):
-            continue
-        for j in range(i + 1, min(i + MAX_ATOMS, len(borders) - 1) + 1):
-            last = text[borders[j] - 1]
-            if last.isascii() and (last.isalnum() or last == "-"):
-                found += [(i, j, kind) for kind in range(len(KINDS))]
-        if first != "+" and not "0" <= first <= "9":
+        if first not in "+(" and not "0" <= first <= "9":
             continue
         digits = 0  # numbers go on as far as their check allows, whatever parts them
         for j in range(i + 1, len(borders)):
@@ -170,7 +199,7 @@ def _segments(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int
                 digits += len(atom)
                 if digits > MAX_DIGITS:
                     break
-                if j - i > MAX_ATOMS:
+                if digits >= LEAST_DIGITS:
                     found += [(i, j, kind) for kind in (CARD, PHONE)]
             elif atom not in NUMBER_PARTS and not (atom == "+" and j == i + 1):
                 break
@@ -225,9 +254,73 @@ def _gradient(text: str, a: int, b: int, gold: set, weights: dict[str, float]) -
     return out
 
 
+def _made_up(rng: random.Random) -> tuple[str, list[Span]]:
+    """A stretch with its entities: (text, gold)."""
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def phone() -> str:
+        a, c, e = (rng.choice("23456789") + d(2) for _ in range(3))
+        cc, last = rng.choice(["1", "33", "44", "49", "34", "82"]), d(4)
+        return rng.choice([
+            f"({a}) {c}-{last}", f"{a}-{c}-{last}", f"{a}.{c}.{last}", f"00{cc} {a[:2]} {c}{last}", f"00{cc} {a} {c} {last}",
+            f"0{a[:2]} {c}{last}{d(1)}", f"{a}-{d(2)}-{last}", f"+{cc} {a} {c} {last}", f"+{cc} ({a}) {c}-{last}", f"+{cc}-{a}-{c}-{last}",
+            f"+{cc} {a[:2]} {e} {d(2)} {d(2)}", f"+{cc}{a}{c}{last}", f"1-{a}-{c}-{last}", f"({a}) {c} {last}",
+        ])
+
+    def card() -> str:
+        head = d(15)
+        number = next(head + x for x in "0123456789" if _luhn(head + x))
+        return rng.choice([number, " ".join(number[k : k + 4] for k in range(0, 16, 4)), "-".join(number[k : k + 4] for k in range(0, 16, 4))])
+
+    def other() -> str:
+        sizes = [rng.randrange(1, 6) for _ in range(rng.randrange(3, 8))]
+        if sizes[:3] in ([3, 3, 4], [3, 2, 4]):
+            sizes[0] = 1
+        year = lambda: str(rng.randrange(1900, 2030))
+        return rng.choice([
+            f"{year()}-{d(2)}-{d(2)} {d(2)}.{d(2)}.{d(2)}", f"{year()}-{year()} {year()}-{year()}", " ".join(map(d, sizes)), ".".join(map(d, sizes)),
+            d(rng.randrange(9, 22)), f"{d(1)}.{d(6)} {d(1)}.{d(7)}", f"{d(2)}.{d(2)}.{year()} {d(2)}.{d(2)}.{year()}", f"({year()}) {d(3)} {d(5)}",
+            f"{d(3)} {d(3)} {d(3)}", f"{rng.randrange(1, 999)} {d(3)} {d(3)} {d(3)}", f"{rng.randrange(1, 999)}.{d(3)}.{d(3)}.{d(3)}", f"{year()} {year()} {year()}", f"{d(4)}-{d(6)} {d(2)}",
+        ])
+
+    makers = rng.choice([[phone], [phone], [card], [other], [other], [other], [phone, card], [phone, phone]])
+    text, gold = rng.choice(["", "call ", "no. ", "x: "]), []
+    for k, make in enumerate(makers):
+        own = make()
+        start = len(text) + (k > 0)
+        text += " " * (k > 0) + own
+        if make is not other:
+            gold.append((start, PHONE if make is phone else CARD, start + len(own)))
+    return text + rng.choice(["", ".", " and", ", or"]), gold
+
+
+def _regions_of(text: str, raw: list[Span], base: list[Span]) -> list[tuple[int, int]]:
+    """What the field looks at: stretches of digits and raw matches, without base spans."""
+    found = [(m.start(), m.end()) for m in _STRETCH.finditer(text) if m.end() - m.start() >= LEAST_DIGITS]
+    found = [x for x in found if sum(map(len, _DIGITS.findall(text, *x))) >= LEAST_DIGITS]
+    whole: list[list[int]] = []
+    for a, b in sorted(found + regions(raw)):
+        if whole and a <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], b)
+        else:
+            whole.append([a, b])
+    out, k = [], 0
+    taken = regions(base)
+    for a, b in whole:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        at, j = a, k
+        while j < len(taken) and taken[j][0] < b:
+            out.append((at, taken[j][0]))
+            at, j = taken[j][1], j + 1
+        out.append((at, b))
+    return [(a, b) for a, b in out if b - a >= LEAST_DIGITS and sum(map(len, _DIGITS.findall(text, a, b))) >= LEAST_DIGITS]
+
+
 def fit_field(texts: list[str]) -> dict[str, float]:
-    """Weights from the regions whose raw matches all pass or are short numbers."""
-    examples = []
+    """Weights from made-up stretches, and from regions whose raw matches all pass or are
+    short numbers."""
+    rng, examples = random.Random(5), []
     for text in texts:
         raw = raw_matches(text)
         for a, b in regions(raw):
@@ -239,15 +332,21 @@ def fit_field(texts: list[str]) -> dict[str, float]:
                 if m[0] >= end:
                     gold.add(m)
                     end = m[2]
-            borders = {m.start() for m in _ATOM.finditer(text, a, b)} | {b}
-            if not doubtful and all(x in borders for m in gold for x in (m[0], m[2])):
+            borders, candidates = _segments(text, a, b)
+            known = {(borders[i], kind, borders[j]) for i, j, kind in candidates}
+            if not doubtful and gold <= known:
                 examples.append((text, a, b, gold))
         if len(examples) >= SAMPLE_REGIONS:
             break
+    del examples[SAMPLE_REGIONS:]
+    for _ in range(MADE_UP):
+        text, gold = _made_up(rng)
+        examples.append((text, 0, len(text), set(gold)))
+    rng.shuffle(examples)
     start = starting_weights()
     weights = dict(start)
     for _ in range(EPOCHS):
-        for text, a, b, gold in examples[:SAMPLE_REGIONS]:
+        for text, a, b, gold in examples:
             for k, g in _gradient(text, a, b, gold, weights).items():
                 now = weights.get(k, 0.0)
                 weights[k] = now + STEP * (g - SHRINK * (now - start.get(k, 0.0)))
@@ -257,19 +356,12 @@ def fit_field(texts: list[str]) -> dict[str, float]:
 def find_spans(text: str, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:
     """Base spans and added spans, each by start and kind."""
     raw = raw_matches(text)
-    passed = [_passes(kind, text[a:b]) for a, kind, b in raw]
-    base = [m for m, ok in zip(raw, passed, strict=True) if ok]
+    base = [m for m in raw if _passes(m[1], text[m[0] : m[2]])]
     added = []
-    starts = [m[0] for m in raw]
-    for a, b in regions(raw):
-        own = slice(bisect_left(starts, a), bisect_left(starts, b))
-        if all(passed[own]):
-            continue  # nothing was dropped here: base spans stay as they are
-        inside = [(m[0], m[2]) for m, ok in zip(raw[own], passed[own], strict=True) if ok]
+    for a, b in _regions_of(text, raw, base) if _SOME.search(text) else ():
         for x, kind, y in decode(text, a, b, weights):
             features = segment_features(text, x, y, kind)
-            sound = f"{KINDS[kind]} valid" in features and f"{KINDS[kind]} clean" in features
-            if sound and all(y <= u or x >= v for u, v in inside):
+            if f"{KINDS[kind]} valid" in features and f"{KINDS[kind]} clean" in features:
                 added.append((x, kind, y))
     return base, added
 

@@ -1,6 +1,7 @@
 """Personal data (5) against the four patterns as written."""
 
 import hashlib
+import random
 import re
 
 from conftest_llm import documents
@@ -91,3 +92,56 @@ def test_field_takes_numbers_of_many_parts():
         assert found == [(phone, 3), (other, 2)]
     text = f"le +1 (569) 555-6633 {card} x"
     assert [(text[a:b], k) for a, k, b in P.find_spans(text, weights)[1]] == [("+1 (569) 555-6633", 3), (card, 2)]
+
+
+def field():
+    return P.fit_field([])
+
+
+def test_numbers_that_no_pattern_touches():
+    weights = field()
+    for text in ("(212) 555-0123", "0049 30 1234567", "212-555-0123", "123-45-6789"):
+        base, added = P.find_spans(f"call {text} now", weights)
+        assert base == [] and added == [(5, P.PHONE, 5 + len(text))], text
+        assert P.redact(f"call {text} now", added) == "call <phone> now"
+    for text in ("2024-01-15 10.20.30", "id 1234567890", "1 000 000 000", "3.14159 2.71828", "1990-1995 2001-2003", "12 345 678 901", "9" * 5_000):
+        assert P.find_spans(text, weights) == ([], []), text
+
+
+def test_planted_numbers_are_found_and_others_left():
+    rng = random.Random(99)
+    weights, words = field(), "the of an and with some text that has no number in it".split()
+    hit = planted = wrong = 0
+    for _ in range(400):
+        text, gold = P._made_up(rng)
+        before = " ".join(rng.choices(words, k=8)) + " "
+        base, added = P.find_spans(before + text + " " + " ".join(rng.choices(words, k=8)), weights)
+        want = {(a + len(before), k, b + len(before)) for a, k, b in gold}
+        found = set(base) | set(added)
+        planted += len(want)
+        hit += len(want & found)
+        wrong += len({(a, b) for a, _, b in found} - {(a, b) for a, _, b in want})
+    assert hit >= 0.93 * planted and wrong <= 0.06 * planted
+
+
+def test_decode_is_the_best_of_all_segmentations():
+    rng = random.Random(3)
+    weights = {k: v + rng.gauss(0, 1) for k, v in P.starting_weights().items()}
+    for text in ("+1 212 5550", "(21) 345-67", "4111 111 9 2", "1.2.3.4 123456789", "12-34 56-789"):
+        text += "77"
+        borders, segments = P._segments(text, 0, len(text))
+        scores = P._scored(text, borders, segments, weights)
+        by_start = {}
+        for s, score in zip(segments, scores, strict=True):
+            by_start.setdefault(s[0], []).append((s, score))
+
+        def every(i):
+            if i == len(borders) - 1:
+                yield 0.0, ()
+            for (a, j, kind), score in by_start.get(i, ()):
+                for total, rest in every(j):
+                    yield score + total, ((borders[a], kind, borders[j]), *rest)
+
+        total, best = max(every(0), key=lambda x: x[0])
+        got = P.decode(text, 0, len(text), weights)
+        assert got == [s for s in best if s[1] >= 0]
