@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
 returns a DataFrame; `run` writes it as Parquet to the shared folder and reads it again
 as the next one's docs. All but the last return the columns of documents; stages that
 change texts set n_chars anew.
+
+Odd rows, in every stage: null and empty texts pass unchanged if the classifier keeps them
+(it scores both as the empty text); a row without doc_id is never a near copy; rows that
+repeat a doc_id are judged by their own texts and leave together as near copies of a
+smaller one; columns of any name beside doc_id and text travel along untouched (n_chars
+follows the text); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,8 +30,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier does not reject (score at least 0.3)."""
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = quality.score_quality(docs, labels, out="stage_quality_score")
-    return scored.where(F.col("stage_quality_score") >= quality.REJECT_BELOW).select(*docs.columns)
+    score = "stage_quality_score"
+    while score in docs.columns:
+        score += "_"
+    scored = quality.score_quality(docs, labels, out=score)
+    return scored.where(F.col(score) >= quality.REJECT_BELOW).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
