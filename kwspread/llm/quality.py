@@ -3,13 +3,14 @@
 Every word gives two symbols: its bucket (hash of the word, A-Z lower-cased) and its
 shape (letters, digits and other characters run by run, with a mark if the word repeats
 the one before). Random indexing gives each symbol a sparse +-1 index vector; the vector
-of a symbol is its own plus the sum of the index vectors of the symbols around it in the
-training texts, scaled to length one. A document is the mean of the vectors of its
-shapes beside the mean of those of its words. A two-layer network (tanh, then logistic)
-gives the score; its temperature is fitted on training rows that it has not seen.
-
-Vectors, network and temperature are fitted on the driver from at most MAX_TRAIN labelled
-documents of at most MAX_TRAIN_CHARS characters each: the least by a hash of doc_id, so
+of a symbol is its own plus the sum of the index vectors of the symbols around it in all
+documents, scaled to length one. These sums are whole numbers, added up per task, then per
+symbol (`context_sums`); one row per symbol reaches the driver, whatever the input. A
+document is the mean of the vectors of its shapes beside the mean of those of its words. A
+two-layer network (tanh, then logistic) gives the score; its temperature is fitted on
+training rows that it has not seen.
+
+Network and temperature are fitted on the driver from at most MAX_TRAIN labelled documents of at most MAX_TRAIN_CHARS characters each: the least by a hash of doc_id, so
 the choice does not depend on partitions, and no row that is held out (crc32 of the
 doc_id as text, modulo 5, is 0). Everything else covers all rows and whole texts. As the
 first layer is linear in the mean, scoring adds up rows of one table (symbol x hidden).
@@ -100,22 +101,71 @@ def index_vectors(rng: np.random.Generator) -> np.ndarray:
     return table
 
 
-def symbol_vectors(shape: np.ndarray, word: np.ndarray, counts: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Index vectors plus those of the neighbours within AROUND words, scaled to one.
-    Words are taken CHUNK at a time, so memory does not follow the training texts."""
-    total = index.copy()
-    doc = np.repeat(np.arange(len(counts)), counts)
-    for lo in range(0, len(doc), CHUNK):
-        hi = min(lo + CHUNK, len(doc))
-        for step in range(-AROUND, AROUND + 1):
-            at = np.arange(max(lo, -step), min(hi, len(doc) - step))
-            at = at[doc[at] == doc[at + step]] if step else at[:0]
-            if len(at):
-                near = index[shape[at + step]] + index[word[at + step]]
-                for rows in (shape, word):
-                    order = np.argsort(rows[at], kind="stable")
-                    keys, first = np.unique(rows[at][order], return_index=True)
-                    total[keys] += np.add.reduceat(near[order], first, axis=0)
+def add_contexts(total: np.ndarray, shape: np.ndarray, word: np.ndarray, counts: np.ndarray, index: np.ndarray) -> None:
+    """Add to each symbol's row the index vectors of the symbols within AROUND words of its
+    occurrences. The last row of `index` is zero and stands between texts. Words are taken
+    CHUNK at a time, so memory does not follow the length of a text."""
+    gap = len(index) - 1
+    place = np.arange(len(shape)) + AROUND * (np.repeat(np.arange(len(counts)), counts) + 1)
+    size = len(shape) + AROUND * (len(counts) + 1)
+    padded = []
+    for rows in (shape, word):
+        line = np.full(size, gap, np.uint16)
+        line[place] = rows
+        padded.append(line)
+    for lo in range(AROUND, size - AROUND, CHUNK):
+        hi = min(lo + CHUNK, size - AROUND)
+        own = sum(index[line[lo - AROUND : hi + AROUND]] for line in padded)
+        near = sum(own[AROUND + step : AROUND + step + hi - lo] for step in range(-AROUND, AROUND + 1) if step)
+        for line in padded:
+            rows = line[lo:hi]
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            total[rows[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int32)
+
+
+SUMS = "symbol int, sums binary"
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = index_vectors(np.random.default_rng(SEED)).astype(np.int8)
+    index = np.vstack((index, np.zeros((1, DIM), np.int8)))
+    total, symbols = np.zeros(index.shape, np.int64), Symbols()
+    for batch in chain.from_iterable(map(text_slices, batches)):
+        add_contexts(total, *symbols.of(batch.column("text")), index)
+    yield _sum_rows(total[:-1])
+
+
+def _sum_rows(total: np.ndarray) -> pa.RecordBatch:
+    met = np.flatnonzero(total.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([r.tobytes() for r in total[met]], pa.binary())], ["symbol", "sums"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((SHAPES + WORDS, DIM), np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4_096):
+            part = batch.slice(at, 4_096)
+            sums = np.frombuffer(b"".join(part.column("sums").to_pylist()), np.int64).reshape(-1, DIM)
+            np.add.at(total, part.column("symbol").to_numpy(), sums)
+    yield _sum_rows(total)
+
+
+def context_sums(docs: DataFrame) -> np.ndarray:
+    """Per symbol the sum of the index vectors around it in all texts. A task sends at most
+    one row per symbol, and a symbol's rows are added up as they come."""
+    parts = docs.select("text").mapInArrow(_context_rows, SUMS)
+    table = parts.repartition("symbol").mapInArrow(_add_up, SUMS).toArrow()  # a row per symbol
+    total = np.zeros((SHAPES + WORDS, DIM), np.int64)
+    if table.num_rows:
+        total[table.column("symbol").to_numpy()] = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.int64).reshape(-1, DIM)
+    return total
+
+
+def symbol_vectors(sums: np.ndarray) -> np.ndarray:
+    """Index vectors plus those of the neighbours, scaled to one."""
+    total = index_vectors(np.random.default_rng(SEED)) + sums
     return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
 
 
@@ -172,11 +222,12 @@ def fit_network(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> dict:
     return net | {"t": float(min(np.geomspace(0.5, 8, 33), key=loss))}
 
 
-def fit_quality(texts: pa.Array, quality: np.ndarray) -> dict:
-    """Model of labelled texts: `table` (symbol x hidden), layers and temperature."""
+def fit_quality(texts: pa.Array, quality: np.ndarray, sums: np.ndarray) -> dict:
+    """Model of labelled texts: `table` (symbol x hidden), layers and temperature; `sums`
+    are those of the corpus."""
     rng = np.random.default_rng(SEED)
     shape, word, counts = Symbols().of(texts)
-    vectors = symbol_vectors(shape, word, counts, index_vectors(rng))
+    vectors = symbol_vectors(sums)
     x = np.hstack((_pool(vectors, shape, counts), _pool(vectors, word, counts)))
     net = fit_network(x, quality.astype(float), rng)
     table = np.vstack((vectors[:SHAPES] @ net["w1"][:DIM], vectors[SHAPES:] @ net["w1"][DIM:]))
@@ -198,7 +249,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, out: str = "score") -> Dat
     """`docs` (at least doc_id, text) with a column `out`, the score."""
     sample = training_rows(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast(
-        fit_quality(sample.column("text").combine_chunks(), sample.column("quality").to_numpy())
+        fit_quality(sample.column("text").combine_chunks(), sample.column("quality").to_numpy(), context_sums(docs))
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,21 +37,39 @@ def test_quality_of_odd_rows(spark, nasty, empty):
     assert kept.columns[-1] == "other"
 
 
-def test_symbol_vectors_equal_plain_sums(monkeypatch):
-    monkeypatch.setattr(Q, "CHUNK", 7)
-    shape, word, counts = Q.Symbols().of(pa.array(["a b c a b", None, "a", "b c b a a a"]))
-    index = Q.index_vectors(np.random.default_rng(1))
-    want = index.copy()
-    doc = np.repeat(np.arange(4), counts)
+def plain_sums(texts, index):
+    shape, word, counts = Q.Symbols().of(pa.array(texts, pa.string()))
+    want = np.zeros(index.shape, np.int64)
+    doc = np.repeat(np.arange(len(texts)), counts)
     for i in range(len(doc)):
         for j in range(max(0, i - Q.AROUND), min(len(doc), i + Q.AROUND + 1)):
             if i != j and doc[i] == doc[j]:
                 for row in (shape[i], word[i]):
-                    want[row] += index[shape[j]] + index[word[j]]
-    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
-    assert np.allclose(Q.symbol_vectors(shape, word, counts, index), want, atol=1e-5)
+                    want[row] += (index[shape[j]] + index[word[j]]).astype(np.int64)
+    return want
+
+
+def test_contexts_equal_plain_sums(monkeypatch):
+    monkeypatch.setattr(Q, "CHUNK", 7)
+    texts = ["a b c a b", None, "a", "b c b a a a", "x y z " * 9]
+    index = Q.index_vectors(np.random.default_rng(1))
+    padded = np.vstack((index, np.zeros((1, Q.DIM)))).astype(np.int8)
+    total = np.zeros(padded.shape, np.int64)
+    shape, word, counts = Q.Symbols().of(pa.array(texts, pa.string()))
+    Q.add_contexts(total, shape, word, counts, padded)
+    assert (total[:-1] == plain_sums(texts, index)).all()
     pooled = Q._pool(index, word, counts)
-    assert np.allclose(pooled[3], index[word[6:]].mean(axis=0)) and not pooled[1].any()
+    assert np.allclose(pooled[3], index[word[6:12]].mean(axis=0)) and not pooled[1].any()
+
+
+def test_context_sums_cover_all_documents(spark, nasty, empty):
+    docs = nasty.select("doc_id", "text").repartition(4)
+    index = Q.index_vectors(np.random.default_rng(Q.SEED))
+    want = plain_sums([r.text for r in docs.collect()], index)
+    assert (Q.context_sums(docs) == want).all() and want.any()
+    assert not Q.context_sums(empty).any()
+    vectors = Q.symbol_vectors(want)
+    assert np.allclose(np.linalg.norm(vectors, axis=1), 1) and np.allclose(vectors[0], (index[0] + want[0]) / np.linalg.norm(index[0] + want[0]))
 
 
 def plain_rule(url):
