@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kwspread.llm.common import Slots, materialise, split_words, text_slices, worker_cache
+from kwspread.llm.common import Slots, give_back, materialise, split_words, text_slices, worker_cache
 from kwspread.llm.components import components
 
 WORDS = 4
@@ -80,6 +80,8 @@ BITS_LEAST = 35
 #: Rows and bytes of sets on each side of a block of step 4, and rows of a group of blocks.
 BLOCK_ROWS, BLOCK_BYTES, GROUP_ROWS = 1_000, 16 << 20, 10_000
 NODES_PER_BIN = 400
+#: Blocks of step 4 of up to so many rows are compared together.
+SMALL_BLOCK = 48
 #: Buckets by which the shingles of open regions are counted.
 BUCKETS = 1 << 20
 SEED = 97
@@ -406,10 +408,17 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One byte of each signature value."""
+    for batch in batches:
+        raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, 4 * SIGNATURE)[:, ::4]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in raw], pa.binary())], ["node", "value"])
+
+
 def _alike(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """left x right: at least SAME_LEAST signature values have equal low bytes. Pairs with
     fewer than BITS_LEAST of SKETCH_VALUES equal 2-bit values are not looked at further."""
-    a, b = (np.frombuffer(b"".join(x), "<u4").reshape(-1, SIGNATURE).astype(np.uint8) for x in (left, right))
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, SIGNATURE) for x in (left, right))
     plane = lambda x, k: np.packbits(x[:, :SKETCH_VALUES] >> k & 1, axis=1).view(np.uint64).ravel()
     unequal = plane(a, 0)[:, None] ^ plane(b, 0)
     unequal |= plane(a, 1)[:, None] ^ plane(b, 1)
@@ -460,21 +469,95 @@ def _spanning(node, component, label, left, right, hits) -> list[tuple[int, int]
     return out
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """The links that join something among all of (u, v)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
+def _small_pairs(heads: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows i < j inside blocks of at most `most` rows."""
+    size = np.repeat(sizes, sizes)
+    row = np.arange(len(size))
+    later = np.where(size <= most, np.repeat(heads + sizes, sizes) - row - 1, 0)
+    i = np.repeat(row, later)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+
+
+def _blocks(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The rows block by block, and where each begins and how many it has."""
+    rows = rows.sort_values(["owner", "a", "b"], ignore_index=True)
+    key = rows[["owner", "a", "b"]].to_numpy()
+    heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else np.empty(0, np.int64)
+    return rows, heads, np.diff(np.append(heads, len(key)))
+
+
+def _alike_links(rows: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links of the blocks of a group by signatures. Small blocks are compared together."""
+    rows, heads, sizes = _blocks(rows)
+    node, component = rows["node"].to_numpy(), rows["component"].to_numpy()
+    is_left, is_right = rows["is_left"].to_numpy(), rows["is_right"].to_numpy()
+    value = rows["value"].tolist()
+    sign = np.frombuffer(b"".join(value), np.uint8).reshape(-1, SIGNATURE)
+    planes = [np.packbits(sign[:, :SKETCH_VALUES] >> k & 1, axis=1).view(np.uint64).ravel() for k in (0, 1)]
+    found = []
+    i, j = _small_pairs(heads, sizes, SMALL_BLOCK)
+    for lo in range(0, len(i), 200_000):
+        x, y = i[lo : lo + 200_000], j[lo : lo + 200_000]
+        ok = (component[x] != component[y]) & (is_left[x] & is_right[y] | is_left[y] & is_right[x])
+        x, y = x[ok], y[ok]
+        unequal = np.bitwise_count(planes[0][x] ^ planes[0][y] | planes[1][x] ^ planes[1][y])
+        ok = unequal <= SKETCH_VALUES - BITS_LEAST
+        x, y = x[ok], y[ok]
+        ok = (sign[x] == sign[y]).sum(axis=1) >= SAME_LEAST
+        found.append((node[x[ok]], node[y[ok]]))
+    for head, size in zip(heads.tolist(), sizes.tolist(), strict=True):
+        if size > SMALL_BLOCK:
+            here = slice(head, head + size)
+            left, right = (head + np.flatnonzero(c[here]) for c in (is_left, is_right))
+            if len(left) and len(right):
+                hits = _alike([value[k] for k in left], [value[k] for k in right])
+                x, y = (side[k] for side, k in zip((left, right), np.nonzero(hits), strict=True))
+                ok = component[x] != component[y]
+                found.append((node[x[ok]], node[y[ok]]))
+    return _forest(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else []
+
+
+def _confirmed_links(rows: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links of the blocks of a group by full sets, of which components are joined."""
+    rows, heads, sizes = _blocks(rows)
+    nodes, components_, value = rows["node"].to_numpy(), rows["component"].to_numpy(), rows["value"].tolist()
+    is_left, is_right = rows["is_left"].to_numpy(), rows["is_right"].to_numpy()
+    out = []
+    for head, size in zip(heads.tolist(), sizes.tolist(), strict=True):
+        here = slice(head, head + size)
+        left, right = (np.flatnonzero(c[here]) for c in (is_left, is_right))
+        if len(left) and len(right):
+            node, component = nodes[here], components_[here]
+            hits = _confirmed([value[head + k] for k in left], [value[head + k] for k in right])
+            out += _spanning(node, component, component.copy(), left, right, hits)
+    return out
+
+
 def _join_apart(exact: bool):
-    """Links of the blocks of a group; `exact` compares full sets and takes components as
-    joined, else signatures are compared and every class starts alone."""
+    """Links of the blocks of a group; `exact` compares full sets, else signatures."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, block in rows.groupby(["owner", "a", "b"], sort=False):
-            node, component = block["node"].to_numpy(), block["component"].to_numpy()
-            left, right = (np.flatnonzero(block[c].to_numpy()) for c in ("is_left", "is_right"))
-            if not len(left) or not len(right):
-                continue
-            value = block["value"].tolist()
-            hits = (_confirmed if exact else _alike)([value[i] for i in left], [value[i] for i in right])
-            label = component.copy() if exact else np.unique(node, return_inverse=True)[1]
-            out += _spanning(node, component, label, left, right, hits)
+        out = (_confirmed_links if exact else _alike_links)(rows)
+        give_back()
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run
@@ -522,7 +605,11 @@ def open_beginnings(sets: DataFrame) -> DataFrame:
     counts = np.zeros(BUCKETS, np.int64)
     counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     rows = sets.mapInArrow(partial(_beginning_rows, counts=counts), "owner long, node long, component long")
-    return materialise(rows, "beginnings")
+    # Only shingles that different components hold, and of those with the same holders one.
+    name = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    held = rows.groupBy("owner").agg(F.count("*").alias("n"), (F.min("component") != F.max("component")).alias("open"), *name)
+    owners = held.where("open").groupBy("n", "h0", "h1").agg(F.min("owner").alias("owner")).select("owner")
+    return materialise(rows.join(materialise(owners, "open-shingles"), "owner"), "beginnings")
 
 
 def _across(rows: DataFrame, values: DataFrame, exact: bool) -> DataFrame:
@@ -578,13 +665,13 @@ def remaining_links(docs: DataFrame, classes: DataFrame, links: DataFrame, width
     classes = classes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = materialise(classes.select("node", "set_key", "signature", "component"), "known-classes")
     regions = classes.select("node", "signature", "component").mapInArrow(_region_rows, "owner long, node long, component long")
-    regions = materialise(regions, "regions")
     several = regions.groupBy("owner").agg((F.min("component") != F.max("component")).alias("open")).where("open")
     open_nodes = regions.join(materialise(several.select("owner"), "open-regions"), "owner").select("node", "component").distinct()
     open_nodes = materialise(open_nodes, "open-nodes")
     sets = _set_table(docs, classes, open_nodes, width).join(open_nodes, "node")
     sets = materialise(sets.select("node", "component", "set"), "open-sets")
-    alike = _across(open_beginnings(sets), classes.select("node", F.col("signature").alias("value")), False)
+    low = classes.join(open_nodes.select("node"), "node").select("node", "signature").mapInArrow(_low_bytes, "node long, value binary")
+    alike = _across(open_beginnings(sets), low, False)
     alike = materialise(alike, "alike")
     families = components(alike, "families")
     owned = families.select(F.col("component").alias("owner"), "node").join(classes.select("node", "component"), "node")
