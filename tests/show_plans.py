@@ -19,7 +19,7 @@ from kwspread.session import build_session  # noqa: E402
 KEEP = re.compile(
     r"(Exchange|BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin|CartesianProduct|"
     r"WindowGroupLimit|Window |HashAggregate|ObjectHashAggregate|SortAggregate|TakeOrderedAndProject|Generate|"
-    r"MapInPandas|ArrowEvalPython|BatchEvalPython|Scan |FileScan|Scan ExistingRDD|AQEShuffleRead|Union)"
+    r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|Scan |FileScan|Scan ExistingRDD|AQEShuffleRead|Union)"
 )
 
 
