@@ -5,10 +5,11 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 from conftest_llm import documents
-
 from pyspark.sql import functions as F
 
+from kwspread.llm import components as components_module
 from kwspread.llm import lsh_forest as L
 from kwspread.llm.components import components
 
@@ -73,7 +74,9 @@ def test_odd_rows(spark, nasty, empty):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("edges_per_task", [500_000, 7])
+def test_components_of_paths_and_stars(spark, monkeypatch, edges_per_task):
+    monkeypatch.setattr(components_module, "EDGES_PER_TASK", edges_per_task)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (300, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(61)} | {100 + k: 100 for k in range(50)} | {200: 200, 300: 200}
