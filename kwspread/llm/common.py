@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kwspread.operators.batches import give_back, text_slices  # noqa: F401 (operators take both from here)
 from kwspread.session import ensure_checkpoint_dir
 
 #: Fixed value: a word is a maximal run of characters other than space and \t..\r.
 #: `bytes.split()` cuts UTF-8 at exactly these ASCII characters.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
-#: Text that a worker handles at a time.
-SLICE_BYTES = 4 << 20
-
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder."""
@@ -49,30 +45,6 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def give_back() -> None:
-    """Return freed memory of a worker to the system. Workers live through many stages, and
-    what one stage has freed would otherwise count on top of the next one's."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass  # another C library: it keeps its own counsel
-
-
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about `most` bytes of text (one row at least), so
-    that a worker's memory follows the slice and the longest text."""
-    sizes = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes, dtype=np.int64)
-    at = 0
-    while at < len(sizes):
-        base = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-    give_back()
-
-
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices starts[0]..starts[0]+lens[0]-1, starts[1].. one after the other."""
     total = int(lens.sum())
