@@ -7,7 +7,9 @@ every window lies in exactly one segment, and all its copies in segments of the
 anchor. So:
 
 1. `anchor_rows`: each document gives one narrow row per segment (position, number of
-   windows, hashes of anchor and segment), about one per 15 words. No text moves.
+   windows, hashes of anchor and segment), about one per 15 words. A segment that a
+   document holds several times (a line or word pair repeated on end, where ties move the
+   anchor every few words) is one row with all its positions. No text moves.
 2. Anchors that occur once in the corpus are dropped by a count. Where an anchor occurs
    with one content only, that content is repeated as a whole: all its windows are
    reported without a look at any text (the inside of a passage or document copied by a
@@ -129,16 +131,28 @@ def _word_hashes() -> WordHashes:
     return worker_cache("word hashes", WordHashes)
 
 
-#: `at` holds 64 * first word + windows.
-ANCHORS = "row long, at long, anchor long, content long"
+#: `at` holds 64 * first word + windows; `more` the same of a segment's further places in
+#: the document, null if there are none.
+ANCHORS = "row long, at long, more array<long>, anchor long, content long"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chain.from_iterable(map(text_slices, batches)):
         text, first, windows, anchor, content = segments(*_word_hashes().of(batch.column("text")))
-        row = batch.column("row").to_numpy()[text]
-        columns = [row, first * 64 + windows, anchor.view(np.int64), content.view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "at", "anchor", "content"])
+        # Equal segments of a text side by side, in order of place.
+        order = np.lexsort((first, content, anchor, text))
+        text, anchor, content, at = text[order], anchor[order], content[order], (first * 64 + windows)[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(order))) - 1
+        ends = np.concatenate(([0], np.cumsum(size)))
+        more = pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.array(at[~new], pa.int64()), mask=pa.array(size == 0, pa.bool_())
+        )
+        row = batch.column("row").to_numpy()[text[heads]]
+        columns = [pa.array(c, pa.int64()) for c in (row, at[heads], anchor[heads].view(np.int64), content[heads].view(np.int64))]
+        yield pa.RecordBatch.from_arrays([*columns[:2], more, *columns[2:]], ["row", "at", "more", "anchor", "content"])
 
 
 def keyed_rows(docs: DataFrame, name: str) -> DataFrame:
@@ -256,20 +270,21 @@ def _search(found: DataFrame, shards: int) -> DataFrame:
 
 
 def repeated_segments(docs: DataFrame) -> DataFrame:
-    """repeat_row, repeat_hits (at and mask of segments) of the documents with repeated
+    """repeat_row, repeat_hits (places and mask of segments) of the documents with repeated
     windows; `docs` needs repeat_row and text."""
     texts = docs.select(F.col("repeat_row").alias("row"), "text")
     every = materialise(texts.mapInArrow(_anchor_rows, ANCHORS), "anchors")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several"))
+    places = F.sum(F.coalesce(F.array_size("more"), F.lit(0)) + 1)
+    again = every.groupBy("anchor").agg(places.alias("n"), (F.min("content") != F.max("content")).alias("several"))
     # Written first, so both sides of the join are plain shuffles that can be split where
     # an anchor is hot.
     again = materialise(again.where("n > 1").select("anchor", "several"), "anchor-counts")
     some = materialise(every.join(again, "anchor"), "repeated-anchors")
-    alike = some.where("NOT several").select("row", "at", F.expr("shiftleft(1L, cast(at % 64 as int)) - 1").alias("mask"))
+    alike = some.where("NOT several").select("row", "at", "more", F.expr("shiftleft(1L, cast(at % 64 as int)) - 1").alias("mask"))
     some = some.where("several").drop("several")
     mark = F.xxhash64("row", "at")
-    chosen = some.groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(mark).alias("mark"))
-    chosen = some.withColumn("mark", mark).join(chosen, ["anchor", "content", "mark"])
+    chosen = some.groupBy("anchor", "content").agg(places.alias("weight"), F.min(mark).alias("mark"))
+    chosen = some.drop("more").withColumn("mark", mark).join(chosen, ["anchor", "content", "mark"])
     # Equal rows repeat their segments; one text of each is enough.
     chosen = chosen.dropDuplicates(["anchor", "content"])
     lists = chosen.groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "content", "weight")).alias("chosen"))
@@ -292,16 +307,16 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
         own = F.sum(F.expr("shiftleft(1L, cast(bit as int))"))
         masks = masks.union(bits.groupBy("of_anchor", "of_content").agg(own))
     masks = materialise(masks, "masks")
-    hit = some.join(masks, ["anchor", "content"]).select("row", "at", "mask").union(alike).distinct()
-    return hit.groupBy(F.col("row").alias("repeat_row")).agg(F.collect_list(F.struct("at", "mask")).alias("repeat_hits"))
+    hit = some.join(masks, ["anchor", "content"]).select("row", "at", "more", "mask").union(alike).distinct()
+    return hit.groupBy(F.col("row").alias("repeat_row")).agg(F.collect_list(F.struct("at", "more", "mask")).alias("repeat_hits"))
 
 
 def covered_words(n: int, hits: list[dict] | None) -> np.ndarray:
     """Which of n words lie in a reported window."""
     edge = np.zeros(n + 1, np.int64)
     for hit in hits or ():
-        first, windows = divmod(hit["at"], 64)
-        starts = first + np.flatnonzero(hit["mask"] >> np.arange(windows) & 1)
+        first, windows = divmod(np.array([hit["at"], *(hit["more"] or ())], np.int64), 64)
+        starts = np.add.outer(first, np.flatnonzero(hit["mask"] >> np.arange(windows[0]) & 1)).ravel()
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + WINDOW, -1)
     return np.cumsum(edge[:-1]) > 0

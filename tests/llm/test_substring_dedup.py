@@ -108,3 +108,24 @@ def test_clashing_columns(spark):
     kept = S.remove_repeats(docs)
     assert kept.schema == docs.schema
     assert sorted((r.text, r.repeat_row, r.repeat_hits) for r in kept.collect()) == [("", "own", 2), ("x", "own", 4), ("z", "own", 6)]
+
+
+def test_segments_repeated_on_end_are_one_row(spark):
+    """Narrow rows follow the documents, not how often a line or word pair stands in them."""
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    line = text(40)
+    texts = [f"{text(20)} {'left right ' * n}{text(20)}" for n in (400, 400, 30, 19)]
+    texts += [f"{text(9)} {(line + ' ') * n}{text(9)}" for n in (1, 60)] + ["x " * 34, "x " * 35, "y " * 36, text(80)]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "text": texts})
+    (rows,) = S._anchor_rows(iter([batch]))
+    assert rows.num_rows < 15 * len(texts)
+    places = [at for row in rows.to_pylist() for at in (row["at"], *(row["more"] or ()))]
+    windows = sum(max(0, len(t.split()) - S.WINDOW + 1) for t in texts)
+    assert sum(at % 64 for at in places) == windows  # every window in exactly one of them
+    (none,) = S._anchor_rows(iter([batch.slice(6, 1)]))
+    assert none.num_rows == 0
+    docs = documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    assert sorted((tuple(r) for r in S.substring_digest(docs).collect()), key=str) == brute(list(enumerate(texts)))
